@@ -1,9 +1,9 @@
 """Column profiling: counts, quality, numbers, lengths, histograms, top values, samples.
 
-Two building blocks cover every figure. ``column_stats`` is one aggregation over the rows with no
-shuffle of values. ``value_counts`` is the long form (field, value, n) that distinct counts,
-top values, quantiles and histograms share; it combines on the map side, so a constant column
-sends one row per task.
+Most figures are read from a long form (field, value, n). ``long_values`` makes it without a
+shuffle (n = 1) and suits figures that are plain sums or small counts. ``value_counts`` counts each
+distinct value once; distinct counts, top values and whole-table profiles need it and share it. It
+combines on the map side, so a constant column sends one row per task.
 """
 
 from __future__ import annotations
@@ -92,12 +92,17 @@ def column_stats(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return _per_column(df, list(types), stats)
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long form (field, value, n) over text values; nulls stay null."""
+def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Long form (field, value, n = 1) over text values; nulls stay null."""
     entries = F.array(
         *[F.struct(F.lit(c).alias("field"), quoted(c).cast("string").alias("value")) for c in columns]
     )
-    return df.select(F.inline(entries)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.inline(entries), F.lit(1).cast("long").alias("n"))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Long form with one row per distinct value."""
+    return long_values(df, columns).groupBy("field", "value").agg(F.sum("n").alias("n"))
 
 
 def present_values(counts: DataFrame) -> DataFrame:

@@ -1 +1,6 @@
+"""Queries over the given tables, each with the SQL it must agree with."""
 
+from tablehaul.plans import profiling, validation
+from tablehaul.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "profiling", "validation"]

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablehaul.functions import parsing, text
 
-# The known headers.
-HEADERS = ["table name", "field name", "data type", "field text", "length", "is key", "# of occ", "from total"]
+_GRID = "file string, row_no int, cells array<string>"
 
 
-def read_dictionary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per described field: file, field_name, description, length, is_key, nullable, ordinal.
+def read_delimited_grids(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8", batch: int = 5000) -> DataFrame:
+    """Rows of many small delimited files as text cells, in bounded batches.
 
-    Header names are matched per file without regard to case and surrounding blanks, so files with
-    other column orders or extra columns can be read together. A dictionary file lists the fields
-    of one table, so numbering within a file is a small group.
+    For files whose headers differ; a large table with one header belongs in ``read_raw_csv``.
     """
-    lines = (
-        spark.read.text(paths)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), "value")
-    )
-    cells = F.from_csv("value", F.lit(_wide_schema()), {"escape": '"', "mode": "PERMISSIVE"})
-    rows = lines.select("file", "__block", "__at", F.array(*[cells[f"c{i}"] for i in range(_WIDTH)]).alias("cells"))
-    first = Window.partitionBy("file").orderBy("__block", "__at")
-    rows = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != "")).withColumn("__row", F.row_number().over(first))
-    header = rows.filter(F.col("__row") == 1).select(
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                stream = io.TextIOWrapper(io.BytesIO(content), encoding, newline="")
+                rows = []
+                for number, cells in enumerate(csv.reader(stream), 1):
+                    rows.append((path, number, cells))
+                    if len(rows) >= batch:
+                        yield pd.DataFrame(rows, columns=["file", "row_no", "cells"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file", "row_no", "cells"])
+
+    return files.mapInPandas(parse, _GRID)
+
+
+def dictionary_fields(grid: DataFrame) -> DataFrame:
+    """One row per described field: file, table, field_name, description, length, is_key, ordinal.
+
+    The first row of a file is its header, matched without regard to case and surrounding blanks,
+    so files with other column orders or extra columns can be read together. Blank rows and rows
+    without a field name do not count. A file lists the fields of one table, so numbering within
+    a file is a small group.
+    """
+    header = grid.filter(F.col("row_no") == 1).select(
         "file", F.transform("cells", lambda c: F.lower(text.clean(c))).alias("header")
     )
-    data = rows.filter(F.col("__row") > 1).join(header, "file")
+    data = grid.filter((F.col("row_no") > 1) & F.exists("cells", lambda c: c != "")).join(header, "file")
 
     def cell(name: str):
         at = F.array_position("header", name).cast("int")
@@ -43,18 +63,16 @@ def read_dictionary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .otherwise(extra)
     )
     fields = data.select(
-        "file", "__row", cell("table name").alias("table"), cell("field name").alias("field_name"), description.alias("description"),
-        parsing.parse_length(cell("length")).alias("length"), parsing.is_marked(cell("is key")).alias("is_key"),
+        "file", "row_no", cell("table name").alias("table"), cell("field name").alias("field_name"),
+        description.alias("description"), parsing.parse_length(cell("length")).alias("length"),
+        parsing.is_marked(cell("is key")).alias("is_key"),
     ).filter(F.col("field_name") != "")
-    order = Window.partitionBy("file").orderBy("__row")
+    order = Window.partitionBy("file").orderBy("row_no")
     return fields.select(
         "file", "table", "field_name", "description", F.lit("string").alias("dtype"), "length", "is_key",
         (~F.col("is_key")).alias("nullable"), F.row_number().over(order).alias("ordinal"),
     )
 
 
-_WIDTH = 64
-
-
-def _wide_schema() -> str:
-    return ", ".join(f"c{i} string" for i in range(_WIDTH))
+def read_dictionary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return dictionary_fields(read_delimited_grids(spark, paths))
