@@ -125,13 +125,14 @@ def standardize_number(value: Column, decimal: str = ",", thousands: str = ".")
 def convert_currency(
     df: DataFrame, amount: str, currency: str, rates: DataFrame, to: str, digits: int = 2, output: str = "converted"
 ) -> DataFrame:
-    """Multiply by the rate of (from, to). A currency without a rate gives null; none is dropped."""
+    """Multiply by the rate of (from, to), in decimals. Without a rate the result is null; no row is dropped."""
     wanted = rates.filter(F.col("to_currency") == to).select(
-        F.col("from_currency").alias("__from"), F.col("rate").alias("__rate")
+        F.col("from_currency").alias("__from"), F.col("rate").cast("decimal(18,8)").alias("__rate")
     )
     joined = df.join(wanted, quoted(currency) == F.col("__from"), "left")
-    rate = F.when(quoted(currency) == to, F.lit(1.0)).otherwise(F.col("__rate"))
-    return joined.select(*[quoted(c) for c in df.columns], F.round(quoted(amount) * rate, digits).alias(output))
+    rate = F.when(quoted(currency) == to, F.lit(1).cast("decimal(18,8)")).otherwise(F.col("__rate"))
+    value = F.round(quoted(amount).cast("decimal(18,4)") * rate, digits)
+    return joined.select(*[quoted(c) for c in df.columns], value.alias(output))
 
 
 def lookup(df: DataFrame, on: str, table: DataFrame, key: str, value: str, output: str) -> DataFrame:

@@ -178,10 +178,10 @@ def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.date_format("ts", "yyyyMMdd").alias("day"), F.date_format("ts", "HHmmss").alias("at"))
+    return e.select(F.date_format("ts", "yyyyMMdd").alias("day"), F.date_format("ts", "HHmmss").alias("tod"))
 
 
-EVENT_TIMES = "e AS (SELECT strftime(ts, '%Y%m%d') AS day, strftime(ts, '%H%M%S') AS at FROM events)"
+EVENT_TIMES = "e AS (SELECT strftime(ts, '%Y%m%d') AS day, strftime(ts, '%H%M%S') AS tod FROM events)"
 
 
 @query(
@@ -199,11 +199,11 @@ def profile_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     "profile_time",
     f"""WITH {legacy.LEGACY}, {EVENT_TIMES}
     SELECT 'ordtime' AS field, min(ordtime) AS min, max(ordtime) AS max FROM legacy WHERE ordtime <> '240000'
-    UNION ALL SELECT 'at', min(at), max(at) FROM e""",
+    UNION ALL SELECT 'tod', min(tod), max(tod) FROM e""",
 )
 def profile_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = profile.time_stats(legacy.legacy_orders(spark, sf_dir), ["ordtime"])
-    return orders.unionByName(profile.time_stats(_event_times(spark, sf_dir), ["at"]))
+    return orders.unionByName(profile.time_stats(_event_times(spark, sf_dir), ["tod"]))
 
 
 def _histogram_sql(rows: str) -> str:
@@ -260,15 +260,15 @@ def hist_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hist_time",
-    f"""WITH {legacy.LEGACY}, {EVENT_TIMES}, t AS (SELECT 'ordtime' AS field, ordtime AS v FROM legacy WHERE ordtime <> '240000' UNION ALL SELECT 'at', at FROM e),
+    f"""WITH {legacy.LEGACY}, {EVENT_TIMES}, t AS (SELECT 'ordtime' AS field, ordtime AS v FROM legacy WHERE ordtime <> '240000' UNION ALL SELECT 'tod', tod FROM e),
     c AS (SELECT field, CAST(v[1:2] AS INT) // 2 AS b, count(*) AS n FROM t GROUP BY 1, 2)
     SELECT field, lpad(CAST(b * 2 AS VARCHAR), 2, '0') || ':00-' || lpad(CAST(b * 2 + 2 AS VARCHAR), 2, '0') || ':00' AS label, coalesce(n, 0) AS "count"
     FROM (SELECT DISTINCT field FROM t) CROSS JOIN (SELECT unnest(range(0, 12))::INT AS b) LEFT JOIN c USING (field, b)""",
 )
 def hist_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = profile.long_values(legacy.legacy_orders(spark, sf_dir), ["ordtime"])
-    events = profile.long_values(_event_times(spark, sf_dir), ["at"])
-    return profile.time_histogram(orders.unionByName(events), ["ordtime", "at"])
+    events = profile.long_values(_event_times(spark, sf_dir), ["tod"])
+    return profile.time_histogram(orders.unionByName(events), ["ordtime", "tod"])
 
 
 TOP = {"events": ["event_type", "user_id", "props"], "orders": ["o_orderstatus", "o_orderpriority", "o_custkey", "o_orderkey"]}
