@@ -244,7 +244,7 @@ def _words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     "match_values_edits",
     f"""WITH l AS ({WORDS.format('l', 'conversations')}), r AS ({WORDS.format('r', 'benchmark')})
     SELECT l, r, round(1 - levenshtein(l, r) / greatest(length(l), length(r)), 6) AS score FROM l, r
-    WHERE abs(length(l) - length(r)) <= 0.2 * greatest(length(l), length(r)) + 1e-9 AND 1 - levenshtein(l, r) / greatest(length(l), length(r)) >= 0.8""",
+    WHERE l <> '' AND r <> '' AND abs(length(l) - length(r)) <= 0.2 * greatest(length(l), length(r)) + 1e-9 AND 1 - levenshtein(l, r) / greatest(length(l), length(r)) >= 0.8""",
 )
 def match_values_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the conversations within edit similarity 0.8 of a benchmark word."""

@@ -23,7 +23,7 @@ skip_rules AS (
   UNION ALL SELECT 1, object, variant, 3, source_field, 'local ' || w2, low > 5, 'here ' || w1 FROM n WHERE w1 = 'old' AND high > 10),
 manual_rules AS (
   SELECT DISTINCT 0 AS level, NULL AS object, NULL AS variant, 1 AS position, source_field, 'the ' || name || ' part' AS source_description, name AS target, w2 AS target_description, 'by hand ' || w1 AS comment FROM n WHERE w1 IN ('red', 'old')
-  UNION ALL SELECT 1, object, variant, 2, source_field, 'our ' || name || ' here', w2 || ' ' || w1, w1, 'by hand here' FROM n WHERE w1 IN ('red', 'blue') AND high > 20),
+  UNION ALL SELECT 1, object, variant, 2, source_field, 'our ' || name || ' here', 'hot ' || w2, w1, 'by hand here' FROM n WHERE w1 IN ('red', 'blue') AND high > 20),
 syn_rules AS (SELECT DISTINCT upper(w2) AS target, w2 AS variant, CASE w2 WHEN 'gizmo' THEN 1 WHEN 'anvil' THEN 2 ELSE 3 END AS position FROM n WHERE w2 IN ('gizmo', 'anvil', 'bolt')),
 eff_skip AS (SELECT s.object, s.variant, s.field_name, arg_max({'d': source_description, 'k': skip, 'c': r.comment}, level * 10 + position) AS r
   FROM sources s JOIN skip_rules r ON r.source_field = s.field_name AND (level = 0 OR (r.object = s.object AND r.variant = s.variant)) GROUP BY 1, 2, 3),
@@ -68,7 +68,7 @@ def manual_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     local = _rules(
         n.filter(w1.isin("red", "blue") & (F.col("high") > 20)), 1, 2, source_description=F.concat(F.lit("our "), name, F.lit(" here")),
-        target=F.concat_ws(" ", w2, w1), target_description=w1, comment=F.lit("by hand here"),
+        target=F.concat(F.lit("hot "), w2), target_description=w1, comment=F.lit("by hand here"),
     )
     return wide.unionByName(local)
 
@@ -135,7 +135,7 @@ def unmapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fallback_names",
     f"""WITH {MEMORY},
     q AS (SELECT *, starts_with(field_name, 'Column') AS unclear FROM sources),
-    g AS (SELECT object, variant, ordinal, min({{'t': target, 'c': r.comment}}) AS g FROM q JOIN manual_rules r ON r.level = 0 AND contains(upper(r.source_description), upper(example)) WHERE unclear GROUP BY ALL),
+    g AS (SELECT q.object, q.variant, ordinal, min({{'t': target, 'c': r.comment}}) AS g FROM q JOIN manual_rules r ON r.level = 0 AND contains(upper(r.source_description), upper(example)) WHERE unclear GROUP BY ALL),
     l AS (SELECT q.object, q.variant, ordinal, min({{'t': target, 'c': r.comment}}) AS l FROM q JOIN manual_rules r ON r.level = 1 AND r.object = q.object AND r.variant = q.variant AND contains(upper(r.source_description), upper(example)) WHERE unclear GROUP BY ALL),
     y AS (SELECT q.object, q.variant, ordinal, min({{'p': position, 't': target, 'v': r.variant}}) AS y FROM q JOIN syn_rules r ON contains(lower(example), lower(r.variant)) WHERE unclear GROUP BY ALL)
     SELECT object, variant, ordinal, CASE WHEN unclear THEN coalesce(g.t, l.t, y.t, field_name) ELSE field_name END AS field_name,
