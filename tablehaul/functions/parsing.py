@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from tablehaul.functions.text import strip
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 DATE = r"^[0-9]{8}$"
 TIME = r"^([01][0-9]|2[0-3])[0-5][0-9][0-5][0-9]$"
 
 
 def parse_number(col: Column) -> Column:
     """Double or null. The guard keeps out forms such as ``1.5d`` that a bare cast accepts."""
-    text = strip(col)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(col.rlike(NUMBER), col.try_cast("double"))
 
 
 def parse_integer(col: Column) -> Column:

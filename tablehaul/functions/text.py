@@ -43,7 +43,7 @@ def clean(col: Column) -> Column:
 
 def is_blank(col: Column) -> Column:
     """Null, empty or only white space."""
-    return clean(col) == ""
+    return F.ltrim(F.coalesce(col.cast("string"), F.lit("")), F.lit(WHITESPACE)) == ""
 
 
 def fold_accents(col: Column) -> Column:

@@ -171,7 +171,7 @@ def mapping_table(matched: DataFrame) -> DataFrame:
     """The mapping as published: confidence with two decimals."""
     return matched.select(
         *TARGET_KEY, "target_field", "source_header", "source_field", "target_description",
-        "source_description", "target_table", "status", F.round("confidence", 2).alias("confidence"), "rationale",
+        "source_description", "target_table", "status", F.bround("confidence", 2).alias("confidence"), "rationale",
     )
 
 
@@ -200,7 +200,7 @@ def audit_list(matched: DataFrame, limits: Thresholds = Thresholds()) -> DataFra
     columns = [*TARGET_KEY, "target_table", "target_field", "source_header", "source_field", "confidence"]
     direct = matched.select(*columns, F.explode(reasons).alias("reason"))
     reused = reused_sources(matched).select(
-        *columns[:-1], F.round("confidence", 2).alias("confidence"), F.lit("reused_source").alias("reason")
+        *columns[:-1], F.bround("confidence", 2).alias("confidence"), F.lit("reused_source").alias("reason")
     )
     return direct.unionByName(reused)
 
@@ -220,7 +220,7 @@ def coverage(matched: DataFrame, unused: DataFrame, by: list[str] = BY) -> DataF
     total = F.count(F.lit(1))
     left = matched.groupBy(*by).agg(
         total.alias("targets"), mapped.alias("mapped"), (total - mapped).alias("unmapped"),
-        F.round(mapped / total * 100, 2).alias("coverage_pct"),
+        F.bround(mapped / total * 100, 2).alias("coverage_pct"),
     )
     right = unused.groupBy(*by).agg(F.count(F.lit(1)).alias("unused_sources"))
     return left.join(right, by, "left").fillna(0, ["unused_sources"])

@@ -64,7 +64,7 @@ def empty_counts(df: DataFrame, columns: list[str] | None = None, missing: list[
         return {
             "total": total,
             "empty_count": empty,
-            "pct_empty": F.when(total > 0, F.round(empty / total * 100, 2)).otherwise(0.0),
+            "pct_empty": F.when(total > 0, F.bround(empty / total * 100, 2)).otherwise(0.0),
         }
 
     out = _per_column(df, [*(columns or df.columns), *missing], stats)
@@ -141,7 +141,7 @@ def profile_counts(counts: DataFrame, types: dict[str, str]) -> DataFrame:
     )
     raw = raw.withColumn("count", F.col("total") - F.col("missing"))
     ratio = F.when(F.col("count") > 0, F.col("unique") / F.col("count")).otherwise(0.0)
-    pct = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0), 2)
+    pct = lambda c: F.bround(F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0), 2)
     kinds = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     return raw.select(
         "field",
@@ -150,11 +150,11 @@ def profile_counts(counts: DataFrame, types: dict[str, str]) -> DataFrame:
         "missing",
         "invalid",
         "unique",
-        F.round(ratio, 4).alias("unique_ratio"),
-        F.round(quality_score(F.col("total"), F.col("missing"), F.col("invalid"), ratio), 2).alias("quality_score"),
+        F.bround(ratio, 4).alias("unique_ratio"),
+        F.bround(quality_score(F.col("total"), F.col("missing"), F.col("invalid"), ratio), 2).alias("quality_score"),
         pct("missing").alias("missing_pct"),
         pct("invalid").alias("invalid_pct"),
-        F.round(ratio * 100, 2).alias("unique_pct"),
+        F.bround(ratio * 100, 2).alias("unique_pct"),
     )
 
 
@@ -169,14 +169,17 @@ def top_values(counts: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _parsed_numbers(counts: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Long form (field, x, n) of the valid numbers; times count as seconds."""
+    """Distinct valid numbers (field, x, n); times count as seconds."""
     value, field = F.col("value"), F.col("field")
     x = F.lit(None).cast("double")
     for kind, parse in (("decimal", parsing.parse_number), ("int", parsing.parse_integer), ("time", parsing.parse_time)):
         fields = [c for c, t in types.items() if t == kind]
         if fields:
             x = F.when(field.isin(fields), parse(value).cast("double")).otherwise(x)
-    return counts.select("field", x.alias("x"), "n").filter(F.col("x").isNotNull())
+    # The filter looks at an aggregate, so it cannot move below and parse every value twice.
+    parsed = counts.select("field", x.alias("x"), "n")
+    counted = parsed.groupBy("field", "x").agg(F.sum("n").alias("n"), F.count("x").alias("__present"))
+    return counted.filter(F.col("__present") > 0).drop("__present")
 
 
 def numeric_stats(counts: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -203,7 +206,7 @@ def length_stats(counts: DataFrame) -> DataFrame:
     base = lengths.groupBy("field").agg(
         F.min("len").alias("len_min"),
         F.max("len").alias("len_max"),
-        F.round(F.sum(F.col("len") * F.col("n")) / F.sum("n"), 2).alias("len_mean"),
+        F.bround(F.sum(F.col("len") * F.col("n")) / F.sum("n"), 2).alias("len_mean"),
     )
     points = exact_quantiles(lengths, ["field"], "len", "n", LENGTH_POINTS)
     return base.join(points, "field").select(
@@ -222,11 +225,11 @@ def text_stats(counts: DataFrame) -> DataFrame:
     mean = lambda pattern: F.sum(F.regexp_count(s, F.lit(pattern)) / F.length(s) * n) / rows
     return present_values(counts).groupBy("field").agg(
         F.sum(F.when(strip(s) != s, n).otherwise(0)).alias("leading_or_trailing"),
-        F.round(share(upper), 4).alias("upper_ratio"),
-        F.round(share(lower), 4).alias("lower_ratio"),
-        F.round(1 - share(upper) - share(lower), 4).alias("mixed_ratio"),
-        F.round(mean(r"\p{Nd}"), 4).alias("digit_ratio"),
-        F.round(mean("[A-Za-z]"), 4).alias("alpha_ratio"),
+        F.bround(share(upper), 4).alias("upper_ratio"),
+        F.bround(share(lower), 4).alias("lower_ratio"),
+        F.bround(1 - share(upper) - share(lower), 4).alias("mixed_ratio"),
+        F.bround(mean(r"\p{Nd}"), 4).alias("digit_ratio"),
+        F.bround(mean("[A-Za-z]"), 4).alias("alpha_ratio"),
     )
 
 

@@ -51,7 +51,13 @@ def exact_quantiles(counted: DataFrame, by: list[str], x: str, n: str, points: d
         F.filter(ranks, lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__upto"))),
     ).filter(F.size("__ranks") > 0)
 
-    inside = values.join(hits, [*by, "__b"])
+    # Null-safe equality keeps the planner from adding filters to one side only, so both uses of
+    # ``values`` read the same shuffle.
+    same = None
+    for c in [*by, "__b"]:
+        equal = F.col(f"v.{c}").eqNullSafe(F.col(f"h.{c}"))
+        same = equal if same is None else same & equal
+    inside = values.alias("v").join(hits.alias("h"), same).select("v.*", "h.__before", "h.__total", "h.__ranks")
     running = Window.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("__end", F.col("__before") + F.sum("__n").over(running)).withColumn(
         "__here",

@@ -1,9 +1,9 @@
 """Similarity joins over distinct strings without comparing all pairs.
 
 Both joins are exact: a pair at or above the threshold always shares at least one key, keys are
-joined with an ordinary equi-join, and the pairs that meet are scored and filtered. Only pairs
-that pass are shuffled again, to drop duplicates. A key that many strings share makes a large
-join partition, which adaptive execution splits.
+joined with an ordinary equi-join, and the pairs that meet are filtered by a bound or by their
+score. Only pairs that pass are shuffled again, to drop duplicates. A key that many strings share
+makes a large join partition, which adaptive execution splits.
 
 *Edits* (``similar_by_edits``): if a string of length n is cut into k + 1 segments, a partner
 within k edits contains one segment unchanged, at a place the edit budget bounds.
@@ -14,7 +14,8 @@ multiplicity, and Levenshtein similarity at the same level needs no fewer. Winkl
 only helps pairs that share their first characters, so three classes cover all pairs: any prefix
 (no bonus), first character shared (bonus of at most two characters), first three shared (bonus
 of at most four). In each class characters are ordered from rare to frequent, and strings that
-share q characters must agree on some combination of their rarest ones.
+share q characters must agree on some combination of their rarest ones. Before a pair is scored,
+bit masks of its characters bound both measures from above.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablehaul.functions.similarity import jaro_winkler_similarity, levenshtein_similarity
+from tablehaul.functions.similarity import common_prefix, jaro_winkler_similarity, levenshtein_similarity
 from tablehaul.operators import simkeys
 
 
@@ -37,9 +38,9 @@ def _keyed(strings: DataFrame, name: str, make: Callable[[str], list[str]]) -> D
     def keys(texts: pd.Series) -> pd.Series:
         return texts.map(make)
 
-    return strings.select(name, F.explode(keys(F.col(name))).alias("__key")).select(
-        name, F.xxhash64("__key").alias("key")
-    )
+    # Outer, or the planner adds a filter that runs the function a second time.
+    spread = strings.select(name, F.explode_outer(keys(F.col(name))).alias("__key"))
+    return spread.filter(F.col("__key").isNotNull()).select(name, F.xxhash64("__key").alias("key"))
 
 
 def similar_by_edits(left: DataFrame, right: DataFrame, l: str, r: str, threshold: float = 0.8) -> DataFrame:
@@ -69,9 +70,39 @@ def similar_names(left: DataFrame, right: DataFrame, l: str, r: str, threshold:
     a = left.select(F.col(l).alias("l")).filter(F.col("l").isNotNull()).distinct()
     b = right.select(F.col(r).alias("r")).filter(F.col("r").isNotNull()).distinct()
     equal = a.join(b, F.col("l") == F.col("r")).select("l", "r", F.lit(1.0).alias("score"))
-    lk = _keyed(a, "l", lambda s: simkeys.name_keys(s, threshold, True))
-    rk = _keyed(b, "r", lambda s: simkeys.name_keys(s, threshold, False))
-    met = lk.join(rk, "key").filter(F.col("l") != F.col("r"))
-    scored = met.select("l", "r", score(F.col("l"), F.col("r")).alias("score"))
-    near = scored.filter(F.col("score") >= threshold).dropDuplicates(["l", "r"])
-    return equal.unionByName(near)
+    lk = _name_keyed(a, "l", threshold, True)
+    rk = _name_keyed(b, "r", threshold, False)
+    met = lk.join(rk, "key").filter((F.col("l") != F.col("r")) & (_score_bound() >= threshold - simkeys.EPS))
+    pairs = met.select("l", "r").distinct()
+    scored = pairs.select("l", "r", score(F.col("l"), F.col("r")).alias("score"))
+    return equal.unionByName(scored.filter(F.col("score") >= threshold))
+
+
+_NAME_KEYS = T.StructType(
+    [T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]
+)
+
+
+def _name_keyed(strings: DataFrame, name: str, threshold: float, is_left: bool) -> DataFrame:
+    """(string, its character masks, key) rows."""
+
+    @F.pandas_udf(_NAME_KEYS)
+    def keys(texts: pd.Series) -> pd.DataFrame:
+        bits = [simkeys.bag_bits(s) for s in texts]
+        found = [simkeys.name_keys(s, threshold, is_left) for s in texts]
+        return pd.DataFrame({"keys": found, "low": [b[0] for b in bits], "high": [b[1] for b in bits]})
+
+    made = strings.select(name, keys(F.col(name)).alias("k"))
+    masks = [F.col("k.low").alias(f"{name}_low"), F.col("k.high").alias(f"{name}_high")]
+    spread = made.select(name, *masks, F.explode_outer("k.keys").alias("__key")).filter(F.col("__key").isNotNull())
+    return spread.select(name, f"{name}_low", f"{name}_high", F.xxhash64("__key").alias("key"))
+
+
+def _score_bound() -> Column:
+    """No less than either measure of (l, r), from masks, lengths and common prefix."""
+    la, lb = F.length("l"), F.length("r")
+    own = lambda s: F.bit_count(f"{s}_low") + F.bit_count(f"{s}_high")
+    both = F.bit_count(F.col("l_low").bitwiseAND(F.col("r_low"))) + F.bit_count(F.col("l_high").bitwiseAND(F.col("r_high")))
+    common = F.least(both + F.least(la - own("l"), lb - own("r")), la, lb)
+    jaro = (common / la + common / lb + 1) / 3
+    return F.greatest(jaro + 0.1 * common_prefix(F.col("l"), F.col("r")) * (1 - jaro), common / F.greatest(la, lb))

@@ -109,6 +109,21 @@ def rarest_first(text: str) -> list[str]:
     return [f"{c}{k}" for _, c, k in sorted(tokens)]
 
 
+def bag_bits(text: str) -> tuple[int, int]:
+    """Two 64-bit masks of the characters with their occurrence number, hashed to 128 bits.
+
+    Common bits plus the smaller count of characters without a bit of their own bound the number
+    of common characters from above, whatever collides.
+    """
+    seen = Counter()
+    bits = 0
+    for c in text:
+        seen[c] += 1
+        bits |= 1 << ((ord(c) * 37 + seen[c] * 11) % 128)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return signed(bits & (2**64 - 1)), signed(bits >> 64)
+
+
 def name_keys(text: str, threshold: float, is_left: bool) -> list[str]:
     keys = set()
     tokens = {}

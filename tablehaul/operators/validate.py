@@ -65,8 +65,8 @@ def row_checks(rules: Iterable[Rule], extended: bool = False) -> list[tuple[str,
 
 def with_errors(df: DataFrame, checks: Iterable[tuple[str, Column]]) -> DataFrame:
     """Add the list of failed rule labels per row; no row leaves and nothing is shuffled."""
-    labels = [F.when(failed, F.lit(label)) for label, failed in checks]
-    found = F.array_compact(F.array(*labels)) if labels else F.array().cast("array<string>")
+    labels = [F.when(failed, F.lit(label)).otherwise("") for label, failed in checks]
+    found = F.array_remove(F.array(*labels), "") if labels else F.array().cast("array<string>")
     return df.withColumn(ERRORS, found)
 
 
@@ -87,9 +87,26 @@ def rejected(df: DataFrame, row_no: str, run_time: datetime | None = None) -> Da
     )
 
 
+def rule_counts(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Rows failing each rule, straight from the conditions: one aggregation, one row per task."""
+    row = df.agg(*[F.count_if(failed).alias(f"c{i}") for i, (_, failed) in enumerate(checks)])
+    entries = [F.struct(F.lit(label).alias("error_rule"), F.col(f"c{i}").alias("errors")) for i, (label, _) in enumerate(checks)]
+    return row.select(F.inline(F.array(*entries))).filter(F.col("errors") > 0)
+
+
+def error_rows(df: DataFrame) -> DataFrame:
+    """One row per failed rule.
+
+    The outer form keeps the planner from evaluating the whole list a second time as a filter.
+    """
+    kept = [quoted(c) for c in df.columns if c != ERRORS]
+    return df.select(*kept, F.explode_outer(ERRORS).alias("error_rule")).filter(F.col("error_rule").isNotNull())
+
+
 def errors_by_rule(df: DataFrame) -> DataFrame:
+    """The same from the error lists of rows that are checked already."""
     return (
-        df.select(F.explode(ERRORS).alias("error_rule"))
+        error_rows(df.select(ERRORS))
         .groupBy("error_rule")
         .agg(F.count(F.lit(1)).alias("errors"))
     )

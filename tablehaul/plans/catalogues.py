@@ -13,6 +13,7 @@ from tablehaul.functions import parsing
 from tablehaul.operators import catalog, validate
 from tablehaul.operators.project import split_by_side
 from tablehaul.plans.registry import query, table
+from tablehaul.session import cut_lineage
 
 NAMES = """
 names AS (
@@ -80,6 +81,11 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_ordinal(found, ["object", "variant"], ["field_name"])
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both catalogues as tables, so that matching does not read the parts again for every step."""
+    return cut_lineage(sources(spark, sf_dir)), cut_lineage(targets(spark, sf_dir))
+
+
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name that occurs has a variant: its words the other way round."""
     words = F.split("p_name", " ")

@@ -76,15 +76,14 @@ matched AS (SELECT t.object, t.variant, t.target_ordinal, upper(t_name) AS targe
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_targets(
-        catalogues.sources(spark, sf_dir), catalogues.targets(spark, sf_dir), catalogues.synonyms(spark, sf_dir)
-    )
+    sources, targets = catalogues.stored(spark, sf_dir)
+    return match.match_targets(sources, targets, catalogues.synonyms(spark, sf_dir))
 
 
 @query(
     "match_fields",
     f"""WITH {MATCH} SELECT object, variant, target_ordinal, target_field, source_header, source_field, target_description, source_description,
-    target_table, status, round(confidence, 2) AS confidence, rationale FROM matched""",
+    target_table, status, round_even(confidence, 2) AS confidence, rationale FROM matched""",
 )
 def match_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.mapping_table(_matched(spark, sf_dir))
@@ -131,7 +130,7 @@ REUSED = """reused AS (SELECT * FROM matched WHERE source_header IS NOT NULL
     UNION ALL SELECT object, variant, target_field, source_header, round(confidence, 6), 'low_confidence_fuzzy' FROM matched WHERE confidence >= 0.8 AND confidence < 0.9
     UNION ALL SELECT object, variant, target_field, source_header, confidence, 'synonym_based' FROM matched WHERE stage = 'synonym'
     UNION ALL SELECT object, variant, target_field, NULL, 0.0, 'required_unmapped' FROM matched WHERE source_header IS NULL AND required
-    UNION ALL SELECT object, variant, target_field, source_header, round(confidence, 2), 'reused_source' FROM reused""",
+    UNION ALL SELECT object, variant, target_field, source_header, round_even(confidence, 2), 'reused_source' FROM reused""",
 )
 def audit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     audit = match.audit_list(_matched(spark, sf_dir))
@@ -162,7 +161,7 @@ def unmatched_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {MATCH}, u AS (SELECT object, variant, count(*) AS unused FROM s
       WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.object = s.object AND m.variant = s.variant AND m.source_header = s.source_header) GROUP BY 1, 2)
     SELECT object, variant, count(*) AS targets, count(source_header) AS mapped, count(*) - count(source_header) AS unmapped,
-    round(count(source_header) / count(*) * 100, 2) AS coverage_pct, coalesce(max(unused), 0) AS unused_sources FROM matched LEFT JOIN u USING (object, variant) GROUP BY 1, 2""",
+    round_even(count(source_header) / count(*) * 100, 2) AS coverage_pct, coalesce(max(unused), 0) AS unused_sources FROM matched LEFT JOIN u USING (object, variant) GROUP BY 1, 2""",
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = _matched(spark, sf_dir)
@@ -209,13 +208,13 @@ DESCRIBED = _described_sql()
 
 @query("match_described", f"WITH {DESCRIBED} SELECT object, variant, source_field, target_field, round(confidence, 6) AS confidence, match_type FROM described")
 def match_described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = match.match_described(catalogues.sources(spark, sf_dir), catalogues.targets(spark, sf_dir))
+    rows, _ = match.match_described(*catalogues.stored(spark, sf_dir))
     return rows.select("object", "variant", "source_field", "target_field", F.round("confidence", 6).alias("confidence"), "match_type")
 
 
 @query("match_audit", f"WITH {DESCRIBED} SELECT object, variant, source_field, target_field, round(confidence, 6) AS confidence FROM near")
 def match_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, audit = match.match_described(catalogues.sources(spark, sf_dir), catalogues.targets(spark, sf_dir))
+    _, audit = match.match_described(*catalogues.stored(spark, sf_dir))
     return audit.select("object", "variant", "source_field", "target_field", F.round("confidence", 6).alias("confidence"))
 
 
@@ -225,7 +224,7 @@ LABELS = ["description", "field_name", "field_group"]
 @query("match_one_to_one")
 def match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serial assignment; checked against a plain loop in the tests."""
-    choices = assign.preferences(catalogues.sources(spark, sf_dir), catalogues.targets(spark, sf_dir), LABELS)
+    choices = assign.preferences(*catalogues.stored(spark, sf_dir), LABELS)
     return assign.assign_one_to_one(choices)
 
 

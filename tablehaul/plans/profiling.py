@@ -42,7 +42,7 @@ RAW_COLUMNS = ["ordernr", *TYPES]
 
 @query(
     "raw_column_stats",
-    f"WITH {legacy.LEGACY}, s AS ({_stats_sql(RAW_COLUMNS, ['regio'])}) SELECT *, round(empty_count / total * 100, 2) AS pct_empty FROM s",
+    f"WITH {legacy.LEGACY}, s AS ({_stats_sql(RAW_COLUMNS, ['regio'])}) SELECT *, round_even(empty_count / total * 100, 2) AS pct_empty FROM s",
 )
 def raw_column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = legacy.legacy_orders(spark, sf_dir)
@@ -60,7 +60,7 @@ def empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "top_null_rates",
     f"""WITH {legacy.LEGACY}, s AS ({_stats_sql(RAW_COLUMNS, ['regio'])})
-    SELECT source_header, round(empty_count / total * 100, 2) AS pct_empty FROM s ORDER BY 2 DESC, 1 LIMIT 10""",
+    SELECT source_header, round_even(empty_count / total * 100, 2) AS pct_empty FROM s ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 def top_null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_rows(raw_column_stats(spark, sf_dir).select("source_header", "pct_empty"), "source_header", "pct_empty")
@@ -87,9 +87,9 @@ COUNTS_SQL = f"""WITH {legacy.LEGACY}, {PARSED}, c AS (
     count(*) FILTER (NOT blank AND NOT ok) AS invalid, count(DISTINCT value) FILTER (NOT blank) AS "unique"
   FROM valid GROUP BY 1, 2),
 r AS (SELECT *, CASE WHEN "count" > 0 THEN "unique" / "count" ELSE 0 END AS ratio FROM c)
-SELECT field, type, "count", missing, invalid, "unique", round(ratio, 4) AS unique_ratio,
-  round(greatest(0, least(100, 100 - (missing / total * 40 + invalid / total * 40 + (1 - ratio) * 20))), 2) AS quality_score,
-  round(missing / total * 100, 2) AS missing_pct, round(invalid / total * 100, 2) AS invalid_pct, round(ratio * 100, 2) AS unique_pct
+SELECT field, type, "count", missing, invalid, "unique", round_even(ratio, 4) AS unique_ratio,
+  round_even(greatest(0, least(100, 100 - (missing / total * 40 + invalid / total * 40 + (1 - ratio) * 20))), 2) AS quality_score,
+  round_even(missing / total * 100, 2) AS missing_pct, round_even(invalid / total * 100, 2) AS invalid_pct, round_even(ratio * 100, 2) AS unique_pct
 FROM r"""
 
 
@@ -108,14 +108,14 @@ def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numeric_sql(rows: str) -> str:
-    q = ", ".join(f"round(quantile_cont(x, {p}), 4) AS {n}" for n, p in profile.NUMERIC_POINTS.items())
-    return f"""SELECT field, min(x) AS min, {q}, max(x) AS max, round(avg(x), 4) AS mean,
-    round(stddev_samp(x), 4) AS std FROM {rows} WHERE x IS NOT NULL GROUP BY field"""
+    q = ", ".join(f"round_even(quantile_cont(x, {p}), 4) AS {n}" for n, p in profile.NUMERIC_POINTS.items())
+    return f"""SELECT field, min(x) AS min, {q}, max(x) AS max, round_even(avg(x), 4) AS mean,
+    round_even(stddev_samp(x), 4) AS std FROM {rows} WHERE x IS NOT NULL GROUP BY field"""
 
 
 def _rounded(stats: DataFrame) -> DataFrame:
     exact = ("field", "min", "max")
-    return stats.select(*[c if c in exact else F.round(c, 4).alias(c) for c in stats.columns])
+    return stats.select(*[c if c in exact else F.bround(c, 4).alias(c) for c in stats.columns])
 
 
 @query("profile_numeric", f"WITH {legacy.LEGACY}, {PARSED} " + _numeric_sql("valid"))
@@ -157,7 +157,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "profile_length",
     f"""WITH {UNTIDY_SQL} SELECT field, CAST(min(length(value)) AS INT) AS len_min, CAST(floor(quantile_cont(length(value), 0.5)) AS INT) AS len_p50,
     CAST(floor(quantile_cont(length(value), 0.95)) AS INT) AS len_p95, CAST(max(length(value)) AS INT) AS len_max,
-    round(avg(length(value)), 2) AS len_mean FROM text WHERE trim(value) <> '' GROUP BY 1""",
+    round_even(avg(length(value)), 2) AS len_mean FROM text WHERE trim(value) <> '' GROUP BY 1""",
 )
 def profile_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.length_stats(_texts(spark, sf_dir))
@@ -167,10 +167,10 @@ def profile_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     "profile_text",
     f"""WITH {UNTIDY_SQL}, u AS (SELECT *, upper(value) = value AND lower(value) <> value AS up, lower(value) = value AND upper(value) <> value AS low FROM text WHERE trim(value) <> '')
     SELECT field, count(*) FILTER (trim(value) <> value) AS leading_or_trailing,
-    round(count(*) FILTER (up) / count(*), 4) AS upper_ratio, round(count(*) FILTER (low) / count(*), 4) AS lower_ratio,
-    round(1 - count(*) FILTER (up) / count(*) - count(*) FILTER (low) / count(*), 4) AS mixed_ratio,
-    round(avg(len(regexp_extract_all(value, '[0-9]')) / length(value)), 4) AS digit_ratio,
-    round(avg(len(regexp_extract_all(value, '[A-Za-z]')) / length(value)), 4) AS alpha_ratio FROM u GROUP BY 1""",
+    round_even(count(*) FILTER (up) / count(*), 4) AS upper_ratio, round_even(count(*) FILTER (low) / count(*), 4) AS lower_ratio,
+    round_even(1 - count(*) FILTER (up) / count(*) - count(*) FILTER (low) / count(*), 4) AS mixed_ratio,
+    round_even(avg(len(regexp_extract_all(value, '[0-9]')) / length(value)), 4) AS digit_ratio,
+    round_even(avg(len(regexp_extract_all(value, '[A-Za-z]')) / length(value)), 4) AS alpha_ratio FROM u GROUP BY 1""",
 )
 def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.text_stats(_texts(spark, sf_dir))
@@ -208,8 +208,8 @@ def profile_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _histogram_sql(rows: str) -> str:
     edges = " + ".join(f"CAST(x >= lo + {i} * ((hi - lo) / 12) AS INT)" for i in range(1, 12))
-    return f"""SELECT field, bin, round(lo + (bin - 1) * ((hi - lo) / 12), 6) AS bin_low,
-      CASE WHEN bin = 12 THEN hi ELSE round(lo + bin * ((hi - lo) / 12), 6) END AS bin_high, coalesce(n, 0) AS "count"
+    return f"""SELECT field, bin, round_even(lo + (bin - 1) * ((hi - lo) / 12), 6) AS bin_low,
+      CASE WHEN bin = 12 THEN hi ELSE round_even(lo + bin * ((hi - lo) / 12), 6) END AS bin_high, coalesce(n, 0) AS "count"
     FROM (SELECT field, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
             CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM {rows} WHERE x IS NOT NULL GROUP BY field)
     CROSS JOIN (SELECT unnest(range(1, 13))::INT AS bin)
@@ -220,7 +220,7 @@ def _histogram_sql(rows: str) -> str:
 
 
 def _rounded_edges(histogram: DataFrame) -> DataFrame:
-    return histogram.withColumns({"bin_low": F.round("bin_low", 6), "bin_high": F.round("bin_high", 6)})
+    return histogram.withColumns({"bin_low": F.bround("bin_low", 6), "bin_high": F.bround("bin_high", 6)})
 
 
 @query(
@@ -294,7 +294,7 @@ def export_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "export_profile",
     COUNTS_SQL.replace("SELECT field, type, \"count\", missing", "SELECT field AS \"Field\", type AS \"Type\", \"count\" AS \"Count\", missing AS \"Missing\"")
-    .replace("invalid, \"unique\", round(ratio, 4) AS unique_ratio,", "invalid AS \"Invalid\", \"unique\" AS \"Unique\",")
+    .replace("invalid, \"unique\", round_even(ratio, 4) AS unique_ratio,", "invalid AS \"Invalid\", \"unique\" AS \"Unique\",")
     .replace("AS quality_score", "AS \"Quality Score\"").replace("AS missing_pct", "AS \"Missing %\"")
     .replace("AS invalid_pct", "AS \"Invalid %\"").replace("AS unique_pct", "AS \"Unique %\""),
 )
@@ -334,13 +334,13 @@ def first_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH counts AS ({COUNTS_SQL}), {legacy.LEGACY}, {PARSED}, numbers AS ({_numeric_sql("valid")}),
     lengths AS (SELECT field, CAST(min(length(value)) AS INT) AS len_min, CAST(floor(quantile_cont(length(value), 0.5)) AS INT) AS len_p50,
       CAST(floor(quantile_cont(length(value), 0.95)) AS INT) AS len_p95, CAST(max(length(value)) AS INT) AS len_max,
-      round(avg(length(value)), 2) AS len_mean FROM valid WHERE NOT blank AND type = 'string' GROUP BY 1)
+      round_even(avg(length(value)), 2) AS len_mean FROM valid WHERE NOT blank AND type = 'string' GROUP BY 1)
     SELECT * FROM counts LEFT JOIN numbers USING (field) LEFT JOIN lengths USING (field)""",
 )
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = profile.profile_table(legacy.legacy_orders(spark, sf_dir), TYPES, list(TYPES))
     rounded = ("p25", "p50", "p75", "p95", "mean", "std")
-    return whole.select(*[F.round(c, 4).alias(c) if c in rounded else c for c in whole.columns])
+    return whole.select(*[F.bround(c, 4).alias(c) if c in rounded else c for c in whole.columns])
 
 
 @query(

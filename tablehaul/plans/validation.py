@@ -21,7 +21,7 @@ REJECT_BY_RULE = f"WITH {legacy.CHECKED} SELECT error_rule, count(*) AS errors F
 
 @query("reject_by_rule", REJECT_BY_RULE)
 def reject_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.errors_by_rule(legacy.checked_orders(spark, sf_dir))
+    return validate.rule_counts(legacy.mapped_orders(spark, sf_dir), validate.row_checks(legacy.RULES))
 
 
 @query(
@@ -57,7 +57,7 @@ def in_out_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT unnest(errors) AS e FROM checked) GROUP BY 1""",
 )
 def errors_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.errors_by_field(reject_by_rule(spark, sf_dir))
+    return validate.errors_by_field(validate.errors_by_rule(legacy.checked_orders(spark, sf_dir)))
 
 
 TEMPLATE = ["CUSTOMER_ID(*)", "ORDER_ID(k/*)", "ORDER_DATE", "PLANT", "STATUS(*)"]
@@ -92,7 +92,16 @@ SELECT error_rule, count(*) AS errors FROM failed WHERE error_rule IS NOT NULL G
 
 @query("check_length_and_type", EXTENDED_SQL)
 def check_length_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.errors_by_rule(legacy.checked_orders(spark, sf_dir, extended=True))
+    return validate.rule_counts(legacy.mapped_orders(spark, sf_dir), validate.row_checks(legacy.RULES, extended=True))
+
+
+@query(
+    "reject_rows_extended",
+    EXTENDED_SQL.replace("SELECT unnest([", "SELECT order_no, unnest([").replace("SELECT error_rule, count(*) AS errors FROM failed", "SELECT order_no, error_rule FROM failed").replace(" GROUP BY 1", ""),
+)
+def reject_rows_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failed rule of every row."""
+    return validate.error_rows(legacy.checked_orders(spark, sf_dir, extended=True).select("order_no", "errors"))
 
 
 @query(
