@@ -58,7 +58,10 @@ def structure_filter(rows: DataFrame, structure: str, field: str, variant: Colum
 
 
 def with_ordinal(rows: DataFrame, by: list[str], order_by: list[str], name: str = "ordinal") -> DataFrame:
-    """1-based number over kept rows of one dictionary (a group is one table's field list)."""
+    """1-based number over kept rows of one dictionary.
+
+    For field lists, whose size is a table's column count; ``number_within`` is for larger groups.
+    """
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablehaul.functions import parsing
 from tablehaul.operators import catalog, validate
 from tablehaul.operators.project import split_by_side
+from tablehaul.operators.rownum import number_within
 from tablehaul.plans.registry import query, table
 from tablehaul.session import cut_lineage
 
@@ -233,8 +234,8 @@ dictionary AS (
     lower(importance) LIKE '%mandatory%' OR lower(importance) IN ('x', 'true', '1') AS is_mandatory,
     lower(trim(importance)) IN ('mandatory', 'true', '1', 'yes') AS strict_mandatory,
     structure[3:] || '.' || field AS internal_id, structure || '#' || field AS transformer_id,
-    CAST(row_number() OVER (PARTITION BY object, structure ORDER BY line) AS INT) AS ordinal
-    FROM dictionary WHERE structure LIKE 'S\\_%' ESCAPE '\\' AND lower(structure[3:]) = lower(structure[3:]) AND trim(field) <> ''""",
+    row_number() OVER (PARTITION BY object, structure ORDER BY line) AS ordinal
+    FROM dictionary WHERE starts_with(structure, 'S_') AND trim(field) <> ''""",
 )
 def catalog_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary rows, one per part, brought to catalogue form."""
@@ -253,7 +254,7 @@ def catalog_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         parsing.is_marked(F.col("mark")).alias("is_key"), parsing.is_mandatory(F.col("importance")).alias("is_mandatory"),
         parsing.is_mandatory_strict(F.col("importance")).alias("strict_mandatory"), dotted.alias("internal_id"), hashed.alias("transformer_id"),
     )
-    return catalog.with_ordinal(out, ["object", "structure"], ["line"])
+    return number_within(out, ["object", "structure"], ["line"], "ordinal")
 
 
 @query(

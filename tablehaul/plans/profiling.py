@@ -317,6 +317,30 @@ def sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sample_values(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], "p_partkey")
 
 
+PAIRS = [(m.target, m.source) for m in legacy.MAPPING if m.source and (m.target, m.source) != ("STATUS", "prio")]
+SAMPLED = {"source": ["ordernr", "custnr", "status", "prio", "orddate", "total", "ordtime"], "target": [t.lower() for t in legacy.TARGETS]}
+
+
+def _samples_sql(source: str, columns: list[str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value, order_no FROM {source}" for c in columns)
+    return f"""SELECT field, list(value ORDER BY k) AS samples FROM (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY min(order_no), value) AS k
+      FROM ({rows}) WHERE trim(value) <> '' GROUP BY field, value) WHERE k <= 5 GROUP BY 1"""
+
+
+@query(
+    "mapping_samples",
+    f"""WITH {legacy.MAPPED}, m(target_field, source_header) AS (VALUES {", ".join(f"('{t}', '{s}')" for t, s in PAIRS)}),
+    a AS ({_samples_sql("legacy", SAMPLED["source"])}), b AS ({_samples_sql("mapped", SAMPLED["target"])})
+    SELECT target_field, source_header, coalesce(a.samples, []) AS source_samples, coalesce(b.samples, []) AS target_samples
+    FROM m LEFT JOIN a ON a.field = source_header LEFT JOIN b ON b.field = lower(target_field)""",
+)
+def mapping_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = spark.createDataFrame(PAIRS, "target_field string, source_header string")
+    before = profile.sample_values(legacy.legacy_orders(spark, sf_dir), SAMPLED["source"], "order_no")
+    after = profile.sample_values(legacy.mapped_orders(spark, sf_dir), SAMPLED["target"], "order_no")
+    return report.mapping_with_samples(mapping, before, after)
+
+
 FIRST_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS field_name, CAST(NULL AS VARCHAR) AS description, arg_min(trim({c}), order_no) FILTER (trim({c}) <> '') AS example,
     {i} AS ordinal, 'string' AS dtype, count(*) FILTER (coalesce(trim({c}), '') = '') > 0 AS nullable FROM legacy"""

@@ -197,6 +197,17 @@ def top_error_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_rows(reject_by_rule(spark, sf_dir), "error_rule", "errors")
 
 
+@query(
+    "routed_output",
+    f"""WITH {legacy.CHECKED} SELECT CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END AS outcome, order_no, order_id, customer_id, status, errors FROM checked""",
+)
+def routed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outcomes written in one pass and read back."""
+    path = new_output(spark, "routed_output")
+    sinks.write_routed(legacy.checked_orders(spark, sf_dir), path)
+    return spark.read.parquet(path).select("outcome", "order_no", "order_id", "customer_id", "status", "errors")
+
+
 @query("partitioned_output", f"WITH {legacy.CHECKED} SELECT * EXCLUDE (errors) FROM checked WHERE len(errors) = 0")
 def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted rows written by address and read back through it."""

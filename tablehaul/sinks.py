@@ -25,6 +25,15 @@ def write_load_file(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).options(**LOAD_FILE).csv(path)
 
 
+def write_routed(checked: DataFrame, path: str, errors: str = "errors", mode: str = "error") -> None:
+    """Accepted and rejected rows in one pass, as partitions ``outcome=accepted`` and ``outcome=rejected``.
+
+    Writing both from one scan spares a second reading of the source or a cache of it.
+    """
+    outcome = F.when(F.size(errors) == 0, "accepted").otherwise("rejected")
+    checked.withColumn("outcome", outcome).write.mode(mode).partitionBy("outcome").parquet(path)
+
+
 def write_rejects(rejected: DataFrame, path: str, mode: str = "error") -> bool:
     """Rejects with their error columns, only when there are any."""
     if rejected.isEmpty():

@@ -92,6 +92,15 @@ def test_row_numbers_need_no_single_partition(spark):
     assert got == {k: i for i, k in enumerate(sorted(got), 1)}
 
 
+def test_row_numbers_within_a_hot_group(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), (F.col("id") * 37 % 4001).alias("k"))
+    rows = rownum.number_within(df, ["g"], ["k"]).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.g, []).append((r.k, r.row_no))
+    assert len(rows) == 4000 and all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in groups.values())
+
+
 def test_value_map_and_placeholders(frame):
     df = frame([(" Old ", ""), ("keep", None), (None, "x")], "a string, b string")
     rules = [FieldTransform("a", value_mappings={"OLD": "NEW"}, placeholder="?"), FieldTransform("b", placeholder="-")]

@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 
+from tablehaul.functions.thesaurus import thesaurus_rows
 from tablehaul.operators import assign, simjoin, simkeys
 from tests.test_functions import best_score, jaro_winkler, lev
 
@@ -97,3 +99,50 @@ def test_preferences_order(frame):
     assert (1, 1, "synonym", 0.85) in first
     assert (2, 3, "exact", 1.0) == next(f for f in first if f[0] == 2)
     assert jaro_winkler("amount", "betrag") < 0.6
+
+
+def test_one_to_one_over_catalogues_equals_a_plain_loop(spark):
+    """The whole chain against a source-by-source loop over the smallest tables."""
+    from collections import defaultdict
+
+    from tablehaul.plans import catalogues, matching
+
+    folder = "/root/testdata/sf0.001"
+    concepts = defaultdict(set)
+    for term, concept in thesaurus_rows():
+        concepts[term].add(concept)
+    norm = lambda s: re.sub("[^a-z0-9]", "", s.lower())
+    weighted = lambda a, b: 0.5 * (1 - lev(a, b) / max(len(a), len(b))) + 0.5 * jaro_winkler(a, b)
+    sources, targets = defaultdict(list), defaultdict(list)
+    for r in catalogues.sources(spark, folder).orderBy("ordinal").collect():
+        sources[r.object, r.variant].append(r)
+    for r in catalogues.targets(spark, folder).orderBy("ordinal").collect():
+        targets[r.object, r.variant].append(r)
+    want = {}
+    for group, rows in sources.items():
+        taken = set()
+        for s in rows:
+            pick = None
+            for label in matching.LABELS:
+                equal = [t for t in targets[group] if (t[label] or "").lower() == s.field_name.lower()]
+                if equal and equal[-1].ordinal not in taken:
+                    pick = equal[-1].ordinal
+                    break
+            best = 0.0
+            for t in targets[group] if pick is None else []:
+                if t.ordinal in taken:
+                    continue
+                a, b = norm(s.field_name), norm(t.field_name)
+                scores = [weighted(a, norm(t[x])) for x in matching.LABELS if t[x]]
+                score = max(x if x >= 0.6 else 0 for x in scores)
+                if a == b or concepts[a] & concepts[b]:
+                    score = max(score, 0.85)
+                if score > best + 1e-12:
+                    best, found = score, t.ordinal
+            if pick is None and best > 0:
+                pick = found
+            if pick is not None:
+                taken.add(pick)
+                want[(*group, s.ordinal)] = pick
+    got = {(r.object, r.variant, r.source_ordinal): r.target_ordinal for r in matching.match_one_to_one(spark, folder).collect()}
+    assert got == want and len(want) > 20
