@@ -55,20 +55,44 @@ def preferences(sources: DataFrame, targets: DataFrame, labels: list[str], thres
 def assign_one_to_one(choices: DataFrame, by: list[str] = BY) -> DataFrame:
     """Serial one-to-one assignment from ranked choices (source_ordinal, choice, target_ordinal).
 
-    Rounds go on until nobody was turned away. State is checkpointed per round, so a lost executor
-    repeats one round and not all of them.
+    A source that was turned away goes on to its next target that is free or held by a later
+    source: holders only get earlier, so any other target would turn it away as well. Groups in
+    which nobody was turned away are finished and leave the rounds. State is checkpointed per
+    round, so a lost executor repeats one round and not all of them.
     """
     key = [*by, "source_ordinal"]
     choices = cut_lineage(choices)
     current = choices.groupBy(*key).agg(F.min("choice").alias("choice"))
+    done = []
     while True:
-        asked = current.join(choices, [*key, "choice"])
+        asked = current.join(choices.select(*key, "choice", "target_ordinal"), [*key, "choice"])
         kept = asked.groupBy(*by, "target_ordinal").agg(F.min("source_ordinal").alias("__winner"))
         state = cut_lineage(
             asked.join(kept, [*by, "target_ordinal"]).select(
-                *key, "choice", (F.col("source_ordinal") == F.col("__winner")).alias("won")
+                *key, "choice", "target_ordinal", (F.col("source_ordinal") == F.col("__winner")).alias("won")
             )
         )
-        if state.filter(~F.col("won")).isEmpty():
-            return state.select(*key, "choice").join(choices, [*key, "choice"])
-        current = state.select(*key, F.when(F.col("won"), F.col("choice")).otherwise(F.col("choice") + 1).alias("choice"))
+        lost = state.filter(~F.col("won"))
+        if lost.isEmpty():
+            done.append(state.select(*key, "choice"))
+            break
+        open_groups = lost.select(*by).distinct()
+        done.append(state.join(open_groups, by, "left_anti").select(*key, "choice"))
+        held = state.filter("won").select(*by, "target_ordinal", F.col("source_ordinal").alias("__holder"))
+        later = choices.select(*key, "target_ordinal", F.col("choice").alias("__next"))
+        free = F.col("__holder").isNull() | (F.col("__holder") > F.col("source_ordinal"))
+        moved = (
+            lost.drop("target_ordinal", "won")
+            .join(later, key)
+            .filter(F.col("__next") > F.col("choice"))
+            .join(held, [*by, "target_ordinal"], "left")
+            .filter(free)
+            .groupBy(*key)
+            .agg(F.min("__next").alias("choice"))
+        )
+        stay = state.filter("won").join(open_groups, by, "left_semi").select(*key, "choice")
+        current = stay.unionByName(moved)
+    final = done[0]
+    for part in done[1:]:
+        final = final.unionByName(part)
+    return final.join(choices, [*key, "choice"])
