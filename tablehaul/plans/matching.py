@@ -303,7 +303,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "residual_targets",
-    f"""WITH {MATCH} SELECT object, variant, field_name, 'DERIVED' AS decision, CASE WHEN k THEN 0.9 ELSE 0.8 END AS confidence,
+    f"""WITH {MATCH} SELECT object, variant, field_name, 'DERIVED' AS decision, CAST(CASE WHEN k THEN 0.9 ELSE 0.8 END AS DOUBLE) AS confidence,
     CASE WHEN k THEN 'constant_detection' ELSE 'business_logic_required' END AS match_type, CASE WHEN k THEN 'constant' ELSE 'derive' END AS rule
     FROM (SELECT *, regexp_matches(lower(field_name || ' ' || description), 'flag|flg|ind|ctrl|control|stat|active|lock|hold|system|auto|log|track|purge') AS k FROM targets) g
     WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.object = g.object AND m.variant = g.variant AND m.target_field = upper(g.field_name) AND m.source_header IS NOT NULL)""",

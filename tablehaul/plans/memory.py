@@ -98,7 +98,7 @@ def rule_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "skipped_fields",
-    f"""WITH {MEMORY} SELECT object, variant, field_name, description, 1.0 AS confidence, 'central_skip' AS match_type,
+    f"""WITH {MEMORY} SELECT object, variant, field_name, description, CAST(1 AS DOUBLE) AS confidence, 'central_skip' AS match_type,
     'Central memory skip rule: ' || r.c AS reason FROM sources JOIN eff_active USING (object, variant, field_name)""",
 )
 def skipped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def skipped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "manual_matches",
-    f"""WITH {MEMORY} SELECT object, variant, field_name, r.t AS target_field, r.td AS target_description, 1.0 AS confidence,
+    f"""WITH {MEMORY} SELECT object, variant, field_name, r.t AS target_field, r.td AS target_description, CAST(1 AS DOUBLE) AS confidence,
     'Central memory manual mapping: ' || r.c AS reason FROM sources JOIN eff_manual USING (object, variant, field_name) ANTI JOIN eff_active USING (object, variant, field_name)""",
 )
 def manual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def manual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     u AS (SELECT object, variant, source_header AS field_name FROM s WHERE NOT EXISTS
       (SELECT 1 FROM matched m WHERE m.object = s.object AND m.variant = s.variant AND m.source_header = s.source_header))
     SELECT object, variant, field_name, CASE WHEN a.r IS NOT NULL THEN a.r.d WHEN m.r IS NOT NULL THEN m.r.d END AS description,
-    CASE WHEN a.r IS NOT NULL THEN 1.0 WHEN m.r IS NOT NULL THEN 0.0 END AS confidence,
+    CAST(CASE WHEN a.r IS NOT NULL THEN 1 WHEN m.r IS NOT NULL THEN 0 END AS DOUBLE) AS confidence,
     CASE WHEN a.r IS NOT NULL THEN 'Global skip field configured in central mapping memory' WHEN m.r IS NOT NULL THEN 'Manual mapping configured but target not found' END AS rationale,
     CASE WHEN a.r IS NOT NULL THEN a.r.c WHEN m.r IS NOT NULL THEN m.r.c END AS comment, CASE WHEN a.r IS NULL THEN m.r.t END AS target_field
     FROM u LEFT JOIN eff_active a USING (object, variant, field_name) LEFT JOIN eff_manual m USING (object, variant, field_name)""",
@@ -159,7 +159,7 @@ DECISION = f"""{matching.MATCH}, {MEMORY[len(catalogues.BOTH) + 2:]},
     f"""WITH {DECISION} SELECT object, variant, field_name AS source_field,
     CASE WHEN h.target_field IS NOT NULL THEN h.target_field WHEN m.r IS NOT NULL THEN m.r.t ELSE '' END AS target_field,
     CASE WHEN h.target_field IS NOT NULL THEN 'mapped' WHEN m.r IS NOT NULL THEN 'manual' WHEN a.r IS NOT NULL THEN 'skipped' ELSE 'pending' END AS status,
-    CASE WHEN h.target_field IS NOT NULL OR m.r IS NOT NULL OR a.r IS NOT NULL THEN 1.0 ELSE 0.0 END AS confidence,
+    CAST(CASE WHEN h.target_field IS NOT NULL OR m.r IS NOT NULL OR a.r IS NOT NULL THEN 1 ELSE 0 END AS DOUBLE) AS confidence,
     CASE WHEN h.target_field IS NOT NULL THEN 'Exact field match' WHEN m.r IS NOT NULL THEN 'Manual mapping from central memory'
       WHEN a.r IS NOT NULL THEN 'Central memory skip rule: ' || a.r.c ELSE 'Geen geschikte match gevonden' END AS rationale
     FROM sources LEFT JOIN hits2 h USING (object, variant, field_name) LEFT JOIN eff_manual m USING (object, variant, field_name) LEFT JOIN eff_active a USING (object, variant, field_name)""",

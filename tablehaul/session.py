@@ -33,7 +33,10 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per context (as ``--py-files`` would)."""
+    """Give this package to the Python workers, once per context (as ``--py-files`` would).
+
+    The archive is made on the driver, which hands it to the executors itself.
+    """
     context = spark.sparkContext
     if getattr(context, "_tablehaul_shipped", False):
         return

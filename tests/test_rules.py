@@ -5,7 +5,6 @@ from tablehaul.operators import project, rownum, transform, validate
 from tablehaul.operators.project import MappingRow
 from tablehaul.operators.transform import FieldTransform, Settings
 from tablehaul.operators.validate import Rule
-from tests.check_queries import duck  # noqa: F401  (shared helper module must import cleanly)
 
 BANK = "banks string, bankl string, banka string, row int"
 

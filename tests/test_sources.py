@@ -1,11 +1,12 @@
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablehaul import sinks
-from tablehaul.operators import catalog, decision
-from tablehaul.sources import delimited, markup, preference, tables, workbook
+from tablehaul.operators import catalog, decision, memory
+from tablehaul.sources import delimited, markup, metadata, preference, tables, workbook
 
 
 def write(folder, name, content):
@@ -194,3 +195,32 @@ def test_decisions(frame):
     targets = frame([("o", "v", "T1", "x"), ("o", "v", "DELFLAG", ""), ("o", "v", "PRICE", "net")], f"{by}, field_name string, description string")
     rest = {r.field_name: (r.rule, r.confidence) for r in decision.residual_targets(targets, matched).collect()}
     assert rest == {"DELFLAG": ("constant", 0.9), "PRICE": ("derive", 0.8)}
+
+
+def test_memory_document(spark, frame, tmp_path):
+    told = lambda f, **more: {"source_field": f, "source_description": f.lower(), "comment": "c", **more}
+    doc = {
+        "synonyms": {"BANKL": ["Bank Key", "Bank ID"], "BANKA": ["Bank Name"]},
+        "global_skip_fields": [told("MANDT", skip=True)],
+        "global_manual_mappings": [told("ERNAM", target="CREATOR", target_description="d")],
+        "table_specific": {"m_140_bnka": {"skip_fields": [told("ERDAT", skip=True)]}, "other_x": {"manual_mappings": [told("A", target="B", target_description="d")]}},
+    }
+    path = write(tmp_path, "memory.json", json.dumps(doc, indent=1))
+    objects = frame([("m_140", "bnka"), ("m1", "y")], "object string, variant string")
+    skip, manual, synonyms = metadata.read_memory(spark, path, objects)
+    assert {(r.level, r.object, r.source_field) for r in skip.collect()} == {(0, None, "MANDT"), (1, "m_140", "ERDAT")}
+    assert [r.target for r in manual.collect()] == ["CREATOR"]
+    assert {(r.target, r.variant) for r in synonyms.collect()} == {("BANKL", "Bank Key"), ("BANKL", "Bank ID"), ("BANKA", "Bank Name")}
+    fields = "object string, variant string, field_name string, description string, example string, ordinal int"
+    sources = frame([("m_140", "bnka", "Column1", None, "my bank id", 1), ("m_140", "bnka", "ERDAT", None, "1", 2)], fields)
+    named = {r.ordinal: r.field_name for r in memory.name_unclear_headers(sources, manual, synonyms).collect()}
+    assert named == {1: "BANKL", 2: "ERDAT"}
+    assert memory.skip_fields(sources, skip)[1].count() == 1
+
+
+def test_catalogue_documents_of_two_generations(spark, tmp_path):
+    meta = {"object": "o", "variant": "v"}
+    write(tmp_path, "a.json", json.dumps({"metadata": meta, "source_fields": [{"field_name": "A", "nullable": True, "field_count": 1}]}))
+    write(tmp_path, "b.json", json.dumps({"metadata": meta, "source_fields": [{"source_field_name": "B", "source_nullable": False, "source_field_count": 2}]}))
+    rows = metadata.read_catalogue(spark, str(tmp_path), "source_fields", catalog.SOURCE_NAMES).collect()
+    assert {(r.field_name, r.ordinal, r.nullable) for r in rows} == {("A", 1, True), ("B", 2, False)}
