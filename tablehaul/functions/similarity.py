@@ -1,7 +1,7 @@
 """String similarity as column expressions.
 
 Levenshtein is a Spark builtin. Jaro is not: it runs in Arrow batches on candidate pairs, since a
-fold over characters with ``aggregate`` costs about ten times as much per pair.
+fold over characters with ``aggregate`` cost about seven times as much per pair.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Join keys for the similarity joins: small per-string helpers that run in Arrow batches.
 
-Nested higher-order functions can build the same keys, at about thirty times the cost per string.
+Nested higher-order functions built the same keys at tens of times the cost per string.
 """
 
 from __future__ import annotations
