@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import quality, simhash
+from tablehaul.llm import quality, simhash, urlrules, warc
 from tablehaul.llm.text import stored, table
-from tablehaul.session import ship_package
+from tablehaul.session import new_output, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,8 +30,49 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents"))
 
 
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = new_output(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"), urlrules.rule_table(spark, urlrules.RULES))
+
+
 @query
 def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
     measured = stored(quality.measure(table(spark, folder, "documents")), "measured")
     return quality.judge(measured, quality.references(measured))
 
+
+SQL["op5_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+coded AS (
+  SELECT page_id, digest, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY digest) AS first_id,
+    list_aggregate(list_transform(range(0, 32), lambda k:
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST((CAST('0x' || substr(digest, 1 + 5 * CAST(floor(k / 4) AS INT), 5) AS INT)
+        >> CAST(15 - 5 * (k % 4) AS INT)) & 31 AS INT)]), 'string_agg', '') AS payload_digest
+  FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM coded
+"""
+
+SQL["op6_url_rules"] = """
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, 1 + length(regexp_extract(rest, '^[^/?#]*'))), '^[^?#]*') AS path
+  FROM cut),
+rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+hits AS (
+  SELECT page_id, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host) + length(rule_path) DESC) AS k
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.k = 1
+"""
