@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import quality, simhash, urlrules, warc
+from tablehaul.llm import htmlmain, quality, simhash, urlrules, warc
 from tablehaul.llm.text import stored, table
 from tablehaul.session import new_output, ship_package
 
@@ -30,6 +30,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents"))
 
 
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmlmain.extract(table(spark, folder, "pages"))
+
+
 @query
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = new_output(spark, "warc")
