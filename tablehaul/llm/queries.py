@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablehaul.llm import htmlmain, quality, simhash, urlrules, warc
+from tablehaul.llm import htmlmain, pieces, quality, simhash, toxicity, urlrules, warc
 from tablehaul.llm.text import stored, table
 from tablehaul.session import new_output, ship_package
 
@@ -14,6 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_file(spark: SparkSession) -> str:
+    """The vocabulary file on the driver; ``spark.tablehaul.sentencepiece`` names another."""
+    return spark.conf.get("spark.tablehaul.sentencepiece", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Registers a query under its function's name; the workers get this package first."""
 
@@ -25,6 +31,14 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return shipped
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, decoded again: ``text_sha256`` is that of the decoded text."""
+    vocabulary = pieces.Vocabulary.load(tokenizer_file(spark))
+    decoded = pieces.decode_table(pieces.encode_table(table(spark, folder, "documents"), vocabulary), vocabulary)
+    return decoded.select("doc_id", "ids", "n_pieces", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents"))
@@ -47,6 +61,12 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(table(spark, folder, "pages"), urlrules.rule_table(spark, urlrules.RULES))
 
 
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
 @query
 def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
     measured = stored(quality.measure(table(spark, folder, "documents")), "measured")
