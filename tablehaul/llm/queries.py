@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import htmlmain, pieces, quality, simhash, toxicity, urlrules, warc
+from tablehaul.llm import htmlmain, leaks, pieces, pii, quality, simhash, toxicity, urlrules, warc
 from tablehaul.llm.text import stored, table
 from tablehaul.session import new_output, ship_package
 
@@ -31,6 +31,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return shipped
 
 
+@query
+def op1_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, decoded again: ``text_sha256`` is that of the decoded text."""
@@ -61,6 +66,14 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(table(spark, folder, "pages"), urlrules.rule_table(spark, urlrules.RULES))
 
 
+@query
+def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with its personal data pseudonymised."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    key = spark.conf.get("spark.tablehaul.pseudonym.key", pii.TRIAL_KEY)
+    return pii.pseudonymise(docs, key)
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
