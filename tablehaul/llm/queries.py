@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import htmlmain, leaks, pieces, pii, quality, simhash, toxicity, urlrules, warc
+from tablehaul.llm import htmlmain, leaks, pieces, pii, quality, repeats, simhash, toxicity, urlrules, warc
 from tablehaul.llm.text import stored, table
 from tablehaul.session import new_output, ship_package
 
@@ -66,6 +66,11 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(table(spark, folder, "pages"), urlrules.rule_table(spark, urlrules.RULES))
 
 
+@query
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.dedup(table(spark, folder, "documents"))
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with its personal data pseudonymised."""
@@ -114,3 +119,19 @@ hits AS (
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.k = 1
 """
+
+SQL["op7_repeats"] = """
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM words WHERE len(w) >= 20),
+hashed AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM starts),
+later AS (SELECT doc_id, s FROM hashed QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+lists AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (
+  SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.p) AS kept FROM flat f ANTI JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p GROUP BY f.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lists.gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
