@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.text import mix, rolling, stored
+from tablehaul.llm.text import mix, rolling, stored, unused
 
 #: Template tokens of a window, and tokens that an item must have to be looked for.
 WINDOW, LEAST_TOKENS = 8, 5
@@ -40,7 +40,6 @@ UNITS = {
 }
 NUMBER, NAME, UNIT = "<n>", "<p>", "<u>"
 BASE = 0x9E3779B97F4A7C15
-SLOT = pa.struct([("kind", pa.string()), ("value", pa.string())])
 
 
 def template(text: str | None) -> tuple[list[str], list[tuple[int, str, str]]]:
@@ -140,9 +139,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, e
     are ignored.
     """
     own = stored(windows(items, "item_id", None, None), "item-windows")
-    sized = own.groupBy("id").agg(F.max("size").alias("n")).groupBy().agg(F.count("*"), F.sum("n")).first()
-    total = sized[1] or 0
-    widths = [WINDOW]
+    total = own.count()
     short = items.select(F.col("item_id").alias("id"), "text").join(own.filter("size = 1").select("id").distinct(), "id", "left_semi")
     widths = sorted({WINDOW, *(r[0] for r in token_counts(short).filter(F.col("n") < WINDOW).select("n").distinct().collect())})
     wanted = None
@@ -188,5 +185,6 @@ def token_counts(rows: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with the columns they came with."""
-    held = leaks(docs, items).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti")
+    name = unused("leak_id", docs)
+    held = leaks(docs, items).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

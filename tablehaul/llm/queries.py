@@ -20,6 +20,10 @@ def tokenizer_file(spark: SparkSession) -> str:
     return spark.conf.get("spark.tablehaul.sentencepiece", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.tablehaul.pseudonym.key", pii.TRIAL_KEY)
+
+
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Registers a query under its function's name; the workers get this package first."""
 
@@ -75,8 +79,7 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with its personal data pseudonymised."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    key = spark.conf.get("spark.tablehaul.pseudonym.key", pii.TRIAL_KEY)
-    return pii.pseudonymise(docs, key)
+    return pii.pseudonymise(docs, pseudonym_key(spark))
 
 
 @query

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.components import connected
-from tablehaul.llm.text import by_key, stored, width
+from tablehaul.llm.text import by_key, stored, unused, width
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -180,6 +180,7 @@ def groups(docs: DataFrame, most_under_key: int = MOST_UNDER_KEY) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Of repeated rows with that id, all stay."""
-    grouped = groups(docs)
-    stay = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = unused("kept_id", docs)
+    firsts = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = firsts.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

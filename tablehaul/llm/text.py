@@ -89,3 +89,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set to suit the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -156,7 +156,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic = known.filter("toxic = 1").orderBy(order, "label_id").limit(MOST_TOXIC)
     clean = known.filter("toxic = 0").orderBy(order, "label_id").limit(MOST_CLEAN)
     sample = F.broadcast(toxic.union(clean))  # at most MOST_TOXIC + MOST_CLEAN rows
-    return docs.join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
