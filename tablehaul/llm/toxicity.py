@@ -128,7 +128,7 @@ def features(text: str | None, lexicon: Lexicon, cache: dict[str, int | None]) -
     for number, match in enumerate(WORD.finditer(lower)):
         word, start = match[0], match.start()
         if start > line_end:
-            line_start, line_end = start, lower.find("\n", start)
+            line_start, line_end = lower.rfind("\n", 0, start) + 1, lower.find("\n", start)
             line_end = len(lower) if line_end < 0 else line_end
             quoted, at = 0, line_start
         if word in terms:
