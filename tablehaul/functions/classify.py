@@ -20,7 +20,7 @@ CONSTANT = (
 ).split()
 
 # One-letter names that count as flags.
-ONE_LETTER_FLAGS = list("QWERTYZX")
+ONE_LETTER_FLAGS = list("XYZQWERTY")
 
 
 def _has_any(text: Column, words: list[str]) -> Column:

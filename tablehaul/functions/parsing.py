@@ -18,9 +18,9 @@ def parse_number(col: Column) -> Column:
 
 
 def parse_integer(col: Column) -> Column:
-    """The number when it has no fraction, else null."""
+    """The number when it has no fraction, else null; compared as doubles, so numbers of any length count."""
     number = parse_number(col)
-    return F.when(number == F.floor(number), number)
+    return F.when(number == F.rint(number), number)
 
 
 def parse_date(col: Column) -> Column:

@@ -13,26 +13,25 @@ def decision_table(sources: DataFrame, matched: DataFrame, manual: DataFrame, sk
     """mapped, manual, skipped or pending per source field; matched wins over manual.
 
     ``matched``: source_field, target_field, confidence. ``manual``: field_name, target_field,
-    confidence. ``skipped``: field_name, confidence, reason. One aggregate picks the decision with
-    the highest priority; every skip stays a row of its own, as in the log it comes from.
+    confidence. ``skipped``: field_name, confidence, reason. Every match and every skip is a row of
+    its own, as in the log it comes from; a manual mapping counts where there is no match, and a
+    source without any of these is pending.
     """
-    def rows(df: DataFrame, field: str, target, rank: int, status: str, confidence, rationale) -> DataFrame:
+    def rows(df: DataFrame, field: str, target, status: str, confidence, rationale) -> DataFrame:
         return df.select(
-            *BY, F.col(field).alias("source_field"), target.alias("target_field"), F.lit(rank).alias("rank"),
+            *BY, F.col(field).alias("source_field"), target.alias("target_field"),
             F.lit(status).alias("status"), confidence.alias("confidence"), rationale.alias("rationale"),
         )
 
     none = F.lit("")
     hits = matched.filter(F.col("target_field").isNotNull())
-    decisions = (
-        rows(hits, "source_field", F.col("target_field"), 0, "mapped", F.col("confidence"), F.lit("Exact field match"))
-        .unionByName(rows(manual, "field_name", F.col("target_field"), 1, "manual", F.col("confidence"), F.lit("Manual mapping from central memory")))
-        .unionByName(rows(skipped, "field_name", none, 2, "skipped", F.col("confidence"), F.col("reason")))
-        .unionByName(rows(sources, "field_name", none, 3, "pending", F.lit(0.0), F.lit("Geen geschikte match gevonden")))
-    )
-    value = F.struct("target_field", "status", "confidence", "rationale")
-    best = decisions.groupBy(*BY, "source_field").agg(F.min_by(value, F.struct("rank", "target_field")).alias("d"))
-    return best.select(*BY, "source_field", "d.*")
+    key = [*BY, "source_field"]
+    mapped = rows(hits, "source_field", F.col("target_field"), "mapped", F.col("confidence"), F.lit("Exact field match"))
+    given = rows(manual, "field_name", F.col("target_field"), "manual", F.col("confidence"), F.lit("Manual mapping from central memory"))
+    left_out = rows(skipped, "field_name", none, "skipped", F.col("confidence"), F.col("reason"))
+    decided = mapped.unionByName(given.join(mapped.select(key).distinct(), key, "left_anti")).unionByName(left_out)
+    open_ = rows(sources, "field_name", none, "pending", F.lit(0.0), F.lit("Geen geschikte match gevonden"))
+    return decided.unionByName(open_.join(decided.select(key).distinct(), key, "left_anti"))
 
 
 def residual_targets(targets: DataFrame, matched: DataFrame) -> DataFrame:

@@ -20,8 +20,6 @@ from tablehaul.operators.quantiles import exact_quantiles
 NUMERIC_POINTS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 LENGTH_POINTS = {"p50": 0.5, "p95": 0.95}
 HISTOGRAM_BINS = 12
-# Columns per generated aggregation; wider tables are cut into several and united.
-COLUMNS_PER_PASS = 60
 
 
 def column_types(df: DataFrame, rule_types: dict[str, str] | None = None, only: list[str] | None = None) -> dict[str, str]:
@@ -40,20 +38,12 @@ def _valid(value: Column, kind: str) -> Column:
 
 
 def _per_column(df: DataFrame, columns: list[str], stats) -> DataFrame:
-    """One aggregation over all columns, turned into one row per column."""
-    parts = []
-    for at in range(0, len(columns), COLUMNS_PER_PASS):
-        chunk = columns[at : at + COLUMNS_PER_PASS]
-        structs = [
-            F.struct(F.lit(c).alias("field"), *[v.alias(k) for k, v in stats(c).items()]).alias(f"c{i}")
-            for i, c in enumerate(chunk)
-        ]
-        row = df.agg(*structs)
-        parts.append(row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(chunk))]))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """One aggregation over all columns in one scan, turned into one row per column."""
+    structs = [
+        F.struct(F.lit(c).alias("field"), *[v.alias(k) for k, v in stats(c).items()]).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    return df.agg(*structs).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
 
 
 def empty_counts(df: DataFrame, columns: list[str] | None = None, missing: list[str] = ()) -> DataFrame:
@@ -139,6 +129,9 @@ def profile_counts(counts: DataFrame, types: dict[str, str]) -> DataFrame:
         F.sum(F.when(invalid, n).otherwise(0)).alias("invalid"),
         F.count_if(~blank).alias("unique"),
     )
+    figures = ["total", "missing", "invalid", "unique"]
+    fields = counts.sparkSession.createDataFrame([(c,) for c in types], "field string")
+    raw = fields.join(raw, "field", "left").fillna(0, figures)  # a table without rows has all its fields
     raw = raw.withColumn("count", F.col("total") - F.col("missing"))
     ratio = F.when(F.col("count") > 0, F.col("unique") / F.col("count")).otherwise(0.0)
     pct = lambda c: F.bround(F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0), 2)

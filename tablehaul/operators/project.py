@@ -113,20 +113,31 @@ def drop_empty_rows(df: DataFrame, columns: Iterable[str] | None = None) -> Data
 
 def search(df: DataFrame, anywhere: str = "", column: str | None = None, contains: str = "") -> DataFrame:
     """Rows where any cell contains a text, and one named column another; case is ignored."""
+    if column is not None and column not in df.columns:
+        raise ValueError(f"there is no column {column}")
     if anywhere:
         needle = anywhere.lower()
         hit = F.lit(False)
         for c in df.columns:
             hit = hit | F.coalesce(F.lower(quoted(c).cast("string")).contains(needle), F.lit(False))
         df = df.filter(hit)
-    if column in df.columns and contains:
+    if column is not None and contains:
         df = df.filter(F.lower(quoted(column).cast("string")).contains(contains.lower()))
     return df
 
 
+LEADING_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+
+
+def leading_number(column: str) -> Column:
+    """The number that a text begins with, or null."""
+    start = F.regexp_extract(quoted(column).cast("string"), LEADING_NUMBER, 1)
+    return F.nullif(start, F.lit("")).try_cast("double")
+
+
 def numeric_first_order(column: str, descending: bool = False) -> list[Column]:
-    """Sort keys: numbers by value first, then the rest as text. A total order."""
-    number = F.expr(f"try_cast(`{column}` AS double)")
+    """Sort keys: texts that begin with a number first, by that number, then the rest as text. A total order."""
+    number = leading_number(column)
     if descending:
         return [number.desc_nulls_last(), quoted(column).desc()]
     return [number.asc_nulls_last(), quoted(column).asc()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,6 @@ from tablehaul.functions import parsing
 from tablehaul.functions.text import strip
 from tablehaul.operators.project import quoted
 
-# A value table up to this many entries becomes a literal; a longer one is joined as a table.
-LITERAL_ENTRIES = 200
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,11 +33,16 @@ class FieldTransform:
 
 
 def map_value(value: Column, mappings: dict[str, str], case_sensitive: bool = False) -> Column:
-    """Translate through a small value table; values it lacks stay as they are."""
+    """Translate through a value table given with the rule; values it lacks stay as they are.
+
+    Of entries that differ only in case the first counts. Longer tables belong into ``map_by_table``.
+    """
     if not mappings:
         return value
     fold = (lambda s: s) if case_sensitive else str.lower
-    pairs = {fold(k): v for k, v in mappings.items()}
+    pairs: dict[str, str] = {}
+    for given, target in mappings.items():
+        pairs.setdefault(fold(given), target)
     table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
     key = value if case_sensitive else F.lower(value)
     return F.coalesce(F.try_element_at(table, key), value)
@@ -58,15 +61,17 @@ def fill_value(value: Column, placeholder: str, settings: Settings) -> Column:
 def apply_transforms(df: DataFrame, transforms: list[FieldTransform], settings: Settings = Settings()) -> DataFrame:
     """All field transforms in one projection.
 
-    ``skip`` drops a row whose field is null or empty; ``error`` adds the label ``FIELD.null``
-    to the row's error list (created when the table has none).
+    With ``skip`` a row whose field is null or empty stays, and a column ``skipped`` tells it from
+    the others; ``error`` adds the label ``FIELD.null`` to the row's error list (created when the
+    table has none).
     """
     by_name = {t.target.lower(): t for t in transforms}
-    columns, labels, keep = [], [], F.lit(True)
+    out: dict[str, Column] = {}
+    labels, skipped = [], []
     for name in df.columns:
         rule = by_name.get(name.lower())
         if rule is None:
-            columns.append(quoted(name))
+            out[name] = quoted(name)
             continue
         value = quoted(name)
         if settings.trim_whitespace:
@@ -77,22 +82,22 @@ def apply_transforms(df: DataFrame, transforms: list[FieldTransform], settings:
             value = F.expr(rule.expression).cast("string")
         else:
             if settings.null_handling == "skip":
-                keep = keep & value.isNotNull()
+                skipped.append(value.isNull())
             if settings.null_handling == "error":
                 labels.append(F.when(value.isNull(), F.lit(f"{name.upper()}.null")))
             if settings.empty_string_handling == "skip":
-                keep = keep & F.coalesce(value != "", F.lit(True))
+                skipped.append(F.coalesce(value == "", F.lit(False)))
             value = map_value(value, rule.value_mappings, settings.case_sensitive_mappings)
             value = fill_value(value, rule.placeholder, settings)
-        columns.append(value.alias(name))
-    out = df.filter(keep)
+        out[name] = value
+    if skipped:
+        out.pop("skipped", None)
+        out["skipped"] = reduce(Column.__or__, skipped)
     if labels:
         found = F.array_compact(F.array(*labels))
-        columns = [c for c, n in zip(columns, df.columns) if n != "errors"]
-        if "errors" in df.columns:
-            found = F.concat(F.col("errors"), found)
-        columns.append(found.alias("errors"))
-    return out.select(*columns)
+        before = out.pop("errors", None)
+        out["errors"] = found if before is None else F.concat(before, found)
+    return df.select(*[value.alias(name) for name, value in out.items()])
 
 
 def map_by_table(
@@ -100,12 +105,12 @@ def map_by_table(
 ) -> DataFrame:
     """Translate a column through a table (source_value, target_value) of any length.
 
-    The table's first target value per source value counts. Spark picks broadcast or shuffle
-    from the table's real size.
+    Per source value the target value at the smallest ``position`` counts; in a table without that
+    column the smallest target value. Spark picks broadcast or shuffle from the table's real size.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     lookup = table.groupBy(fold(F.col("source_value")).alias("__key")).agg(
-        F.min("target_value").alias("__value")
+        F.min_by("target_value", "position" if "position" in table.columns else "target_value").alias("__value")
     )
     joined = df.join(lookup, fold(quoted(column)) == F.col("__key"), "left")
     value = F.coalesce("__value", quoted(column))

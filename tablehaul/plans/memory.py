@@ -150,19 +150,19 @@ def fallback_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DECISION = f"""{matching.MATCH}, {MEMORY[len(catalogues.BOTH) + 2:]},
-    hits2 AS (SELECT object, variant, field_name, target_field FROM (SELECT object, variant, source_header AS field_name, target_field,
-      row_number() OVER (PARTITION BY object, variant, source_header ORDER BY target_field) AS k FROM matched WHERE stage = 'exact') WHERE k = 1)"""
+    hits2 AS (SELECT object, variant, source_header AS field_name, target_field FROM matched WHERE stage = 'exact')"""
 
 
 @query(
     "decision_table",
-    f"""WITH {DECISION} SELECT object, variant, field_name AS source_field,
-    CASE WHEN h.target_field IS NOT NULL THEN h.target_field WHEN m.r IS NOT NULL THEN m.r.t ELSE '' END AS target_field,
-    CASE WHEN h.target_field IS NOT NULL THEN 'mapped' WHEN m.r IS NOT NULL THEN 'manual' WHEN a.r IS NOT NULL THEN 'skipped' ELSE 'pending' END AS status,
-    CAST(CASE WHEN h.target_field IS NOT NULL OR m.r IS NOT NULL OR a.r IS NOT NULL THEN 1 ELSE 0 END AS DOUBLE) AS confidence,
-    CASE WHEN h.target_field IS NOT NULL THEN 'Exact field match' WHEN m.r IS NOT NULL THEN 'Manual mapping from central memory'
-      WHEN a.r IS NOT NULL THEN 'Central memory skip rule: ' || a.r.c ELSE 'Geen geschikte match gevonden' END AS rationale
-    FROM sources LEFT JOIN hits2 h USING (object, variant, field_name) LEFT JOIN eff_manual m USING (object, variant, field_name) LEFT JOIN eff_active a USING (object, variant, field_name)""",
+    f"""WITH {DECISION},
+    decided AS (
+      SELECT object, variant, field_name, target_field, 'mapped' AS status, 1 AS confidence, 'Exact field match' AS rationale FROM hits2
+      UNION ALL SELECT object, variant, field_name, r.t, 'manual', 1, 'Manual mapping from central memory' FROM eff_manual ANTI JOIN hits2 USING (object, variant, field_name)
+      UNION ALL SELECT object, variant, field_name, '', 'skipped', 1, 'Central memory skip rule: ' || r.c FROM eff_active)
+    SELECT object, variant, field_name AS source_field, target_field, status, CAST(confidence AS DOUBLE) AS confidence, rationale FROM decided
+    UNION ALL SELECT object, variant, field_name, '', 'pending', 0.0, 'Geen geschikte match gevonden' FROM sources
+    WHERE NOT EXISTS (SELECT 1 FROM decided d WHERE d.object = sources.object AND d.variant = sources.variant AND d.field_name = sources.field_name)""",
 )
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = catalogues.sources(spark, sf_dir)

@@ -48,7 +48,8 @@ def placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "placeholder_skip",
-    f"WITH {legacy.LEGACY} SELECT order_no, trim(status) AS status, remark FROM legacy WHERE trim(status) <> '' AND remark IS NOT NULL",
+    f"""WITH {legacy.LEGACY} SELECT order_no, trim(status) AS status, remark,
+    status IS NULL OR trim(status) = '' OR remark IS NULL OR trim(remark) = '' AS skipped FROM legacy""",
 )
 def placeholder_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = legacy.legacy_orders(spark, sf_dir).select("order_no", "status", "remark")
@@ -108,35 +109,37 @@ def number_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", transform.standardize_number(F.col("written")).alias("amount"))
 
 
-RATES_SQL = """rates AS (SELECT n_name AS from_currency, CAST(0.5 + n_nationkey / 25 AS DECIMAL(18,8)) AS rate FROM nation WHERE n_regionkey <> 4)"""
+RATES_SQL = """rates AS (SELECT CASE WHEN n_regionkey = 4 THEN 'OLD_' ELSE '' END || n_name AS from_currency, CAST(0.5 + n_nationkey / 25 AS DECIMAL(18,8)) AS rate FROM nation)"""
 
 
 @query(
     "currency",
     f"""WITH {RATES_SQL} SELECT c_custkey, CAST(round(CAST(c_acctbal AS DECIMAL(18,4)) * CASE WHEN n_name = 'NATION_0' THEN 1 ELSE rate END, 2) AS DOUBLE) AS converted
-    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN rates ON n_name = from_currency""",
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN rates ON n_name = from_currency""",
 )
 def currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation has its currency and a rate to that of nation 0; one region has no rates."""
+    """Each nation has its currency and a rate to that of nation 0; the currencies of one region go by old names."""
     nation = table(spark, sf_dir, "nation")
-    rates = nation.filter(F.col("n_regionkey") != 4).select(
-        F.col("n_name").alias("from_currency"), F.lit("NATION_0").alias("to_currency"),
+    old = F.when(F.col("n_regionkey") == 4, "OLD_").otherwise("")
+    rates = nation.select(
+        F.concat(old, "n_name").alias("from_currency"), F.lit("NATION_0").alias("to_currency"),
         (0.5 + F.col("n_nationkey") / 25).alias("rate"),
     )
     rows = transform.lookup(table(spark, sf_dir, "customer"), "c_nationkey", nation, "n_nationkey", "n_name", "currency")
-    out = transform.convert_currency(rows.filter(F.col("currency").isNotNull()), "c_acctbal", "currency", rates, "NATION_0")
+    out = transform.convert_currency(rows, "c_acctbal", "currency", rates, "NATION_0")
     return out.select("c_custkey", F.col("converted").cast("double").alias("converted"))
 
 
 @query(
     "lookup",
     """SELECT l_orderkey, l_linenumber, l_partkey, p_brand AS brand FROM lineitem
-    LEFT JOIN (SELECT p_partkey, p_brand FROM part WHERE p_size <= 25) ON l_partkey = p_partkey""",
+    LEFT JOIN (SELECT CASE WHEN p_size <= 25 THEN p_partkey ELSE -p_partkey END AS part_no, p_brand FROM part) ON l_partkey = part_no""",
 )
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    small = table(spark, sf_dir, "part").filter(F.col("p_size") <= 25)
-    return transform.lookup(lines, "l_partkey", small, "p_partkey", "p_brand", "brand")
+    part_no = F.when(F.col("p_size") <= 25, F.col("p_partkey")).otherwise(-F.col("p_partkey"))
+    parts = table(spark, sf_dir, "part").select(part_no.alias("part_no"), "p_brand")
+    return transform.lookup(lines, "l_partkey", parts, "part_no", "p_brand", "brand")
 
 
 @query(

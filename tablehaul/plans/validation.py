@@ -162,13 +162,21 @@ def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.search(customers, "7", "c_mktsegment", "Mach")
 
 
+MIXED = "CASE WHEN order_no % 5 = 0 THEN concat(total, ' EUR') WHEN order_no % 7 = 0 THEN concat('n/a ', total) ELSE total END"
+
+
 @query(
     "numeric_first_sort",
-    f"""WITH {legacy.LEGACY} SELECT total, order_no FROM legacy ORDER BY try_cast(total AS DOUBLE) ASC NULLS LAST, total, order_no""",
+    f"""WITH {legacy.LEGACY}, given AS (SELECT {MIXED} AS total, order_no FROM legacy),
+    keyed AS (SELECT *, try_cast(nullif(regexp_extract(total, '{project.LEADING_NUMBER}', 1), '') AS DOUBLE) AS number FROM given)
+    SELECT total, order_no, row_number() OVER (ORDER BY number ASC NULLS LAST, total ASC NULLS FIRST, order_no) AS "position" FROM keyed""",
 )
 def numeric_first_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = legacy.legacy_orders(spark, sf_dir).select("total", "order_no")
-    return rows.orderBy(*project.numeric_first_order("total"), "order_no")
+    """Totals, some with a word behind or before them; the order shows in the row numbers."""
+    rows = legacy.legacy_orders(spark, sf_dir).select(F.expr(MIXED).alias("total"), "order_no")
+    number = project.leading_number("total")
+    keyed = rows.withColumn("is_text", number.isNull()).withColumn("number", number)
+    return number_rows(keyed, ["is_text", "number", "total", "order_no"], "position").select("total", "order_no", "position")
 
 
 @query(

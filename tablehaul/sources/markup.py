@@ -20,7 +20,7 @@ def repair_markup(raw: Column) -> Column:
         (r"(?s)<!--.*?-->", ""),
         (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
         (r"&[a-zA-Z0-9]*;", ""),
-        (r"<([^/>&]*\s)[^>&]*&[^>]*>", "<$1>"),
+        (r"<([^/>&]*\s)&(?!#)[^>]*>", "<$1>"),
         (r"</?invalid[^>]*>", ""),
     ):
         raw = F.regexp_replace(raw, pattern, replacement)
@@ -65,19 +65,21 @@ def read_markup_cells(spark: SparkSession, paths: str | list[str], sheet: str =
     return rows.select("file", "sheet", (F.col("row_no") + 1).alias("row_no"), F.inline(numbered["cells"]))
 
 
-def carry_merged(cells: DataFrame, width: int) -> DataFrame:
+def carry_merged(cells: DataFrame, width: int = 0) -> DataFrame:
     """Fill rows under a vertically merged cell with its value, as far as the merge reaches.
 
     The forward fill looks at the latest merged cell above in the same column; a row's own cell
-    wins. Returns one row per sheet row with ``cells`` by column position.
+    wins. Returns one row per sheet row with ``cells`` by column position: as many as the widest
+    row has, and at least ``width``.
     """
+    width = max(width, cells.agg(F.max("col_no")).first()[0] or 0)
     above = cells.filter((F.col("merge_down") > 0) & F.col("value").isNotNull())
     spread = above.select("file", "sheet", F.explode(F.sequence(F.col("row_no") + 1, F.col("row_no") + F.col("merge_down"))).alias("row_no"), "col_no", "value", F.col("row_no").alias("from_row"))
     own = cells.select("file", "sheet", "row_no", "col_no", "value", F.lit(2**30).alias("from_row"))
     carried = spread.join(cells.select("file", "sheet", "row_no").distinct(), ["file", "sheet", "row_no"])
     merged = own.unionByName(carried.select(own.columns)).groupBy("file", "sheet", "row_no", "col_no").agg(F.max_by("value", "from_row").alias("value"))
     wide = merged.groupBy("file", "sheet", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("m"))
-    return wide.select("file", "sheet", "row_no", F.array(*[F.try_element_at("m", F.lit(i + 1)) for i in range(width)]).alias("cells"))
+    return wide.select("file", "sheet", "row_no", F.transform(F.sequence(F.lit(1), F.lit(max(width, 1))), lambda i: F.try_element_at("m", i)).alias("cells"))
 
 
 def after_header(rows: DataFrame, is_header: Column) -> DataFrame:

@@ -135,3 +135,8 @@ def test_measures_agree_with_definitions(spark, pairs):
     lcs = [r[0] for r in df.select(similarity.longest_common_substring(F.col("a"), F.col("b"))).collect()]
     subs = lambda s: {s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
     assert lcs == [max([len(x) for x in subs(a) & subs(b)], default=0) for a, b in pairs]
+
+
+def test_whole_numbers_of_any_length(frame):
+    df = frame([("99999999999999999999",), ("1e20",), ("-7",), ("7.0",), ("7.5",), ("x",)], "v string")
+    assert [r[0] is not None for r in df.select(parsing.parse_integer(F.col("v"))).collect()] == [True, True, True, True, False, False]

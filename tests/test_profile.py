@@ -130,3 +130,17 @@ def test_whole_table_profile(frame):
     rows = {r.field: r for r in profile.profile_table(df).collect()}
     assert rows["order_number"].type == "decimal" and rows["order_number"].p50 == 1.5 and rows["order_number"].invalid == 1
     assert rows["name"].len_max == 1 and rows["name"].missing == 1
+
+
+def test_empty_table_has_all_fields(frame):
+    empty = frame([], "a string, b string")
+    types = profile.column_types(empty)
+    rows = profile.profile_counts(profile.value_counts(empty, ["a", "b"]), types).orderBy("field").collect()
+    assert [(r.field, r["count"], r.missing, r.quality_score) for r in rows] == [("a", 0, 0, 80.0), ("b", 0, 0, 80.0)]
+    assert profile.profile_table(empty).count() == 2
+
+
+def test_two_hundred_columns_in_one_scan(frame):
+    wide = frame([tuple("1" for _ in range(200))], ", ".join(f"c{i} string" for i in range(200)))
+    out = profile.empty_counts(wide)
+    assert out.count() == 200

@@ -79,6 +79,10 @@ def test_rule_overlay_and_consistency(frame):
 
 def test_search_and_sort(frame):
     df = frame([("10", "x"), ("9", "Yes"), ("abc", "no"), ("", "yes")], "v string, w string")
+    mixed = frame([("12abc",), ("NaN",), ("1.5d",), ("inf",), (" 3",), ("1e1x",)], "`odd``name` string")
+    assert [r[0] for r in mixed.orderBy(*project.numeric_first_order("odd`name")).collect()] == ["1.5d", " 3", "1e1x", "12abc", "NaN", "inf"]
+    with pytest.raises(ValueError, match="no column"):
+        project.search(df, "9", "missing", "x")
     assert [r.v for r in df.orderBy(*project.numeric_first_order("v")).collect()] == ["9", "10", "", "abc"]
     assert [r.v for r in df.orderBy(*project.numeric_first_order("v", descending=True)).collect()] == ["10", "9", "abc", ""]
     assert project.search(df, "YES").count() == 2 and project.search(df, "9", "w", "YE").count() == 1
@@ -109,13 +113,17 @@ def test_value_map_and_placeholders(frame):
         (" Old ", "", []), ("keep", None, ["B.null"]), (None, "x", ["A.null"]),
     ]
     skip = Settings(null_handling="skip", empty_string_handling="skip")
-    assert transform.apply_transforms(df, rules, skip).count() == 0
+    assert [r.skipped for r in transform.apply_transforms(df, rules, skip).collect()] == [True, True, True]
+    first = FieldTransform("a", value_mappings={"OLD": "first", "old": "second"})
+    assert transform.apply_transforms(df, [first]).first().a == "first"
 
 
 def test_table_map_lookup_currency_dates(frame):
     df = frame([("NL", "EUR", 10.0), ("xx", "USD", 10.0), ("de", "GBP", 10.0)], "c string, cur string, amount double")
     table = frame([("nl", "528"), ("DE", "276")], "source_value string, target_value string")
     assert {r.c for r in transform.map_by_table(df, "c", table).collect()} == {"528", "xx", "276"}
+    placed = frame([("nl", "9", 1), ("NL", "1", 2), ("de", "4", 1)], "source_value string, target_value string, position int")
+    assert {r.c for r in transform.map_by_table(df, "c", placed).collect()} == {"9", "xx", "4"}
     rates = frame([("USD", "EUR", 0.91555), ("GBP", "USD", 9.0)], "from_currency string, to_currency string, rate double")
     got = {r.cur: r.converted for r in transform.convert_currency(df, "amount", "cur", rates, "EUR").collect()}
     assert float(got["EUR"]) == 10.0 and float(got["USD"]) == 9.16 and got["GBP"] is None

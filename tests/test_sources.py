@@ -224,3 +224,13 @@ def test_catalogue_documents_of_two_generations(spark, tmp_path):
     write(tmp_path, "b.json", json.dumps({"metadata": meta, "source_fields": [{"source_field_name": "B", "source_nullable": False, "source_field_count": 2}]}))
     rows = metadata.read_catalogue(spark, str(tmp_path), "source_fields", catalog.SOURCE_NAMES).collect()
     assert {(r.field_name, r.ordinal, r.nullable) for r in rows} == {("A", 1, True), ("B", 2, False)}
+
+
+def test_repair_keeps_character_references(frame):
+    raw = '<Cell ss:Name="caf&#xE9;" ss:Index="4"><Cell a="1" &bad stuff>'
+    assert frame([(raw,)], "v string").select(markup.repair_markup(F.col("v"))).first()[0] == '<Cell ss:Name="caf&#xE9;" ss:Index="4"><Cell a="1" >'
+
+
+def test_wide_sheet_keeps_all_cells(frame):
+    cells = frame([("f", "s", 1, c, f"v{c}", 0) for c in range(1, 41)], "file string, sheet string, row_no int, col_no int, value string, merge_down int")
+    assert [r.cells for r in markup.carry_merged(cells).collect()] == [[f"v{c}" for c in range(1, 41)]]
