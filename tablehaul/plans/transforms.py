@@ -15,7 +15,7 @@ PRIORITIES = {"1-Urgent": "A", "2-HIGH": "B", "3-medium": "C"}
 PRIORITY_SQL = "CASE lower(trim(prio)) WHEN '1-urgent' THEN 'A' WHEN '2-high' THEN 'B' WHEN '3-medium' THEN 'C' ELSE trim(prio) END"
 
 
-@query("value_map", f"WITH {legacy.LEGACY} SELECT order_no, {PRIORITY_SQL} AS prio FROM legacy")
+@query("value_map", f"WITH {legacy.LEGACY} SELECT order_no, {PRIORITY_SQL} AS prio, prio IS NULL AS skipped FROM legacy")
 def value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = legacy.legacy_orders(spark, sf_dir).select("order_no", "prio")
     keep = Settings(null_handling="skip", empty_string_handling="keep")
