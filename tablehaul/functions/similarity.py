@@ -44,7 +44,7 @@ def _jaro(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity with half transpositions (an odd count is not rounded down)."""
-    return pd.Series([_jaro(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def common_prefix(a: Column, b: Column, limit: int = 4) -> Column:

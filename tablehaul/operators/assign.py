@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablehaul.functions.similarity import weighted_similarity
 from tablehaul.functions.text import normalize_name
 from tablehaul.operators.match import BY, thesaurus_pairs
-from tablehaul.operators.simjoin import similar_names
+from tablehaul.operators.simjoin import similar_within
 from tablehaul.session import cut_lineage
 
 
@@ -37,8 +37,8 @@ def preferences(sources: DataFrame, targets: DataFrame, labels: list[str], thres
         *key, "target_ordinal", F.lit(0).alias("stage"), "priority", F.lit(1.0).alias("score"), F.lit("exact").alias("method")
     )
     labelled = t.withColumn("r", normalize_name(F.col("label")))
-    pairs = similar_names(s, labelled, "l", "r", threshold, weighted_similarity)
-    fuzzy = s.join(pairs, "l").join(labelled, [*BY, "r"]).select(*key, "target_ordinal", "score", F.lit("fuzzy").alias("method"))
+    pairs = similar_within(s, labelled, BY, "l", "r", threshold, weighted_similarity)
+    fuzzy = s.join(pairs, [*BY, "l"]).join(labelled, [*BY, "r"]).select(*key, "target_ordinal", "score", F.lit("fuzzy").alias("method"))
     named = targets.select(*BY, F.col("ordinal").alias("target_ordinal"), normalize_name(F.col("field_name")).alias("r"))
     syn = (
         s.join(thesaurus_pairs(s, named, "l", "r"), "l").join(named, [*BY, "r"])

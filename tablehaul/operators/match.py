@@ -1,8 +1,8 @@
 """Matching target fields to source columns for all objects at once.
 
-``match_targets`` is the live cascade (exact, synonym, similar). Scores are computed once per
-distinct pair of names over all objects, then joined back, because the same field names recur in
-thousands of tables.
+``match_targets`` is the live cascade (exact, synonym, similar). Names meet inside their object and
+variant only; each distinct pair is scored once, because the same field names recur in thousands of
+tables.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablehaul.functions.similarity import longest_common_substring, weighted_similarity
 from tablehaul.functions.text import normalize_description, normalize_name, spaced_name
 from tablehaul.functions.thesaurus import thesaurus_table
-from tablehaul.operators.simjoin import similar_names
+from tablehaul.operators.simjoin import similar_within
 
 BY = ["object", "variant"]
 UNKNOWN = "field_name onbekend"
@@ -95,9 +95,9 @@ def similar_candidates(sources: DataFrame, targets: DataFrame, limits: Threshold
         )))).alias("r"),
     )
     headers = sources.withColumn("l", normalize_name(F.col("source_header")))
-    pairs = similar_names(headers, labels, "l", "r", min(limits.fuzzy, limits.mandatory))
+    pairs = similar_within(headers, labels, BY, "l", "r", min(limits.fuzzy, limits.mandatory))
     enough = (F.col("score") >= limits.fuzzy) | (F.col("required") & (F.col("score") >= limits.mandatory))
-    found = labels.join(pairs, "r").filter(enough).join(headers, [*BY, "l"])
+    found = labels.join(pairs, [*BY, "r"]).filter(enough).join(headers, [*BY, "l"])
     return found.groupBy(*TARGET_KEY, "t_name", "source_header", "source_ordinal").agg(F.max("score").alias("score"))
 
 
@@ -289,12 +289,12 @@ def match_described(
             .select(*key, "target_ordinal", "target_field", F.lit(0.85).alias("confidence"), F.lit("synonym").alias("match_type"))
         )
         open_ = rest.join(syn, key, "left_anti")
-        by_name = similar_names(open_, t, "s_name", "t_name", threshold, score).withColumnsRenamed({"l": "s_name", "r": "t_name"})
-        name_pairs = open_.join(by_name, "s_name").join(t, [*BY, "t_name"]).select(*key, "target_ordinal")
+        by_name = similar_within(open_, free, BY, "s_name", "t_name", threshold, score).withColumnsRenamed({"l": "s_name", "r": "t_name"})
+        name_pairs = open_.join(by_name, [*BY, "s_name"]).join(free, [*BY, "t_name"]).select(*key, "target_ordinal")
         told = open_.filter(F.col("s_desc") != "")
-        by_desc = similar_names(told, free.filter(F.col("t_desc") != ""), "s_desc", "t_desc", threshold, score).withColumnsRenamed({"l": "s_desc", "r": "t_desc"})
-        desc_pairs = told.join(by_desc, "s_desc").join(free, [*BY, "t_desc"]).select(*key, "target_ordinal")
-        pairs = name_pairs.join(taken, [*BY, "target_ordinal"], "left_anti").unionByName(desc_pairs).distinct()
+        by_desc = similar_within(told, free.filter(F.col("t_desc") != ""), BY, "s_desc", "t_desc", threshold, score).withColumnsRenamed({"l": "s_desc", "r": "t_desc"})
+        desc_pairs = told.join(by_desc, [*BY, "s_desc"]).join(free, [*BY, "t_desc"]).select(*key, "target_ordinal")
+        pairs = name_pairs.unionByName(desc_pairs).distinct()
         both = (F.col("s_desc") != "") & (F.col("t_desc") != "")
         name = score(F.col("s_name"), F.col("t_name"))
         total = F.when(both, 0.7 * name + 0.3 * score(F.col("s_desc"), F.col("t_desc"))).otherwise(name)
@@ -303,8 +303,8 @@ def match_described(
         out = out.unionByName(syn).unionByName(best)
 
         taken_t = t.join(taken, [*BY, "target_ordinal"], "left_semi")
-        near = similar_names(rest, taken_t, "s_name", "t_name", threshold, score).withColumnsRenamed({"l": "s_name", "r": "t_name", "score": "confidence"})
-        watched = rest.join(near, "s_name").join(taken_t, [*BY, "t_name"])
+        near = similar_within(rest, taken_t, BY, "s_name", "t_name", threshold, score).withColumnsRenamed({"l": "s_name", "r": "t_name", "score": "confidence"})
+        watched = rest.join(near, [*BY, "s_name"]).join(taken_t, [*BY, "t_name"])
         audit = _best_target(watched, key).withColumn("match_type", F.lit("audit"))
     named = s.select(*key, "source_field")
     result = named.join(out, key, "left").select(

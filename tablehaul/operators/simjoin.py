@@ -78,6 +78,37 @@ def similar_names(left: DataFrame, right: DataFrame, l: str, r: str, threshold:
     return equal.unionByName(scored.filter(F.col("score") >= threshold))
 
 
+SALTS = 8
+
+
+def similar_within(left: DataFrame, right: DataFrame, by: list[str], l: str, r: str, threshold: float = 0.8, score=name_score) -> DataFrame:
+    """Rows (by, l, r, score) of strings of one group with score >= threshold; any threshold will do.
+
+    The strings of a group meet each other and no others, so the work follows the number of groups.
+    A large group is spread over ``SALTS`` join keys. Length and character masks cut the pairs before
+    they are scored, and each distinct pair is scored once, however many groups hold it.
+    """
+    a = _masked(left.filter(F.col(l).isNotNull()).select(*by, F.col(l).alias("l")).distinct(), "l")
+    b = _masked(right.filter(F.col(r).isNotNull()).select(*by, F.col(r).alias("r")).distinct(), "r")
+    spread = a.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = b.withColumn("__salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int"))
+    close = (F.col("l") == F.col("r")) | (_score_bound() >= threshold - simkeys.EPS)
+    met = spread.join(salted, [*by, "__salt"]).filter(close).select(*by, "l", "r")
+    pairs = met.filter(F.col("l") != F.col("r")).select("l", "r").distinct()
+    scored = pairs.select("l", "r", score(F.col("l"), F.col("r")).alias("score")).filter(F.col("score") >= threshold)
+    equal = met.filter(F.col("l") == F.col("r")).select(*by, "l", "r", F.lit(1.0).alias("score"))
+    return equal.unionByName(met.join(scored, ["l", "r"]).select(*by, "l", "r", "score"))
+
+
+def _masked(strings: DataFrame, name: str) -> DataFrame:
+    @F.pandas_udf("low long, high long")
+    def masks(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([simkeys.bag_bits(s) for s in texts], columns=["low", "high"])
+
+    made = strings.withColumn("__m", masks(F.col(name)))
+    return made.withColumns({f"{name}_low": F.col("__m.low"), f"{name}_high": F.col("__m.high")}).drop("__m")
+
+
 _NAME_KEYS = T.StructType(
     [T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]
 )
@@ -104,5 +135,5 @@ def _score_bound() -> Column:
     own = lambda s: F.bit_count(f"{s}_low") + F.bit_count(f"{s}_high")
     both = F.bit_count(F.col("l_low").bitwiseAND(F.col("r_low"))) + F.bit_count(F.col("l_high").bitwiseAND(F.col("r_high")))
     common = F.least(both + F.least(la - own("l"), lb - own("r")), la, lb)
-    jaro = (common / la + common / lb + 1) / 3
-    return F.greatest(jaro + 0.1 * common_prefix(F.col("l"), F.col("r")) * (1 - jaro), common / F.greatest(la, lb))
+    jaro = F.coalesce((F.try_divide(common, la) + F.try_divide(common, lb) + 1) / 3, F.lit(0.0))
+    return F.greatest(jaro + 0.1 * common_prefix(F.col("l"), F.col("r")) * (1 - jaro), F.coalesce(F.try_divide(common, F.greatest(la, lb)), F.lit(0.0)))

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablehaul.functions.thesaurus import thesaurus_rows
 from tablehaul.operators import assign, simjoin, simkeys
@@ -146,3 +147,26 @@ def test_one_to_one_over_catalogues_equals_a_plain_loop(spark):
                 want[(*group, s.ordinal)] = pick
     got = {(r.object, r.variant, r.source_ordinal): r.target_ordinal for r in matching.match_one_to_one(spark, folder).collect()}
     assert got == want and len(want) > 20
+
+
+def test_pairs_within_groups_match_a_loop(frame):
+    rng = random.Random(8)
+    names = lambda n: ["".join(rng.choice("abcde") for _ in range(rng.randint(0, 7))) for _ in range(n)]
+    groups = {g: (names(15), names(12)) for g in ("x", "y")}
+    left = frame([(g, n) for g, (a, _) in groups.items() for n in a] + [("x", None)], "g string, n string")
+    right = frame([(g, n) for g, (_, b) in groups.items() for n in b], "g string, n string")
+    for threshold in (0.2, 0.6, 0.85):
+        found = simjoin.similar_within(left, right, ["g"], "n", "n", threshold)
+        rows = {(r.g, r.l, r.r): r.score for r in found.collect()}
+        every = left.filter("n IS NOT NULL").distinct().withColumnRenamed("n", "l").join(right.distinct().withColumnRenamed("n", "r"), "g")
+        scored = every.select("g", "l", "r", F.when(F.col("l") == F.col("r"), 1.0).otherwise(simjoin.name_score(F.col("l"), F.col("r"))).alias("s"))
+        assert rows == {(r.g, r.l, r.r): pytest.approx(r.s) for r in scored.collect() if r.s >= threshold}
+
+
+def test_twice_the_groups_meet_twice_as_often(frame):
+    def met(n):
+        rows = [(g, f"name{i}{j}") for g in range(n) for i in range(6) for j in range(3)]
+        side = frame(rows, "g int, n string")
+        return simjoin.similar_within(side, side, ["g"], "n", "n", 0.5).count()
+
+    assert met(8) == 2 * met(4)
