@@ -91,7 +91,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
     measured = stored(quality.measure(table(spark, folder, "documents")), "measured")
-    return quality.judge(measured, quality.references(measured))
+    judged = quality.judge(measured, quality.references(measured))
+    distances = {c: F.round(c, 6) for c in ("class_distance", "common_distance")}
+    return judged.withColumns(distances)
 
 
 SQL["op5_warc"] = """
@@ -138,3 +140,52 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lists.
   sha256(coalesce(kept.kept, '')) AS kept_sha256
 FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+LISTED = ", ".join(f"('{lang}', {i}, '{w}')" for lang, words in quality.COMMON.items() for i, w in enumerate(words))
+SQL["op10_divergence"] = f"""
+WITH given AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM documents),
+starts AS (SELECT k, unnest(range(1, len(w) - 1)) AS s, w FROM given WHERE len(w) >= 3),
+twice AS (SELECT k, s FROM starts QUALIFY count(*) OVER (PARTITION BY k, w[s:s + 2]) > 1),
+repeated AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(s, s + 3)) AS p FROM twice) GROUP BY k),
+base AS (
+  SELECT g.k, doc_id, lang, text, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, regexp_replace(text, '[\\p{{Ll}} \\t-\\r]+', '', 'g') AS rare
+  FROM given g LEFT JOIN repeated r ON r.k = g.k),
+classes AS (
+  SELECT k, lang, 'class' AS kind, unnest(range(6)) AS bin, unnest([length(text) - word_chars, length(regexp_replace(rare, '[^\\p{{Lu}}]+', '', 'g')),
+    length(regexp_replace(rare, '[^0-9]+', '', 'g')), length(regexp_replace(rare, '[^.,;:!?''"()\\-]+', '', 'g')),
+    length(regexp_replace(rare, '[^#*$%&|<>]+', '', 'g')), word_chars - length(rare)]) AS n FROM base),
+listed(lang, bin, word) AS (VALUES {LISTED}),
+words AS (SELECT k, lang, unnest(w) AS word FROM base),
+hits AS (SELECT k, w.lang, bin, count(*) AS n FROM words w JOIN listed USING (lang, word) GROUP BY ALL),
+common AS (
+  SELECT k, lang, 'common' AS kind, bin, n FROM hits
+  UNION ALL SELECT b.k, b.lang, 'common', 20, n_words - coalesce(sum(h.n), 0) FROM base b LEFT JOIN hits h ON h.k = b.k GROUP BY b.k, b.lang, n_words),
+bins AS (SELECT * FROM classes UNION ALL SELECT * FROM common),
+reference AS (
+  SELECT b.lang, kind, bin, sum(n) AS n FROM bins b JOIN base USING (k) WHERE n_words >= {quality.LEAST_WORDS} AND b.lang IN (SELECT lang FROM listed) GROUP BY ALL),
+totals AS (SELECT lang, kind, sum(n) AS total FROM reference GROUP BY ALL),
+own AS (SELECT k, kind, sum(n) AS total FROM bins GROUP BY ALL),
+shares AS (
+  SELECT b.k, r.kind, coalesce(x.n, 0) / o.total AS p, r.n / t.total AS q
+  FROM base b JOIN reference r ON r.lang = b.lang JOIN totals t ON t.lang = r.lang AND t.kind = r.kind JOIN own o ON o.k = b.k AND o.kind = r.kind
+    LEFT JOIN bins x ON x.k = b.k AND x.kind = r.kind AND x.bin = r.bin WHERE o.total > 0
+  UNION ALL SELECT x.k, x.kind, x.n / o.total, 0 FROM bins x JOIN own o ON o.k = x.k AND o.kind = x.kind AND o.total > 0
+    JOIN totals t ON t.lang = x.lang AND t.kind = x.kind ANTI JOIN reference r ON r.lang = x.lang AND r.kind = x.kind AND r.bin = x.bin),
+far AS (
+  SELECT k, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END))) AS d
+  FROM shares GROUP BY ALL),
+judged AS (
+  SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars >= {quality.LEAST_CHARS} THEN c.d END AS cd,
+    CASE WHEN n_words >= {quality.LEAST_WORDS} THEN m.d END AS md
+  FROM base LEFT JOIN far c ON c.k = base.k AND c.kind = 'class' LEFT JOIN far m ON m.k = base.k AND m.kind = 'common')
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd <= {quality.MOST_CLASS}, true) AND coalesce(md <= {quality.MOST_COMMON}, true) AS kept,
+  round(cd, 6) AS class_distance, round(md, 6) AS common_distance
+FROM judged
+"""
