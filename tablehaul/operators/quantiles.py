@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 # Buckets per e-fold of |x|: neighbours in one bucket differ by less than 0.025 %.
 _FINENESS = 4096
+# Keeps the bucket of the smallest double (e-fold -745) positive.
+_LOWEST = 746 * _FINENESS
 
 
 def _bucket(x: Column) -> Column:
-    """Monotone bucket number of a double (logarithmic on both sides of zero)."""
-    return (F.signum(x) * F.floor(F.ln(F.abs(x) + 1) * _FINENESS)).cast("long")
+    """Monotone bucket number of a double: logarithmic on both sides of zero, down to the smallest magnitudes."""
+    magnitude = F.floor(F.ln(F.abs(x)) * _FINENESS) + _LOWEST
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * magnitude).cast("long")
 
 
 def exact_quantiles(counted: DataFrame, by: list[str], x: str, n: str, points: dict[str, float]) -> DataFrame:

@@ -37,7 +37,7 @@ headers AS (
          WHEN low <= 30 THEN w1 || w2 || 'nr' WHEN low <= 36 THEN replace(w1, 'l', '') || '-' || w2
          WHEN low <= 40 THEN w2 || w1 ELSE 'Column' || CAST(low AS VARCHAR) END AS field_name,
     min(CASE WHEN low > 9 THEN w2 || ' ' || w1 END) AS description, min(name) AS example
-  FROM names WHERE low <= 46 GROUP BY 1, 2, 3),
+  FROM names GROUP BY 1, 2, 3),
 sources AS (SELECT object, variant, field_name, description, example,
   CAST(row_number() OVER (PARTITION BY object, variant ORDER BY field_name) AS INT) AS ordinal FROM headers)"""
 BOTH = TARGETS + HEADERS
@@ -76,7 +76,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(low <= 40, F.concat(w2, w1))
         .otherwise(F.concat(F.lit("Column"), low.cast("string")))
     )
-    found = names(spark, sf_dir).filter(low <= 46).groupBy("object", "variant", header.alias("field_name")).agg(
+    found = names(spark, sf_dir).groupBy("object", "variant", header.alias("field_name")).agg(
         F.min(F.when(low > 9, F.concat(w2, F.lit(" "), w1))).alias("description"), F.min("name").alias("example")
     )
     return catalog.with_ordinal(found, ["object", "variant"], ["field_name"])

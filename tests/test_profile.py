@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tablehaul.operators import profile
+from tablehaul.operators import profile, quantiles
 from tablehaul.operators.quantiles import exact_quantiles
 
 
@@ -144,3 +144,14 @@ def test_two_hundred_columns_in_one_scan(frame):
     wide = frame([tuple("1" for _ in range(200))], ", ".join(f"c{i} string" for i in range(200)))
     out = profile.empty_counts(wide)
     assert out.count() == 200
+
+
+def test_small_numbers_do_not_share_a_bucket(spark):
+    rates = spark.range(20000).selectExpr("'f' AS field", "(id + 1) / 1e9 AS x", "1L AS n")
+    got = exact_quantiles(rates, ["field"], "x", "n", {"p50": 0.5, "p0": 0.0}).first()
+    assert got.p50 == pytest.approx(10000.5 / 1e9) and got.p0 == 1e-9
+    sizes = rates.groupBy(quantiles._bucket(rates.x)).count().agg({"count": "max"}).first()[0]
+    assert sizes < 20
+    signs = spark.createDataFrame([(x,) for x in (-5.0, -1e-9, 0.0, 1e-300, 2.0, 1e300)], "x double")
+    buckets = [r[0] for r in signs.select(quantiles._bucket(signs.x)).collect()]
+    assert buckets == sorted(set(buckets))
