@@ -100,16 +100,35 @@ def explain_unused(unused: DataFrame, skip: DataFrame, manual: DataFrame) -> Dat
     )
 
 
-def _parts(col: Column) -> Column:
-    """All distinct non-empty substrings of a short text."""
-    n = F.length(col)
-    every = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(col, i, k)),
-        )
+GRAM = 3
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct pieces of a text of the given sizes; their number grows with the length of the text."""
+    pieces = F.transform(
+        sizes,
+        lambda n: F.when(
+            F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+        ).otherwise(F.array().cast("array<string>")),
     )
-    return F.when(n > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(pieces))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (needle, hay) of distinct non-empty strings of which the second contains the first.
+
+    Both frames have one column. A needle meets the texts that hold the rarest of its pieces of
+    three characters (of its own length if it is shorter), and is then looked for in them.
+    """
+    hays = texts.toDF("hay").filter(F.col("hay") != "").distinct()
+    sizes = F.array(*(F.lit(n) for n in range(1, GRAM + 1)))
+    held = hays.select("hay", F.explode_outer(_grams(F.col("hay"), sizes)).alias("gram"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    wanted = needles.toDF("needle").filter(F.col("needle") != "").distinct()
+    own = F.array(F.least(F.lit(GRAM), F.length("needle")))
+    asked = wanted.select("needle", F.explode_outer(_grams(F.col("needle"), own)).alias("gram")).join(often, "gram", "left")
+    rarest = asked.groupBy("needle").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    return rarest.join(held, "gram").filter(F.contains("hay", "needle")).select("needle", "hay")
 
 
 def name_unclear_headers(sources: DataFrame, manual: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -117,8 +136,7 @@ def name_unclear_headers(sources: DataFrame, manual: DataFrame, synonyms: DataFr
 
     In order: a global, then an object's manual mapping whose description contains the example;
     then a synonym that the example contains; else the header stays, or becomes
-    ``Unknown_Field_n``. *Contains* is an equi-join on substrings: those of the rules'
-    descriptions, and those of the distinct examples of unclear headers.
+    ``Unknown_Field_n``. *Contains* is decided by ``containing`` on the distinct texts.
     ``synonyms``: target, variant, position.
     """
     name = F.coalesce("field_name", F.lit(""))
@@ -129,16 +147,18 @@ def name_unclear_headers(sources: DataFrame, manual: DataFrame, synonyms: DataFr
     open_ = marked.filter("__unclear").select(*BY, "ordinal", text.clean(F.col("example")).alias("__example"))
     examples = open_.filter(F.col("__example") != "")
 
-    rules = manual.select("level", *BY, "position", "target", "comment", F.explode(_parts(F.upper("source_description"))).alias("__part"))
+    described = manual.select("level", *BY, "position", "target", "comment", F.upper("source_description").alias("hay"))
+    found = containing(examples.select(F.upper("__example")), described.select("hay"))
+    rules = described.join(found, "hay").withColumnRenamed("needle", "__part")
     hit = F.struct("position", "target", "comment")
     wide = rules.filter(F.col("level") == 0).groupBy("__part").agg(F.min(hit).alias("__global"))
     local = rules.filter(F.col("level") == 1).groupBy(*BY, "__part").agg(F.min(hit).alias("__local"))
     asked = examples.withColumn("__part", F.upper("__example"))
     by_rule = asked.join(wide, "__part", "left").join(local, [*BY, "__part"], "left").select(*BY, "ordinal", "__global", "__local")
 
-    pieces = examples.select(F.lower("__example").alias("__key")).distinct().select("__key", F.explode(_parts(F.col("__key"))).alias("__part"))
-    listed = synonyms.groupBy(F.lower("variant").alias("__part")).agg(F.min(F.struct("position", "target", "variant")).alias("__syn"))
-    by_syn = pieces.join(listed, "__part").groupBy("__key").agg(F.min("__syn").alias("__syn"))
+    listed = synonyms.groupBy(F.lower("variant").alias("needle")).agg(F.min(F.struct("position", "target", "variant")).alias("__syn"))
+    pieces = containing(listed.select("needle"), examples.select(F.lower("__example"))).withColumnRenamed("hay", "__key")
+    by_syn = pieces.join(listed, "needle").groupBy("__key").agg(F.min("__syn").alias("__syn"))
     by_syn = examples.withColumn("__key", F.lower("__example")).join(by_syn, "__key").select(*BY, "ordinal", "__syn")
 
     on = [*BY, "ordinal"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -32,6 +33,13 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
     )
 
 
+def own_folder(prefix: str) -> str:
+    """A temporary folder of this driver, which goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, once per context (as ``--py-files`` would).
 
@@ -41,7 +49,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_tablehaul_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="tablehaul-package-")
+    folder = own_folder("tablehaul-package-")
     archive = shutil.make_archive(
         os.path.join(folder, "tablehaul"), "zip", os.path.dirname(home), os.path.basename(home)
     )
@@ -55,7 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tablehaul-shared-")
+        folder = own_folder("tablehaul-shared-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -10,11 +10,19 @@ DICTIONARY_FORMATS = ["xml", "xlsx"]
 SOURCE_FORMATS = ["xlsx", "csv"]
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files named ``object_variant.extension`` as (path, object, variant, format)."""
+def list_files(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """Files named ``object_variant.extension`` as (path, object, variant, format).
+
+    With ``known`` (object, variant) the name decides among these, so either may hold underscores;
+    without it the object ends at the first one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     parts = r"([^/]+?)_([^/]+)\.([A-Za-z0-9]+)$"
     take = lambda i: F.regexp_extract("path", parts, i)
+    if known is not None:
+        named = files.select("path", "length", F.concat_ws("_", take(1), take(2)).alias("__name"), F.lower(take(3)).alias("format"))
+        pairs = known.select("object", "variant", F.concat_ws("_", "object", "variant").alias("__name")).distinct()
+        return named.join(pairs, "__name").select("path", "length", "object", "variant", "format")
     return files.select("path", "length", take(1).alias("object"), take(2).alias("variant"), F.lower(take(3)).alias("format"))
 
 

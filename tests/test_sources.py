@@ -136,6 +136,21 @@ def test_format_preference(spark, tmp_path):
     assert {(r.object, r.variant, r.format) for r in chosen.collect()} == {("m1", "bnka", "xml"), ("m2", "cepc", "xlsx")}
 
 
+def test_format_preference_with_underscores(spark, frame, tmp_path):
+    for name in ("a_b_variant.xml", "a_b_variant.xlsx", "a_c_d.xml", "z_z.xml"):
+        write(tmp_path, name, "x")
+    known = frame([("a_b", "variant"), ("a", "c_d"), ("q", "q")], "object string, variant string")
+    chosen = preference.prefer(preference.list_files(spark, str(tmp_path), known), preference.DICTIONARY_FORMATS)
+    assert {(r.object, r.variant, r.format) for r in chosen.collect()} == {("a_b", "variant", "xml"), ("a", "c_d", "xml")}
+
+
+def test_contained_texts_match_a_loop(frame):
+    texts = ["shipping date", "date", "da", "order number", "ab", "", None, "a date of order"]
+    needles = ["date", "a", "da", "order number", "xyz", "ord", "e o", "", None]
+    found = memory.containing(frame([(n,) for n in needles], "a string"), frame([(t,) for t in texts], "b string"))
+    assert {tuple(r) for r in found.collect()} == {(n, t) for n in needles if n for t in texts if t and n in t}
+
+
 def parts(path, suffix=".csv"):
     return b"".join(p.read_bytes() for p in sorted(path.glob(f"*{suffix}")))
 
