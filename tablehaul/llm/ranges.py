@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sampled rows for each range. The sample only balances the ranges; every row is placed.
-SAMPLE = 60
+#: Sampled rows for each range, and in all. The sample only balances the ranges; every row is placed.
+SAMPLE, MOST_SAMPLED = 60, 1_000_000
 
 
 def limits(df: DataFrame, key: list[str], salt: Column, n: int) -> list[tuple]:
     """Up to ``n - 1`` upper limits that cut the sorted rows into ranges of about equal size.
 
-    The sample holds the rows with the smallest hashes, ``SAMPLE * n`` at most, so a key that holds a third of all rows
+    The sample holds the rows with the smallest hashes, ``SAMPLE * n`` or ``MOST_SAMPLED`` at most, so a key that holds a third of all rows
     gets a third of the ranges if ``key`` ends in a value that tells its rows apart.
     """
     if n < 2:
         return []
-    taken = df.select(*key, salt.alias("_salt")).orderBy("_salt", *key).limit(SAMPLE * n)
+    taken = df.select(*key, salt.alias("_salt")).orderBy("_salt", *key).limit(min(SAMPLE * n, MOST_SAMPLED))
     rows = sorted(tuple(r)[:-1] for r in taken.dropna().collect())
     if not rows:
         return []

@@ -27,8 +27,9 @@ from tablehaul.llm.ranges import limits
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Raw payload bytes of a range, and compressed bytes after which a file is closed.
-RANGE_BYTES, FILE_BYTES = 16 << 20, 4 << 20
+#: Raw payload bytes of a range, and compressed bytes after which a file is closed. There are ``MOST_RANGES`` at most; larger
+#: ranges only have more files.
+RANGE_BYTES, FILE_BYTES, MOST_RANGES = 16 << 20, 4 << 20, 10_000
 LEVEL = 4
 MANIFEST = "shard int, name string, records long, bytes long, sha256 string"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -132,7 +133,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, range_bytes: int
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
     narrow = rows.select("page_id", "digest", F.octet_length("html").alias("size"))
     total = narrow.agg(F.sum("size")).first()[0] or 0
-    cuts = np.array([c[0] for c in limits(narrow, ["page_id"], F.xxhash64("page_id"), -(-total // range_bytes))], np.int64)
+    cuts = np.array([c[0] for c in limits(narrow, ["page_id"], F.xxhash64("page_id"), min(MOST_RANGES, -(-total // range_bytes)))], np.int64)
 
     @F.pandas_udf("int")
     def shard_of(page_id: pd.Series) -> pd.Series:
