@@ -35,8 +35,12 @@ MOST_KNOWN = 500_000
 
 PACKED = "bucket int, keys binary, extra binary, places binary, ranks binary, texts binary, counts binary"
 PACKED_NAMES = ["bucket", "keys", "extra", "places", "ranks", "texts", "counts"]
-#: What a first pass tells: places of anchors (``at``), or size and digest of a whole text.
-TOLD = "rank long, text_key long, at array<int>, n_words long, sha256 string"
+PACKED_KINDS = [pa.int32(), *[pa.binary()] * 6]
+#: A row is a packed set of probes, or of places found, or tells size and digest of one text.
+ROW = f"{PACKED}, kind int, rank long, text_key long, n_words long, sha256 string"
+ROW_NAMES = [*PACKED_NAMES, "kind", "rank", "text_key", "n_words", "sha256"]
+ROW_KINDS = [*PACKED_KINDS, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+PROBES, FOUND, TOLD = 0, 1, 2
 PLACES = "rank long, text_key long, at array<int>"
 
 
@@ -45,7 +49,7 @@ def planes(values: np.ndarray, n_bytes: int | None = None) -> bytes:
     if not len(values):
         return b""
     grid = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
-    return grid[:, : n_bytes or grid.shape[1]].T.tobytes()
+    return grid[:, : grid.shape[1] if n_bytes is None else n_bytes].T.tobytes()
 
 
 def from_planes(data: bytes, kind: type, n_bytes: int | None = None) -> np.ndarray:
@@ -71,73 +75,91 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def grouped_places(ranks: np.ndarray, texts: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[pa.Array]:
-    """Arrays ``rank``, ``text_key``, ``at`` with one row per document; ``doc`` indexes ``ranks`` and ``texts``."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    offsets = np.concatenate([first, [len(doc)]]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))
-    return [pa.array(ranks[doc[first]]), pa.array(texts[doc[first]]), lists]
-
-
-def sent(keys: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, ranks: np.ndarray, texts: np.ndarray, buckets: int, key_bytes: int) -> Iterator[list]:
-    """Packed rows, one per bucket; entries must come in the order of documents and places."""
-    bucket = (keys >> np.uint64(44)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
+def packed(bucket: np.ndarray, columns: list[bytes | tuple[np.ndarray, int]], doc: np.ndarray, place: np.ndarray, ranks: np.ndarray, texts: np.ndarray, buckets: int) -> list[list]:
+    """Packed rows, one per bucket, of entries in any order; ``doc`` indexes ``ranks`` and ``texts``."""
+    order = np.lexsort((place, doc, bucket))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         own = order[cuts[b] : cuts[b + 1]]
-        if not len(own):
-            continue
         d, p = doc[own], place[own].astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         steps = np.diff(p, prepend=np.int32(0))
         steps[first] = p[first]
         counts = np.diff(np.concatenate([first, [len(d)]])).astype(np.uint32)
-        yield [b, planes(keys[own], key_bytes), planes(extra[own]), planes(steps), planes(ranks[d[first]]), planes(texts[d[first]]), planes(counts)]
+        values = [planes(values[own], n_bytes) for values, n_bytes in columns]
+        rows.append([b, *values, planes(steps), planes(ranks[d[first]]), planes(texts[d[first]]), planes(counts)])
+    return rows
+
+
+def probes(keys: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, ranks: np.ndarray, texts: np.ndarray, buckets: int, key_bytes: int) -> pa.RecordBatch:
+    """Keys to be compared, dealt out by key."""
+    bucket = ((keys >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+    return full_rows(packed(bucket, [(keys, key_bytes), (extra, extra.itemsize)], doc, place, ranks, texts, buckets), PROBES)
+
+
+def found_places(doc: np.ndarray, place: np.ndarray, ranks: np.ndarray, texts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places in texts, dealt out by text."""
+    none = np.zeros(len(doc), np.uint8)
+    return full_rows(packed(texts[doc] % buckets, [(none, 0), (none, 0)], doc, place, ranks, texts, buckets), FOUND)
+
+
+def full_rows(rows: list[list], kind: int) -> pa.RecordBatch:
+    batch = batch_of(rows, PACKED_NAMES, PACKED_KINDS)
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, k) for k in ROW_KINDS[8:])], ROW_NAMES)
+
+
+def told_rows(arrays: list[pa.Array], buckets: int) -> pa.RecordBatch:
+    n = len(arrays[0])
+    spread = pa.array((arrays[1].to_numpy() % buckets).astype(np.int32))
+    return pa.RecordBatch.from_arrays([spread, *(pa.nulls(n, k) for k in PACKED_KINDS[1:]), pa.array(np.full(n, TOLD, np.int32)), *arrays], ROW_NAMES)
 
 
 def received(rows: pa.Table, key_bytes: int, extra_kind: type) -> tuple[np.ndarray, ...]:
-    """Entries of all packed rows of a bucket: keys, extra, index of document, place; and the documents."""
+    """Entries of the packed rows of a bucket: keys, extra, index of document, place; and the documents."""
     parts: list[tuple] = []
     n_docs = 0
     for row in rows.select(PACKED_NAMES[1:]).to_pylist():
         counts = from_planes(row["counts"], np.uint32)
         steps = from_planes(row["places"], np.int32).astype(np.int64)
-        ends = np.cumsum(counts)
-        total = np.cumsum(steps)
+        total, ends = np.cumsum(steps), np.cumsum(counts)
         before = np.repeat(np.concatenate([[0], total[ends[:-1] - 1]]), counts)
         doc = np.repeat(np.arange(n_docs, n_docs + len(counts)), counts)
         n_docs += len(counts)
-        parts.append((from_planes(row["keys"], np.uint64, key_bytes), from_planes(row["extra"], extra_kind), doc, total - before, from_planes(row["ranks"], np.int64), from_planes(row["texts"], np.int64)))
+        keys = from_planes(row["keys"], np.uint64, key_bytes) if key_bytes else np.zeros(0, np.uint64)
+        extra = from_planes(row["extra"], extra_kind) if key_bytes else np.zeros(0, extra_kind)
+        parts.append((keys, extra, doc, total - before, from_planes(row["ranks"], np.int64), from_planes(row["texts"], np.int64)))
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
-def packed_batch(rows: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+def batch_of(rows: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-FIRST = f"{PACKED}, told boolean, {TOLD}"
-KINDS = [pa.int32(), *[pa.binary()] * 6]
-TOLD_NAMES = ["rank", "text_key", "at", "n_words", "sha256"]
-TOLD_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string()]
+def of_kind(rows: pa.Table, kind: int, equal: bool = True) -> pa.Table:
+    compared = pa.compute.equal if equal else pa.compute.not_equal
+    return rows.filter(compared(rows.column("kind"), kind))
 
 
-def told_rows(arrays: list[pa.Array], buckets: int) -> pa.RecordBatch:
-    """Rows that only pass through the shuffle, spread by document."""
-    n = len(arrays[0])
-    arrays = [*arrays, *(pa.nulls(n, k) for k in TOLD_KINDS[len(arrays) :])]
-    spread = pa.array((arrays[1].to_numpy() % buckets).astype(np.int32))
-    packed = [spread, *(pa.nulls(n, k) for k in KINDS[1:])]
-    return pa.RecordBatch.from_arrays([*packed, pa.array(np.ones(n, bool)), *arrays], [*PACKED_NAMES, "told", *TOLD_NAMES])
+def gathered(rows: DataFrame) -> DataFrame:
+    """One row per text with all its places that were found."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, "bucket"):
+            _, _, doc, place, ranks, texts = received(group, 0, np.uint8)
+            rank, text = ranks[doc], texts[doc]
+            order = np.lexsort((place, text, rank))
+            rank, text, place = rank[order], text[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], (rank[1:] != rank[:-1]) | (text[1:] != text[:-1])]))
+            offsets = pa.array(np.concatenate([first, [len(place)]]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(rank[first]), pa.array(text[first]), lists], ["rank", "text_key", "at"])
 
-def probe_rows(rows: list[list]) -> pa.RecordBatch:
-    batch = packed_batch(rows, PACKED_NAMES, KINDS)
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.zeros(n, bool)), *(pa.nulls(n, k) for k in TOLD_KINDS)], [*PACKED_NAMES, "told", *TOLD_NAMES])
+    dealt = rows.filter(F.col("kind") == FOUND).select(*PACKED_NAMES)
+    dealt = dealt.repartition(width(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, PLACES)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -163,7 +185,7 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Places of anchors, and size and digest of every text; see ``TOLD``."""
+    """Places of anchors (packed), and size and digest of every text; see ``ROW``."""
     block, buckets = window // 2, width(docs.sparkSession)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +194,7 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ranks, texts = (np.array([row[i] for row in chunk], np.int64) for i in (0, 1))
             digests = [hashlib.sha256(b" ".join(row[2])).hexdigest() for row in chunk]
             sizes = np.array([len(row[2]) for row in chunk], np.int64)
-            yield told_rows([pa.array(ranks), pa.array(texts), pa.nulls(len(chunk), TOLD_KINDS[2]), pa.array(sizes), pa.array(digests)], buckets)
+            yield told_rows([pa.array(ranks), pa.array(texts), pa.array(sizes), pa.array(digests)], buckets)
             words = known.hashes([w for row in chunk for w in row[2]])
             doc = np.repeat(np.arange(len(chunk)), sizes)
             place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -185,19 +207,16 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             aligned = np.maximum.reduceat((place % block == 0)[order].astype(np.uint8), starts)
             several = np.repeat(counts > 1, counts)
             if several.any():
-                own = np.sort(order[several])
-                yield told_rows(grouped_places(ranks, texts, doc[own], place[own]), buckets)
+                own = order[several]
+                yield found_places(doc[own], place[own], ranks, texts, buckets)
             one = order[starts]
-            by_place = np.argsort(one)
-            flags = (aligned | (counts > 1).astype(np.uint8) << 1)[by_place]
-            one = one[by_place]
-            yield probe_rows(list(sent(keys[one], flags, doc[one], place[one], ranks, texts, buckets, 5)))
+            flags = aligned | (counts > 1).astype(np.uint8) << 1
+            yield probes(keys[one], flags, doc[one], place[one], ranks, texts, buckets, 5)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, "bucket"):
-            told = group.filter(group.column("told")).select(TOLD_NAMES)
-            yield from told.to_batches()
-            rows = group.filter(pa.compute.invert(group.column("told")))
+            yield from of_kind(group, PROBES, False).to_batches()
+            rows = of_kind(group, PROBES)
             if not rows.num_rows:
                 continue
             keys, flags, doc, place, ranks, texts = received(rows, 5, np.uint8)
@@ -208,15 +227,17 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             own = order[np.repeat(found, counts)]
             own = own[flags[own] & 2 == 0]  # the others were told by their own task
             if len(own):
-                arrays = grouped_places(ranks, texts, doc[own], place[own])
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), k) for k in TOLD_KINDS[3:])], TOLD_NAMES)
+                yield found_places(doc[own], place[own], ranks, texts, buckets)
 
-    dealt = docs.mapInArrow(probe, FIRST).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, TOLD)
+    dealt = docs.mapInArrow(probe, ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, ROW)
 
 
 def later_windows(anchored: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Starts of the windows around anchors whose words also start earlier; rows are rank, text key, text, anchors."""
+    """For every text the starts of the windows around its anchors whose words also start earlier.
+
+    Rows are rank, text key, text, anchors.
+    """
     block, buckets = window // 2, width(anchored.sparkSession)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +251,7 @@ def later_windows(anchored: DataFrame, window: int = WINDOW) -> DataFrame:
                     continue
                 # windows that begin up to block - 1 words before an anchor
                 edge = np.zeros(n + 1, np.int64)
-                at = np.unique(np.concatenate(at))
+                at = np.array(at, np.int64)
                 np.add.at(edge, np.minimum(np.maximum(at - block + 1, 0), n), 1)
                 np.add.at(edge, np.minimum(at + 1, n), -1)
                 start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
@@ -243,22 +264,21 @@ def later_windows(anchored: DataFrame, window: int = WINDOW) -> DataFrame:
             keys, second, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
             first, rest = split_first(keys, second, ranks[doc], start)
             if len(rest):
-                yield told_rows(grouped_places(ranks, texts, doc[rest], start[rest]), buckets)
-            first = np.sort(first)
-            yield probe_rows(list(sent(keys[first], second[first], doc[first], start[first], ranks, texts, buckets, 8)))
+                yield found_places(doc[rest], start[rest], ranks, texts, buckets)
+            yield probes(keys[first], second[first], doc[first], start[first], ranks, texts, buckets, 8)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, "bucket"):
-            yield from group.filter(group.column("told")).select(TOLD_NAMES[:3]).to_batches()
-            rows = group.filter(pa.compute.invert(group.column("told")))
+            yield from of_kind(group, PROBES, False).to_batches()
+            rows = of_kind(group, PROBES)
             if rows.num_rows:
                 keys, second, doc, start, ranks, texts = received(rows, 8, np.uint32)
                 _, rest = split_first(keys, second, ranks[doc], start)
                 if len(rest):
-                    yield pa.RecordBatch.from_arrays(grouped_places(ranks, texts, doc[rest], start[rest]), TOLD_NAMES[:3])
+                    yield found_places(doc[rest], start[rest], ranks, texts, buckets)
 
-    dealt = anchored.mapInArrow(extend, FIRST).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(decide, PLACES)
+    dealt = anchored.mapInArrow(extend, ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return gathered(dealt.mapInArrow(decide, ROW))
 
 
 def split_first(keys: np.ndarray, second: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,13 +299,13 @@ def keep_words(marked: DataFrame, window: int = WINDOW) -> DataFrame:
             for rank, text_key, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text_words(text)
                 edge = np.zeros(len(words) + 1, np.int64)
-                starts = np.unique(np.concatenate(at))
+                starts = np.unique(at)
                 edge[starts] += 1
                 np.add.at(edge, starts + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 out.append([rank, text_key, int(gone.sum()), hashlib.sha256(kept).hexdigest()])
-            yield packed_batch(out, ["rank", "text_key", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
+            yield batch_of(out, ["rank", "text_key", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
     return marked.mapInArrow(run, "rank long, text_key long, n_removed long, kept_sha256 string")
 
@@ -317,14 +337,13 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     told = stored(anchors(rows, window), "anchors")
-    places = told.filter("at IS NOT NULL").groupBy("rank", "text_key").agg(F.collect_list("at").alias("at"))
-    candidates = in_filter(rows, told.filter("at IS NOT NULL").select("rank", "text_key"))
-    candidates = candidates.repartition(width(docs.sparkSession), "rank", "text_key")
+    places = stored(gathered(told), "anchor-places")
+    candidates = in_filter(rows, places).repartition(width(docs.sparkSession), "rank", "text_key")
     anchored = candidates.join(places, ["rank", "text_key"]).select("rank", "text_key", "text", "at")
-    later = later_windows(anchored, window).groupBy("rank", "text_key").agg(F.collect_list("at").alias("at"))
+    later = later_windows(anchored, window)
     marked = candidates.join(later, ["rank", "text_key"]).select("rank", "text_key", "text", "at")
     changed = keep_words(marked, window).dropDuplicates(["rank", "text_key"])
-    whole = told.filter("at IS NULL").select("rank", "text_key", "n_words", "sha256")
+    whole = told.filter(F.col("kind") == TOLD).select("rank", "text_key", "n_words", "sha256")
     return whole.join(changed, ["rank", "text_key"], "left").select(
         F.nullif("rank", F.lit(NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
