@@ -24,8 +24,11 @@ WINDOW, LEAST_TOKENS = 8, 5
 #: A document holds an item if half of its windows match in one alignment, or so many.
 LEAST_SHARE, ENOUGH = 0.5, 6
 #: Window hashes that may be sent to all tasks (8 bytes each); a larger benchmark is joined without this filter.
-MOST_SENT = 4_000_000
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
+MOST_SENT = 1_000_000
+MOST_KNOWN = 500_000
+#: Numbers, words, and every other visible character or line end.
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|\n")
+ENDS = frozenset(".!?:;\n\"“”")
 NUMBER_WORDS = {
     "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen",
     "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty",
@@ -38,7 +41,10 @@ UNITS = {
     "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "h", "day", "days", "week", "weeks", "month", "months", "year",
     "years", "mph", "kmh", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "%", "€", "$", "£", "°",
 }
+SPECIAL = NUMBER_WORDS | UNITS
 NUMBER, NAME, UNIT = "<n>", "<p>", "<u>"
+#: Words seen in this process that are themselves in a template.
+PLAIN: set[str] = set()
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -50,43 +56,47 @@ def template(text: str | None) -> tuple[list[str], list[tuple[int, str, str]]]:
     """
     if not text:
         return [], []
-    letters = sum(map(str.isupper, text))
-    if 2 * letters > sum(map(str.isalpha, text)):
+    if text.isupper():
         text = text.lower()
     tokens: list[str] = []
     slots: list[tuple[int, str, str]] = []
-    last_end, after_number = 0, False
-    for match in TOKEN.finditer(text):
-        word, gap = match[0], text[last_end : match.start()]
+    if len(PLAIN) > MOST_KNOWN:
+        PLAIN.clear()
+    begins, before = True, ""  # whether a sentence begins here, and the kind of the token just before
+    for word in TOKEN.findall(text):
+        if word in PLAIN:
+            tokens.append(word)
+            begins, before = False, ""
+            continue
         lower = word.lower()
-        begins = not last_end or any(c in ".!?:;\n\"“”" for c in gap)
-        last_end = match.end()
+        if word == lower and word.isalpha() and word not in SPECIAL:
+            PLAIN.add(word)
         if word[0].isdigit() or lower in NUMBER_WORDS:
             kind = NUMBER
-        elif lower in UNITS and (after_number or not word.isalpha()):
+        elif lower in UNITS and (before == NUMBER or not word.isalpha()):
             kind = UNIT
-        elif word[0].isupper() and not begins:
-            kind = NAME
+        elif not word[0].isalpha():
+            begins, before = begins or word in ENDS, before if before == NUMBER else ""
+            continue
         else:
-            kind = ""
-        after_number = kind == NUMBER
-        if kind == NAME and tokens and tokens[-1] == NAME and not gap.strip():
+            kind = NAME if word[0].isupper() and not begins else ""
+        if kind == NAME == before:
             slots[-1] = (slots[-1][0], NAME, f"{slots[-1][2]} {lower}")
             continue
         if kind:
             slots.append((len(tokens), kind, lower))
         tokens.append(kind or lower)
+        begins, before = False, kind
     return tokens, slots
 
 
 def window_hashes(tokens: list[str], width: int, known: dict[str, int]) -> np.ndarray:
     """Hashes of all windows; the width is part of them."""
-    for t in set(tokens):
-        if t not in known:
-            if len(known) > 500_000:
-                known.clear()
-            known[t] = xxhash.xxh64_intdigest(t)
-    hashes = np.array([known[t] if t in known else xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    for t in set(tokens).difference(known):
+        known[t] = xxhash.xxh64_intdigest(t)
+    hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     return mix(rolling(hashes, width, BASE) + np.uint64(width))
 
 
