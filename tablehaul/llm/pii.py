@@ -32,6 +32,26 @@ FOUND = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))",
     re.ASCII,
 )
+#: The same two patterns from a place where a group of characters begins, and the groups.
+CARD_AT = re.compile(r"\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
+IBAN_AT = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
+GROUP = re.compile(r"[A-Z0-9]+")
+#: First digits and lengths of the numbers that card issuers give out.
+ISSUED = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}"
+    r"|3(?:0[0-5]|[689]\d)\d{11,16}|(?:35|6[0-9])\d{14,17}|(?:5[06-8])\d{11,17}|6\d{12,14}|220[0-4]\d{12,15}",
+    re.ASCII,
+)
+IBAN_SIZES = {
+    size: countries.split()
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+IBAN_SIZE = {country: size for size, countries in IBAN_SIZES.items() for country in countries}
 #: Every value that is looked for holds one of these characters.
 HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)")
 SECRET_START = re.compile(r"AKIA|gh[pousr]_|sk-|(?i:(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?)")
@@ -189,6 +209,39 @@ def secret(text: str, key: bytes) -> str:
     return text[:start] + shuffled(body, key, "secret", kinds)
 
 
+def inner(text: str, match: re.Match, key: bytes) -> tuple[int, int, str, str] | None:
+    """Start, end, kind and pseudonym of the first valid card number or IBAN that begins inside a match that is none itself.
+
+    Values begin and end where groups of characters do; a later end than the match's is possible. Of several ends the last
+    valid one counts; an IBAN has the one that its country's length gives. Any part of a row of digits has good check digits now and then,
+    so a card is a single group, four groups of four, or up to five groups that an issuer's first digits and length fit;
+    inside what looks like an IBAN it must fit an issuer in any case.
+    """
+    looks_iban = match.lastgroup == "iban"
+    for group in GROUP.finditer(text, *match.span()):
+        start = group.start()
+        if looks_iban and (found := IBAN_AT.match(text, start)):
+            size = IBAN_SIZE.get(text[start : start + 2])
+            for end in ends_of_groups(text, found):
+                value = text[start:end]
+                if size == len(value) - value.count(" ") and (new := iban(value, key)):
+                    return start, end, "iban", new
+        if found := CARD_AT.match(text, start):
+            for end in ends_of_groups(text, found):
+                value = text[start:end]
+                sizes = [len(g) for g in re.split("[ -]", value)]
+                issued = len(sizes) <= 5 and ISSUED.fullmatch(value.replace(" ", "").replace("-", ""))
+                usual = not looks_iban and (sizes == [4] * 4 or len(sizes) == 1)
+                if sum(sizes) >= 13 and (issued or usual) and (new := card(value, key)):
+                    return start, end, "card", new
+    return None
+
+
+def ends_of_groups(text: str, found: re.Match) -> list[int]:
+    """Ends of the groups of characters of a match, the last one first."""
+    return [g.end() for g in GROUP.finditer(text, *found.span())][::-1]
+
+
 MAKERS = {"email": email, "secret": secret, "iban": iban, "ip": ip, "date": day, "ssn": ssn, "card": card, "phone": phone}
 
 
@@ -198,18 +251,22 @@ def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, dict[str, i
     if not text or not HINT.search(text):
         return text, counts
 
-    def replace(match: re.Match) -> str:
-        kind = match.lastgroup
+    out, done = [], 0
+    while match := FOUND.search(text, done):
+        kind, (start, end) = match.lastgroup, match.span()
         new = MAKERS[kind](match[0], key)
         if new is None and kind == "card":
-            kind = "phone"
             new = phone(match[0], key)
-        if new is None:
-            return match[0]
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return FOUND.sub(replace, text), counts
+            kind = "card" if new is None else "phone"
+        if new is None and kind in ("card", "iban") and (found := inner(text, match, key)):
+            start, end, kind, new = found
+        if new is not None:
+            counts[kind] = counts.get(kind, 0) + 1
+            out += [text[done:start], new]
+        else:
+            out.append(text[done:end])
+        done = end
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:

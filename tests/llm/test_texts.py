@@ -121,6 +121,29 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymised(text, KEY) == (text, {})
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "card [4539 5787 6362 1486] 12/25", "[4539578763621486] 124", "[4539-5787-6362-1486]-124 x", "2024 [4539 5787 6362 1486]",
+        "1234567 [4539 5787 6362 1486] 99", "[3782 822463 10005] 1234", "[4539578763621486] 12 [5105105105105100]", "[BE68 5390 0754 7034] BIC",
+        "[ES91 2100 0418 4502 0005 1332] BBVA", "[BE68539007547034] BANKING DAY", "AB12 [BE68 5390 0754 7034] X", "AB12 [4539 5787 6362 1486]",
+    ],
+)
+def test_valid_values_inside_longer_matches(text):
+    values = re.findall(r"\[(.*?)\]", text)
+    new, counts = pii.pseudonymised(re.sub(r"[\[\]]", "", text), KEY)
+    kind = "iban" if values[0][0].isalpha() else "card"
+    expected = text
+    for value in values:
+        expected = expected.replace(f"[{value}]", pii.MAKERS[kind](value, KEY))
+    assert new == expected and counts == {kind: len(values)}
+
+
+@pytest.mark.parametrize("text", ["4539 5787 6362 1487 12/25", "BE69 5390 0754 7034 BIC", "12 34 56 78 90 12 34 56 78 90 12 34"])
+def test_no_valid_value_inside(text):
+    assert pii.pseudonymised(text, KEY) == (text, {})
+
+
 def test_pseudonym_table(spark):
     docs = documents(spark, ["mail bob@example.com", None, "", "mail bob@example.com"], [1, None, 2, 1]).withColumnRenamed("source", "pii_counts")
     rows = pii.pseudonymise(docs, "key").collect()
