@@ -98,10 +98,15 @@ def probes(keys: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarr
     return full_rows(packed(bucket, [(keys, key_bytes), (extra, extra.itemsize)], doc, place, ranks, texts, buckets), PROBES)
 
 
+def text_buckets(ranks: np.ndarray, texts: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every text by its rank and key together, so that copies of one text do not meet in one bucket."""
+    return (mix(ranks.view(np.uint64) * np.uint64(BASE) ^ texts.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def found_places(doc: np.ndarray, place: np.ndarray, ranks: np.ndarray, texts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Places in texts, dealt out by text."""
+    """Places in texts, dealt out by rank and text."""
     none = np.zeros(len(doc), np.uint8)
-    return full_rows(packed(texts[doc] % buckets, [(none, 0), (none, 0)], doc, place, ranks, texts, buckets), FOUND)
+    return full_rows(packed(text_buckets(ranks, texts, buckets)[doc], [(none, 0), (none, 0)], doc, place, ranks, texts, buckets), FOUND)
 
 
 def full_rows(rows: list[list], kind: int) -> pa.RecordBatch:
@@ -112,7 +117,7 @@ def full_rows(rows: list[list], kind: int) -> pa.RecordBatch:
 
 def told_rows(arrays: list[pa.Array], buckets: int) -> pa.RecordBatch:
     n = len(arrays[0])
-    spread = pa.array((arrays[1].to_numpy() % buckets).astype(np.int32))
+    spread = pa.array(text_buckets(arrays[0].to_numpy(), arrays[1].to_numpy(), buckets).astype(np.int32))
     return pa.RecordBatch.from_arrays([spread, *(pa.nulls(n, k) for k in PACKED_KINDS[1:]), pa.array(np.full(n, TOLD, np.int32)), *arrays], ROW_NAMES)
 
 

@@ -141,6 +141,16 @@ def test_repeats_edge_cases(spark):
     assert found == [(-1, 30, 30), (4, 2, 0), (4, 30, 0), (4, 30, 0)]
 
 
+def test_copies_of_one_text_are_dealt_over_many_buckets(spark):
+    text = " ".join(f"q{i}" for i in range(30))
+    rows = spark.createDataFrame([(i, 5, text) for i in range(40)], "rank long, text_key long, text string").repartition(3)
+    told = repeats.anchors(rows)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for kind in (repeats.FOUND, repeats.TOLD):
+        assert told.filter(f"kind = {kind}").select("bucket").distinct().count() >= min(buckets, 40) // 2 > 1
+    assert {r["rank"]: sorted(set(r["at"])) for r in repeats.gathered(told).collect()} == {i: list(range(21)) for i in range(40)}
+
+
 def test_filter_keeps_all_keys(spark):
     rows = spark.range(2000).selectExpr("id AS rank", "id * 7 AS text_key")
     kept = repeats.in_filter(rows, rows.filter("rank % 10 = 0"), 1 << 16)
