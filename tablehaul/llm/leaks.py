@@ -1,14 +1,17 @@
 """Benchmark decontamination by templates.
 
 A text becomes a row of template tokens: numbers, names and units turn into typed placeholders, other words into lower case.
-Windows of these tokens are joined by hash with the windows of the benchmark items. Matches that lie at the same offset are
-one alignment; the values in its slots must go with each other one to one, so that a question with other numbers or names is
-found, and a chance mix of placeholders is not.
+Windows of these tokens are joined by hash with the windows of the benchmark items. Every text is read in three ways: with
+capitalised words as names except where a sentence begins, also there, and without regard to case and names. Matches of a
+reading that lie in order at nearby offsets are one alignment. A window counts if its slots keep their values or change them
+as most of the alignment does, so that a question with other numbers or names is found, and a chance mix of placeholders is not.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ from tablehaul.llm.text import mix, rolling, stored, unused
 WINDOW, LEAST_TOKENS = 8, 5
 #: A document holds an item if half of its windows match in one alignment, or so many.
 LEAST_SHARE, ENOUGH = 0.5, 6
+#: Offsets of one alignment lie in a band; bands overlap by half, so offsets that differ by up to half of it share one.
+BAND = 16
+#: How a text is read: names except at sentence starts, names also there, no names and no case.
+READINGS = 3
 #: Window hashes that may be sent to all tasks (8 bytes each); a larger benchmark is joined without this filter.
 MOST_SENT = 1_000_000
 MOST_KNOWN = 500_000
@@ -48,65 +55,79 @@ PLAIN: set[str] = set()
 BASE = 0x9E3779B97F4A7C15
 
 
-def template(text: str | None) -> tuple[list[str], list[tuple[int, str, str]]]:
-    """Template tokens of a text, and its slots as (token position, kind, value).
+def templates(text: str | None) -> list[tuple[list[str], list[tuple[int, str, str]]]]:
+    """Template tokens of a text, and its slots as (token position, kind, value), in each of the ``READINGS``.
 
-    A capitalised word is a name unless a sentence begins with it; names that follow each other are one. A text in capitals
-    is read as lower case.
+    Names that follow each other are one. A text in capitals is read as lower case.
     """
+    tokens: list[list[str]] = [[] for _ in range(READINGS)]
+    slots: list[list[tuple[int, str, str]]] = [[] for _ in range(READINGS)]
+    both = list(zip(tokens, slots, strict=True))
     if not text:
-        return [], []
+        return both
     if text.isupper():
         text = text.lower()
-    tokens: list[str] = []
-    slots: list[tuple[int, str, str]] = []
     if len(PLAIN) > MOST_KNOWN:
         PLAIN.clear()
-    begins, before = True, ""  # whether a sentence begins here, and the kind of the token just before
+    strict, loose, folded = tokens
+    begins, number = True, False  # whether a sentence begins here, and whether a number is just before
+    named = [False] * READINGS  # whether a name is just before
     for word in TOKEN.findall(text):
         if word in PLAIN:
-            tokens.append(word)
-            begins, before = False, ""
+            strict.append(word)
+            loose.append(word)
+            folded.append(word)
+            begins = number = named[0] = named[1] = False
             continue
         lower = word.lower()
         if word == lower and word.isalpha() and word not in SPECIAL:
             PLAIN.add(word)
+        kind = ""
         if word[0].isdigit() or lower in NUMBER_WORDS:
             kind = NUMBER
-        elif lower in UNITS and (before == NUMBER or not word.isalpha()):
+        elif lower in UNITS and (number or not word.isalpha()):
             kind = UNIT
         elif not word[0].isalpha():
-            begins, before = begins or word in ENDS, before if before == NUMBER else ""
-            continue
-        else:
-            kind = NAME if word[0].isupper() and not begins else ""
-        if kind == NAME == before:
-            slots[-1] = (slots[-1][0], NAME, f"{slots[-1][2]} {lower}")
+            begins = begins or word in ENDS
+            named[0] = named[1] = False
             continue
-        if kind:
-            slots.append((len(tokens), kind, lower))
-        tokens.append(kind or lower)
-        begins, before = False, kind
-    return tokens, slots
+        upper = not kind and word[0].isupper()
+        for reading, is_name in enumerate((upper and not begins, upper, False)):
+            own, held = both[reading]
+            if is_name and named[reading]:
+                held[-1] = (held[-1][0], NAME, f"{held[-1][2]} {lower}")
+                continue
+            own_kind = NAME if is_name else kind
+            if own_kind:
+                held.append((len(own), own_kind, lower))
+            own.append(own_kind or lower)
+            named[reading] = is_name
+        begins, number = False, kind == NUMBER
+    return both
 
 
-def window_hashes(tokens: list[str], width: int, known: dict[str, int]) -> np.ndarray:
-    """Hashes of all windows; the width is part of them."""
+def template(text: str | None) -> tuple[list[str], list[tuple[int, str, str]]]:
+    """The first reading of a text: a capitalised word is a name unless a sentence begins with it."""
+    return templates(text)[0]
+
+
+def window_hashes(tokens: list[str], width: int, known: dict[str, int], reading: int = 0) -> np.ndarray:
+    """Hashes of all windows; the width and the reading are part of them."""
     if len(known) > MOST_KNOWN:
         known.clear()
     for t in set(tokens).difference(known):
         known[t] = xxhash.xxh64_intdigest(t)
     hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    return mix(rolling(hashes, width, BASE) + np.uint64(width))
+    return mix(rolling(hashes, width, BASE) + np.uint64(width + (reading << 32)))
 
 
-WINDOWS = "id long, size int, at int, hash long, slots array<struct<at int, kind string, value string>>"
+WINDOWS = "id long, reading int, size int, at int, hash long, slots array<struct<at int, kind string, value string>>"
 SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-WINDOW_ROWS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", SLOTS)])
+WINDOW_ROWS = pa.schema([("id", pa.int64()), ("reading", pa.int32()), ("size", pa.int32()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", SLOTS)])
 
 
 def windows(rows: DataFrame, id_name: str, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """``id``, ``size`` (windows of the text), ``at``, ``hash`` and ``slots`` of the windows of every text.
+    """``id``, ``reading``, ``size`` (windows of the text), ``at``, ``hash`` and ``slots`` of the windows of every text.
 
     ``widths`` are those looked for; without them, the width is ``WINDOW`` or all tokens of a shorter text. ``wanted`` holds
     the sorted hashes that may match; other windows are left out.
@@ -118,16 +139,16 @@ def windows(rows: DataFrame, id_name: str, widths: list[int] | None, wanted: np.
             for start in range(0, batch.num_rows, 512):
                 part, out = batch.slice(start, 512), []
                 for number, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens, slots = template(text)
-                    if len(tokens) < LEAST_TOKENS:
-                        continue
-                    for width in widths or [min(WINDOW, len(tokens))]:
-                        hashes = window_hashes(tokens, width, known)
-                        hits = np.arange(len(hashes)) if wanted is None else np.flatnonzero(hit(hashes, wanted))
-                        for at in hits.tolist():
-                            own = [(p - at, kind, value) for p, kind, value in slots if at <= p < at + width] if slots else []
-                            out.append((number, len(hashes), at, hashes[at].view(np.int64).item(), [dict(zip(("at", "kind", "value"), s, strict=True)) for s in own]))
-                columns = list(zip(*out, strict=True)) or [[]] * 5
+                    for reading, (tokens, slots) in enumerate(templates(text)):
+                        if len(tokens) < LEAST_TOKENS:
+                            continue
+                        for width in widths or [min(WINDOW, len(tokens))]:
+                            hashes = window_hashes(tokens, width, known, reading)
+                            hits = np.arange(len(hashes)) if wanted is None else np.flatnonzero(hit(hashes, wanted))
+                            for at in hits.tolist():
+                                own = [(p - at, kind, value) for p, kind, value in slots if at <= p < at + width] if slots else []
+                                out.append((number, reading, len(hashes), at, hashes[at].view(np.int64).item(), [dict(zip(("at", "kind", "value"), s, strict=True)) for s in own]))
+                columns = list(zip(*out, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WINDOW_ROWS, strict=True)], schema=WINDOW_ROWS)
 
     return rows.select(F.col(id_name).cast("long").alias("id"), "text").mapInArrow(run, WINDOWS)
@@ -151,32 +172,31 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, e
     own = stored(windows(items, "item_id", None, None), "item-windows")
     total = own.count()
     short = items.select(F.col("item_id").alias("id"), "text").join(own.filter("size = 1").select("id").distinct(), "id", "left_semi")
-    widths = sorted({WINDOW, *(r[0] for r in token_counts(short).filter(F.col("n") < WINDOW).select("n").distinct().collect())})
+    widths = sorted({WINDOW, *(r[0] for r in token_counts(short).filter(F.col("n").between(LEAST_TOKENS, WINDOW - 1)).select("n").distinct().collect())})
     wanted = None
     if total <= MOST_SENT:
         hashes = [r[0] for r in own.select("hash").distinct().collect()]
         wanted = np.sort(np.array(hashes, np.int64).view(np.uint64))
     found = windows(docs, "doc_id", widths, wanted)
     left = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
-    right = own.select(F.col("id").alias("item_id"), F.col("size").alias("n_item"), F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"))
+    right = own.select(
+        F.col("id").alias("item_id"), "reading", F.col("size").alias("n_item"), F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots")
+    )
     met = left.join(right, F.col("hash") == F.col("item_hash"))
     same = lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("old"), b["value"].alias("new"))
-    aligned = (
+    offset = F.col("doc_at") - F.col("item_at")
+    bands = F.array(*(F.floor((offset + F.lit(shift)) / F.lit(BAND)) * 2 + F.lit(int(shift > 0)) for shift in (0, BAND // 2)))
+    banded = (
         met.withColumn("pairs", F.zip_with("item_slots", "doc_slots", same))
-        .groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset"))
-        .agg(
-            F.countDistinct("item_at").alias("n_windows"),
-            F.max("n_item").alias("n_item"),
-            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        )
+        .select("doc_id", "item_id", "reading", "n_item", F.struct("item_at", "doc_at", "pairs").alias("window"), F.explode(bands).alias("band"))
+        .groupBy("doc_id", "item_id", "reading", "band")
+        .agg(F.max("n_item").alias("n_item"), F.collect_set("window").alias("windows"))
+        .withColumn("most", F.least(F.lit(enough), F.ceil(F.col("n_item") * F.lit(least_share))).cast("int"))
+        .filter(F.size(F.array_distinct(F.transform("windows", lambda w: w["item_at"]))) >= F.col("most"))
     )
-    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[name]))))
-    consistent = (side("old") == F.size("pairs")) & (side("new") == F.size("pairs"))
-    changed = F.size(F.filter("pairs", lambda p: p["old"] != p["new"]))
-    most = F.least(F.lit(enough), F.ceil(F.col("n_item") * F.lit(least_share)))
-    kept = aligned.filter(consistent & (F.col("n_windows") >= most)).withColumn("n_changed", changed)
+    kept = banded.select("doc_id", "item_id", "n_item", "most", "windows").mapInArrow(judged, JUDGED)
     best = kept.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("n_windows", "n_item", "n_changed"), F.struct("n_windows", -F.col("n_changed"), -F.col("offset"))).alias("best")
+        F.max_by(F.struct("n_windows", "n_item", "n_changed"), F.struct("n_windows", -F.col("n_changed"), -F.col("n_item"))).alias("best")
     )
     return best.select(
         "doc_id", "item_id", F.col("best.n_windows").alias("n_windows"),
@@ -184,10 +204,59 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, e
     )
 
 
+JUDGED = "doc_id long, item_id long, n_windows long, n_item int, n_changed int"
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The alignments that have enough windows, with their number and how many slot values differ."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            out = []
+            for doc, item, n_item, most, windows in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                n, changed = aligned([(w["item_at"], w["doc_at"], [(p["kind"], p["old"], p["new"]) for p in w["pairs"]]) for w in windows])
+                if n >= most:
+                    out.append((doc, item, n, n_item, changed))
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_windows", "n_item", "n_changed"])
+
+
+def aligned(windows: list[tuple[int, int, list[tuple[str, str, str]]]]) -> tuple[int, int]:
+    """Number of windows that lie in order and agree, and of slot values that differ in them.
+
+    A value's new one is the most frequent one at the offset with the most windows that has the value. Several values may
+    get the same new one.
+    """
+    by_offset: dict[int, list] = {}
+    for item_at, doc_at, pairs in windows:
+        by_offset.setdefault(doc_at - item_at, []).append(pairs)
+    mapping: dict[tuple[str, str], str] = {}
+    for _, own in sorted(by_offset.items(), key=lambda x: (-len(x[1]), x[0])):
+        counts = Counter(p for pairs in own for p in pairs)
+        found: dict[tuple[str, str], str] = {}
+        for kind, old, new in sorted(counts, key=lambda p: (-counts[p], p[1] != p[2], p)):
+            found.setdefault((kind, old), new)
+        mapping = found | mapping
+    agreed = [w for w in windows if all(old == new or mapping[kind, old] == new for kind, old, new in w[2])]
+    agreed.sort(key=lambda w: (w[0], -w[1]))
+    ends: list[int] = []  # smallest last document position of a chain of each length
+    last: list[int] = []
+    before: list[int] = []
+    for i, (_, doc_at, _) in enumerate(agreed):
+        at = bisect_left(ends, doc_at)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1], last[at : at + 1] = [doc_at], [i]
+    changed, i = set(), last[-1] if last else -1
+    while i >= 0:
+        changed.update(p for p in agreed[i][2] if p[1] != p[2])
+        i = before[i]
+    return len(ends), len(changed)
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [len(template(t)[0]) for t in batch.column(1).to_pylist()]
+            counts = [len(tokens) for t in batch.column(1).to_pylist() for tokens, _ in templates(t)]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int32())], ["n"])
 
     return rows.select("id", "text").mapInArrow(run, "n int")

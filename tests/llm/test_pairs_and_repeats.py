@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tablehaul.llm import leaks, repeats, simhash
 from tablehaul.llm.components import connected
@@ -200,3 +201,31 @@ def test_leaks_edge_cases(spark):
     kept = leaks.without_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [9]
     assert leaks.without_leaks(docs.limit(0), none).count() == 0
+
+
+def test_leaks_with_names_at_sentence_starts_and_in_other_case(spark):
+    items = spark.createDataFrame([(1, "Tom has 3 pens. Tom gives 2 to Ann. How many pens are left?"), ITEMS[0]], "item_id long, text string").withColumn("item_id", F.xxhash64("text"))
+    first, second = (items.filter(f"text LIKE '{start}%'").first().item_id for start in ("Tom", "A farmer"))
+    texts = [
+        "Eva has 3 pens. Eva gives 2 to Ann. How many pens are left?",
+        f"some words before {ITEMS[0][1].lower()}",
+        f"Mixed text here, then {ITEMS[0][1].upper()}",
+        "Eva sleeps. How many pens are there?",
+    ]
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(documents(spark, texts), items).collect()} == {(0, first), (1, second), (2, second)}
+
+
+def test_leaks_with_slots_that_do_not_go_one_to_one(spark):
+    item = "In 1990 the old mill by the river sold 3 loaves and 5 rolls to every guest, and since 1990 the owner kept a book of all sales."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("since 1990", "since 1991"), item.replace("3 loaves and 5", "4 loaves and 4")]
+    assert {(r.doc_id, r.n_changed) for r in leaks.leaks(documents(spark, texts), items).collect()} == {(0, 1), (1, 2)}
+
+
+def test_leaks_with_words_put_in_or_left_out(spark):
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join(words[:10] + ["really"] + words[10:]), " ".join(words[:10] + words[11:]), " ".join(words[10:] + words[:10])]
+    found = {r.doc_id: r.n_windows for r in leaks.leaks(documents(spark, texts), items).collect()}
+    assert found == {0: 6} and leaks.aligned([(0, 5, []), (1, 4, []), (2, 7, [])]) == (2, 0)
+    assert {r.doc_id for r in leaks.leaks(documents(spark, texts), items, enough=5).collect()} == {0, 1}
