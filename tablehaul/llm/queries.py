@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import htmlmain, leaks, pieces, pii, quality, repeats, simhash, toxicity, urlrules, warc
+from tablehaul.llm import htmlmain, leaks, packing, pieces, pii, quality, repeats, simhash, toxicity, urlrules, warc
 from tablehaul.llm.text import stored, table
 from tablehaul.session import new_output, ship_package
 
@@ -20,6 +20,15 @@ def tokenizer_file(spark: SparkSession) -> str:
     return spark.conf.get("spark.tablehaul.sentencepiece", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def word_tokenizer(spark: SparkSession) -> str:
+    """The content of the tokenizer file, read on the driver; ``spark.tablehaul.word_tokenizer`` names another file."""
+    import public_tokenizers
+
+    path = spark.conf.get("spark.tablehaul.word_tokenizer", None) or public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
 def pseudonym_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.tablehaul.pseudonym.key", pii.TRIAL_KEY)
 
@@ -96,6 +105,13 @@ def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumns(distances)
 
 
+@query
+def op13_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens; ``ids_crc32`` is that of a piece's packed ids."""
+    pieces_of = packing.pack(table(spark, folder, "documents"), word_tokenizer(spark))
+    return pieces_of.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 SQL["op5_warc"] = """
 WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
 coded AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,3 +96,29 @@ def unused(name: str, df: DataFrame) -> str:
     while name in df.columns:
         name += "_"
     return name
+
+
+class Remembered:
+    """Values of keys, made once and kept in two generations: a full one becomes the old one, so frequent keys stay.
+
+    ``make`` gets a list of new keys and returns their values.
+    """
+
+    def __init__(self, most: int, make: Callable[[list], list]) -> None:
+        self.most, self.make = most, make
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def table(self, keys: list) -> dict:
+        """A dictionary that holds all of ``keys``; valid until the next call."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for key in set(keys).difference(young):
+            value = old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                young[key] = value
+        young.update(zip(new, self.make(new), strict=True))
+        return young
