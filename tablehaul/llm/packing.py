@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablehaul.llm.text import Remembered
+from tablehaul.llm.text import Remembered, cut_at
 
 CAPACITY = 4096
 END_ID = 2
@@ -86,15 +86,8 @@ class WordIds:
 
     def slices(self, text: bytes) -> Iterator[list[bytes]]:
         """Words of a text, a bounded number of bytes at a time; ASCII letters in lower case unless special tokens may come of it."""
-        at = 0
-        while at < len(text):
-            upto = len(text)
-            if upto - at > BYTES_AT_ONCE:
-                blank = BLANK.search(text, at + BYTES_AT_ONCE)
-                upto = blank.end() if blank else upto
-            part = text[at:upto]
+        for part in cut_at(text, BLANK, BYTES_AT_ONCE):
             yield (part if SPECIAL in part else part.lower()).split()
-            at = upto
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of every text, in order; words of many short texts are looked up together."""

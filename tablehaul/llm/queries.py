@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import htmlmain, leaks, packing, pieces, pii, quality, repeats, simhash, toxicity, urlrules, warc
+from tablehaul.llm import codes, htmlmain, leaks, packing, pieces, pii, quality, ranked, repeats, simhash, toxicity, urlrules, warc
 from tablehaul.llm.text import stored, table
 from tablehaul.session import new_output, ship_package
 
@@ -105,6 +105,19 @@ def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumns(distances)
 
 
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors with their errors; ``codebooks_sha256`` is the same in every row."""
+    coded, books = codes.compress(table(spark, folder, "embeddings"))
+    kept = codes.with_label_error(stored(coded, "vector-codes"))
+    return kept.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 @query
 def op13_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens; ``ids_crc32`` is that of a piece's packed ids."""
@@ -205,3 +218,53 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   round(cd, 6) AS class_distance, round(md, 6) AS common_distance
 FROM judged
 """
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op11_ranked_search"] = f"""
+WITH given AS (SELECT row_number() OVER () AS k, doc_id, {TERMS} AS t FROM documents),
+counted AS (SELECT k, doc_id, t, len(t) AS n FROM given WHERE len(t) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM counted),
+asked AS (SELECT item_id, text, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+items AS (SELECT item_id, text, term, count(*) AS times FROM asked GROUP BY ALL),
+flat AS (SELECT k, unnest(t) AS term FROM counted),
+tf AS (SELECT k, term, count(*) AS tf FROM flat SEMI JOIN items USING (term) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs),
+scored AS (
+  SELECT item_id, text, doc_id, k, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN counted USING (k), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE r <= 20
+"""
+
+
+def code_rounds(rounds: int) -> str:
+    """SQL of the assignments and updates: ``near0``, ``book1``, ``near1`` and so on, the last ``near`` with the final codebook."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""near{r} AS MATERIALIZED (
+  SELECT k, p, min(struct_pack(d := list_sum(list_transform(list_zip(u, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS best
+  FROM cut JOIN book{r} USING (p) GROUP BY k, p)""")
+        if r < rounds:
+            parts.append(f"""sum{r} AS (
+  SELECT p, best.e AS e, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT k, p, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM cut) JOIN near{r} USING (k, p) GROUP BY ALL),
+mean{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sum{r} GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e)""")
+    return ",\n".join(parts)
+
+
+SQL["op12_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT k, p, v[CAST(p * len(v) // 16 + 1 AS BIGINT):CAST((p + 1) * len(v) // 16 AS BIGINT)] AS u FROM kept, range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, k - 1 AS e, u AS c FROM cut WHERE k <= 64),
+{code_rounds(codes.ROUNDS)},
+coded AS (
+  SELECT k, string_agg(lower(lpad(to_hex(CAST(best.e AS BIGINT)), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{codes.ROUNDS} GROUP BY k),
+flat AS (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM book{codes.ROUNDS}),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM flat)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (k), digest
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,16 @@ def text_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def cut_at(text: bytes, blank: re.Pattern[bytes], size: int) -> Iterator[bytes]:
+    """Slices of about ``size`` bytes that end at a blank; a run without blanks stays whole."""
+    at = 0
+    while at < len(text):
+        found = blank.search(text, at + size) if len(text) - at > size else None
+        upto = found.end() if found else len(text)
+        yield text[at:upto]
+        at = upto
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit of a 64-bit value over the output."""
     h = h ^ (h >> np.uint64(33))
