@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import leaks, nearcopies, pieces, pii, toxicity
+from tablehaul.llm import leaks, pieces, pii, simhash, toxicity
 from tablehaul.llm.queries import pseudonym_key, tokenizer_file
 from tablehaul.llm.text import stored, table
 from tablehaul.session import ship_package
@@ -21,9 +21,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the smallest id stays."""
+    """Of every group of documents whose SimHash fingerprints of three-word shingles link at three bits, the one with the smallest id stays."""
     ship_package(spark)
-    return nearcopies.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
