@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.ranges import limits
-from tablehaul.llm.text import width
+from tablehaul.llm.text import dealt_by, sliced, width
 from tablehaul.llm.urlrules import with_parts
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S)
@@ -77,6 +77,7 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
     zones: list[int] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    is_open: dict[str, int] = {}
     zone = CANDIDATE
 
     def end_line() -> None:
@@ -102,14 +103,15 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
             parts.append(" ")
             continue
         if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if is_open.get(tag) else None
             if tag in BLOCK:
                 end_line()
             if place is not None:
                 if stack[place][1] != zone:
                     end_line()
                 zone = stack[place][1]
-                del stack[place:]
+                while len(stack) > place:
+                    is_open[stack.pop()[0]] -= 1
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -118,12 +120,14 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
         if tag in BLOCK:
             end_line()
             if tag in SIBLINGS and stack and stack[-1][0] in SIBLINGS[tag]:
-                zone = stack.pop()[1]
+                ended, zone = stack.pop()
+                is_open[ended] -= 1
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
         given = attributes(rest)
         before = zone
         stack.append((tag, before))
+        is_open[tag] = is_open.get(tag, 0) + 1
         if zone != OUT and dropped(tag, given, zone == ARTICLE):
             end_line()
             zone = OUT
@@ -255,7 +259,7 @@ def extract(pages: DataFrame) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict[str, list] = {name: [] for name in CUT.names}
             for page_id, url, host, path, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts, zones = lines_of(page)
@@ -266,7 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=CUT)
 
     schema = "part int, own boolean, host string, path string, rank long, page_id long, url string, lines array<string>, zones binary"
-    dealt = rows.mapInArrow(cut, schema).repartition(n, "part").sortWithinPartitions("part", "host", "path", "rank", F.col("own").desc())
+    dealt = dealt_by(rows.mapInArrow(cut, schema), "part", "host", "path", "rank", F.col("own").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished(one: dict, before: dict | None, after: dict | None) -> tuple:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablehaul.llm.text import sliced, unused
+
 ROUNDS = 8
 #: Only for tests and trial runs; production sets ``spark.tablehaul.pseudonym.key``.
 TRIAL_KEY = "trial key"
@@ -270,18 +272,19 @@ def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, dict[str, i
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of ``docs`` with ``text`` pseudonymised, ``n_chars`` (if there) kept true, and ``n_<kind>`` counts in ``pii_counts``.
+    """All columns of ``docs`` with ``text`` pseudonymised, ``n_chars`` (if there) kept true, and the values found of each kind in ``pii_counts``.
 
     Null text stays null, empty text empty; ids do not matter; repeated rows give repeated rows; an empty table gives an
-    empty result. A column ``pii_counts`` of the input would be replaced.
+    empty result; texts of any length are searched whole. A column ``pii_counts`` of the input stays; the counts then
+    have underscores behind their name.
     """
     secret_key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-    docs = docs.drop("pii_counts")
+    counts = unused("pii_counts", docs)
     at, names = docs.columns.index("text"), docs.columns
     long_at = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             done = [pseudonymised(t, secret_key) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], columns[at].type)
@@ -289,8 +292,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
                 old = columns[long_at].to_pylist()
                 sizes = [n if n is None or t is None or not c else len(t) for n, (t, c) in zip(old, done, strict=True)]
                 columns[long_at] = pa.array(sizes, columns[long_at].type)
-            counts = pa.array([[(k, c[k]) for k in KINDS if k in c] for _, c in done], pa.map_(pa.string(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*columns, counts], [*names, "pii_counts"])
+            found = pa.array([[(k, c[k]) for k in KINDS if k in c] for _, c in done], pa.map_(pa.string(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*columns, found], [*names, counts])
 
-    schema = docs.withColumn("pii_counts", F.lit(None).cast("map<string,int>")).schema
+    schema = docs.withColumn(counts, F.lit(None).cast("map<string,int>")).schema
     return docs.mapInArrow(run, schema)

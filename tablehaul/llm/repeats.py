@@ -22,16 +22,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.text import by_key, mix, rolling, stored, text_words, width
+from tablehaul.llm.text import by_key, dealt_by, mix, rolling, stored, text_words, width
 
 WINDOW = 20
 #: Words that are handled at once in a task; a longer text is handled alone.
-WORDS_AT_ONCE = 600_000
+WORDS_AT_ONCE = 400_000
+#: Text whose words meet in one bucket, which a task unpacks at once; a partition holds several buckets, one after the other.
+BUCKET_BYTES = 6_000_000
 #: Bits of the table of documents with anchors that is sent to all tasks (16 MB). More documents only make it less selective.
 FILTER_BITS = 1 << 27
 BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 NO_ID = 2**63 - 1
-MOST_KNOWN = 500_000
+MOST_KNOWN = 200_000
 
 PACKED = "bucket int, keys binary, extra binary, places binary, ranks binary, texts binary, counts binary"
 PACKED_NAMES = ["bucket", "keys", "extra", "places", "ranks", "texts", "counts"]
@@ -162,17 +164,15 @@ def gathered(rows: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(rank[first]), pa.array(text[first]), lists], ["rank", "text_key", "at"])
 
-    dealt = rows.filter(F.col("kind") == FOUND).select(*PACKED_NAMES)
-    dealt = dealt.repartition(width(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, PLACES)
+    return dealt_by(rows.filter(F.col("kind") == FOUND).select(*PACKED_NAMES), "bucket").mapInArrow(run, PLACES)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of all batches with the words of their text (third column), about ``WORDS_AT_ONCE`` words at a time."""
     held, n = [], 0
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            for row in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+        for start in range(0, batch.num_rows, 64):
+            for row in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns), strict=True):
                 words = text_words(row[2])
                 held.append((*row[:2], words, *row[3:]))
                 n += len(words)
@@ -189,9 +189,15 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(values)]]))
 
 
-def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def bucket_count(docs: DataFrame) -> int:
+    """So many buckets that one holds the words of about ``BUCKET_BYTES`` of text, whatever the number of partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(width(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def anchors(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """Places of anchors (packed), and size and digest of every text; see ``ROW``."""
-    block, buckets = window // 2, width(docs.sparkSession)
+    block = window // 2
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -234,16 +240,15 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if len(own):
                 yield found_places(doc[own], place[own], ranks, texts, buckets)
 
-    dealt = docs.mapInArrow(probe, ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, ROW)
+    return dealt_by(docs.mapInArrow(probe, ROW), "bucket").mapInArrow(meet, ROW)
 
 
-def later_windows(anchored: DataFrame, window: int = WINDOW) -> DataFrame:
+def later_windows(anchored: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """For every text the starts of the windows around its anchors whose words also start earlier.
 
     Rows are rank, text key, text, anchors.
     """
-    block, buckets = window // 2, width(anchored.sparkSession)
+    block = window // 2
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -282,8 +287,7 @@ def later_windows(anchored: DataFrame, window: int = WINDOW) -> DataFrame:
                 if len(rest):
                     yield found_places(doc[rest], start[rest], ranks, texts, buckets)
 
-    dealt = anchored.mapInArrow(extend, ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return gathered(dealt.mapInArrow(decide, ROW))
+    return gathered(dealt_by(anchored.mapInArrow(extend, ROW), "bucket").mapInArrow(decide, ROW))
 
 
 def split_first(keys: np.ndarray, second: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,11 +345,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    told = stored(anchors(rows, window), "anchors")
+    buckets = bucket_count(rows)
+    told = stored(anchors(rows, buckets, window), "anchors")
     places = stored(gathered(told), "anchor-places")
     candidates = in_filter(rows, places).repartition(width(docs.sparkSession), "rank", "text_key")
     anchored = candidates.join(places, ["rank", "text_key"]).select("rank", "text_key", "text", "at")
-    later = later_windows(anchored, window)
+    later = later_windows(anchored, buckets, window)
     marked = candidates.join(later, ["rank", "text_key"]).select("rank", "text_key", "text", "at")
     changed = keep_words(marked, window).dropDuplicates(["rank", "text_key"])
     whole = told.filter(F.col("kind") == TOLD).select("rank", "text_key", "n_words", "sha256")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.components import connected
-from tablehaul.llm.text import by_key, stored, unused, width
+from tablehaul.llm.text import by_key, sliced, stored, unused, width
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint's 64 bits as a signed long; null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
@@ -159,14 +159,14 @@ def links(fps: DataFrame, most_under_key: int = MOST_UNDER_KEY) -> DataFrame:
     return found
 
 
-def groups(docs: DataFrame, most_under_key: int = MOST_UNDER_KEY) -> DataFrame:
+def groups(docs: DataFrame, most_under_key: int = MOST_UNDER_KEY, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest ``doc_id`` that links lead to.
 
     Documents without words have fingerprint zero and are linked like others. Rows with a null ``doc_id`` are linked too;
     they never name a group unless it has no other documents (then its id is null). Repeated rows give repeated rows, an
     empty table an empty result; other columns are ignored.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
     edges = stored(links(nodes.select("fp"), most_under_key), "fingerprint-links")
     labels = connected(edges.select("a", "b"))

@@ -71,6 +71,13 @@ def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix(total)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Parts of a few rows each, so that what is made of them stays small; Spark's own batches hold up to 10,000 rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole groups of a partition that is sorted by ``key``, one table per key value."""
     held: list[pa.RecordBatch] = []
@@ -97,6 +104,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_by(df: DataFrame, bucket: str, *order: str | Column) -> DataFrame:
+    """Rows of a bucket in one partition, sorted by bucket and ``order``; buckets go round the partitions, none is left out by chance."""
+    n = width(df.sparkSession)
+    return df.repartitionById(n, F.pmod(F.col(bucket), F.lit(n))).sortWithinPartitions(bucket, *order)
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set to suit the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

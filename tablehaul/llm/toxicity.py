@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.text import stored
+from tablehaul.llm.text import Remembered, sliced, stored
 
 #: At most so many labelled documents of each kind are learnt from: those with the smallest hashes of their ids.
 MOST_TOXIC, MOST_CLEAN = 3000, 4000
@@ -37,7 +37,8 @@ REPORTING = {"said", "says", "wrote", "writes", "quoted", "quote", "called", "wo
 REPORT_SPAN = 4
 WORD = re.compile(r"\w+")
 QUOTE = re.compile("[\"“”„«»]")
-MOST_CACHED = 400_000
+#: Words of a generation (there are two) whose distances a task remembers.
+MOST_CACHED = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,19 +133,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ np.array(self.weights[1:]), -40, 40)))
 
 
-def features(text: str | None, lexicon: Lexicon, cache: dict[str, int | None]) -> tuple[float, float, int]:
+def remembered(lexicon: Lexicon) -> Remembered:
+    """Edits of words to the nearest term, -1 where there is none, kept while a task runs."""
+
+    def distances(words: list[str]) -> list[int]:
+        return [-1 if found is None else found for found in map(lexicon.distance, words)]
+
+    return Remembered(MOST_CACHED, distances)
+
+
+def features(text: str | None, known: Remembered) -> tuple[float, float, int]:
     """Logarithms of the summed weight of all hits and of the densest window's weight, and the number of hits."""
     lower = text.lower() if text else ""
-    terms = {}
-    for word in set(WORD.findall(lower)):
-        if word in cache:
-            found = cache[word]
-        else:
-            if len(cache) >= MOST_CACHED:
-                cache.clear()
-            found = cache[word] = lexicon.distance(word)
-        if found is not None:
-            terms[word] = 1.0 if not found else INEXACT
+    words = set(WORD.findall(lower))
+    edits = known.table(words)
+    terms = {word: INEXACT if edits[word] else 1.0 for word in words if edits[word] >= 0}
     if not terms:
         return 0.0, 0.0, 0
     places, weights, recent, quoted, at = [], [], [], 0, 0
@@ -267,9 +270,9 @@ def with_features(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "total double, dense double, n_hits long, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, cache = model.lexicon(), {}
-        for batch in batches:
-            found = [features(t, lexicon, cache) for t in batch.column(len(kept)).to_pylist()]
+        known = remembered(model.lexicon())
+        for batch in sliced(batches, DOCS_AT_ONCE):
+            found = [features(t, known) for t in batch.column(len(kept)).to_pylist()]
             values = np.array(found, float).reshape(-1, 3)
             arrays = [*batch.columns[: len(kept)], *(pa.array(values[:, i]) for i in (0, 1)), pa.array(values[:, 2].astype(np.int64)), pa.array(model.score(values[:, :2]))]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, "total", "dense", "n_hits", "score"])
@@ -294,9 +297,9 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, cache = model.lexicon(), {}
-        for batch in batches:
-            found = [features(t, lexicon, cache)[:2] for t in batch.column(at).to_pylist()]
+        known = remembered(model.lexicon())
+        for batch in sliced(batches, DOCS_AT_ONCE):
+            found = [features(t, known)[:2] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.score(np.array(found, float).reshape(-1, 2)) < 0.5))
 
     return docs.mapInArrow(run, kinds)

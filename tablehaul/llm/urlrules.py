@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehaul.llm.ranges import limits
-from tablehaul.llm.text import width
+from tablehaul.llm.text import dealt_by, width
 
 #: The production rules: host, start of the path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -80,7 +80,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     url_rows = urls.select(
         place("key", "path", "salt").alias("part"), "key", F.lit(1).alias("kind"), "path", "page_id", "host", F.lit(None).cast("string").alias("verdict")
     )
-    dealt = url_rows.unionByName(rule_rows).repartition(n, "part").sortWithinPartitions("part", "key", "kind", "path")
+    dealt = dealt_by(url_rows.unionByName(rule_rows), "part", "key", "kind", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep = Sweep(default)

@@ -148,7 +148,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, range_bytes: int
     first_rows = known.select("page_id", "digest", F.lit(0).alias("kind"), empty("string").alias("url"), empty("string").alias("html"), "first_id")
     page_rows = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", empty("long").alias("first_id"))
     both = first_rows.unionByName(page_rows).withColumn("shard", shard_of("page_id"))
-    dealt = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, known_key, first_id, seen = None, None, None, None

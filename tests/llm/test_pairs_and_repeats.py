@@ -145,7 +145,7 @@ def test_repeats_edge_cases(spark):
 def test_copies_of_one_text_are_dealt_over_many_buckets(spark):
     text = " ".join(f"q{i}" for i in range(30))
     rows = spark.createDataFrame([(i, 5, text) for i in range(40)], "rank long, text_key long, text string").repartition(3)
-    told = repeats.anchors(rows)
+    told = repeats.anchors(rows, repeats.bucket_count(rows))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for kind in (repeats.FOUND, repeats.TOLD):
         assert told.filter(f"kind = {kind}").select("bucket").distinct().count() >= min(buckets, 40) // 2 > 1

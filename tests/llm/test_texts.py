@@ -148,6 +148,7 @@ def test_pseudonym_table(spark):
     docs = documents(spark, ["mail bob@example.com", None, "", "mail bob@example.com"], [1, None, 2, 1]).withColumnRenamed("source", "pii_counts")
     rows = pii.pseudonymise(docs, "key").collect()
     assert len({r.text for r in rows if r.doc_id == 1}) == 1 and [r.text for r in rows if r.doc_id is None] == [None]
+    assert {r.pii_counts for r in rows} == {"s"} and {str(r.pii_counts_) for r in rows} == {"{}", "{'email': 1}"}
     assert all("bob" not in (r.text or "") and r.n_chars == len(r.text or "") for r in rows)
     assert pii.pseudonymise(docs.limit(0), "key").count() == 0
 
@@ -181,12 +182,12 @@ def test_automaton_matches_edit_distance():
 
 def test_quotation_weighs_less():
     lexicon = toxicity.Lexicon(["idiot", "moron"], [])
-    weight = lambda text: toxicity.features(text, lexicon, {})[0]
+    weight = lambda text: toxicity.features(text, toxicity.remembered(lexicon))[0]
     assert weight("you idiot") == weight("IDIOT!") > weight("you idoit idioot") * 0.9
     assert weight('he "an idiot" there') == weight("she wrote idiot") == weight("«idiot» was it") < weight("you idiot")
     assert weight("a b c") == weight(None) == 0
     spread, close = "idiot " + "x " * 60 + "moron", "idiot moron " + "x " * 60
-    assert toxicity.features(spread, lexicon, {})[1] < toxicity.features(close, lexicon, {})[1]
+    assert toxicity.features(spread, toxicity.remembered(lexicon))[1] < toxicity.features(close, toxicity.remembered(lexicon))[1]
 
 
 def abusive(rng, toxic):
