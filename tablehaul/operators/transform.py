@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,26 +28,9 @@ class FieldTransform:
     target: str
     kind: str = "direct"
     placeholder: str = ""
-    value_mappings: dict[str, str] = field(default_factory=dict)
     expression: str | None = None
 
 
-def map_value(value: Column, mappings: dict[str, str], case_sensitive: bool = False) -> Column:
-    """Translate through a value table given with the rule; values it lacks stay as they are.
-
-    Of entries that differ only in case the first counts. Longer tables belong into ``map_by_table``.
-    """
-    if not mappings:
-        return value
-    fold = (lambda s: s) if case_sensitive else str.lower
-    pairs: dict[str, str] = {}
-    for given, target in mappings.items():
-        pairs.setdefault(fold(given), target)
-    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    key = value if case_sensitive else F.lower(value)
-    return F.coalesce(F.try_element_at(table, key), value)
-
-
 def fill_value(value: Column, placeholder: str, settings: Settings) -> Column:
     """Placeholder policy for null and for the empty string."""
     filled = value
@@ -58,8 +41,10 @@ def fill_value(value: Column, placeholder: str, settings: Settings) -> Column:
     return filled
 
 
-def apply_transforms(df: DataFrame, transforms: list[FieldTransform], settings: Settings = Settings()) -> DataFrame:
-    """All field transforms in one projection.
+def apply_transforms(
+    df: DataFrame, transforms: list[FieldTransform], settings: Settings = Settings(), found: Column | None = None
+) -> DataFrame:
+    """All field transforms in one projection; ``found`` maps lower-case fields to their translated value, if they have one.
 
     With ``skip`` a row whose field is null or empty stays, and a column ``skipped`` tells it from
     the others; ``error`` adds the label ``FIELD.null`` to the row's error list (created when the
@@ -87,7 +72,8 @@ def apply_transforms(df: DataFrame, transforms: list[FieldTransform], settings:
                 labels.append(F.when(value.isNull(), F.lit(f"{name.upper()}.null")))
             if settings.empty_string_handling == "skip":
                 skipped.append(F.coalesce(value == "", F.lit(False)))
-            value = map_value(value, rule.value_mappings, settings.case_sensitive_mappings)
+            if found is not None:
+                value = F.coalesce(F.try_element_at(found, F.lit(name.lower())), value)
             value = fill_value(value, rule.placeholder, settings)
         out[name] = value
     if skipped:

@@ -64,10 +64,10 @@ def row_checks(rules: Iterable[Rule], extended: bool = False) -> list[tuple[str,
 
 
 def with_errors(df: DataFrame, checks: Iterable[tuple[str, Column]]) -> DataFrame:
-    """Add the list of failed rule labels per row; no row leaves and nothing is shuffled."""
+    """Add the list of failed rule labels per row, behind those it has; no row leaves and nothing is shuffled."""
     labels = [F.when(failed, F.lit(label)).otherwise("") for label, failed in checks]
     found = F.array_remove(F.array(*labels), "") if labels else F.array().cast("array<string>")
-    return df.withColumn(ERRORS, found)
+    return df.withColumn(ERRORS, F.concat(ERRORS, found) if ERRORS in df.columns else found)
 
 
 def accepted(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehaul import sinks
-from tablehaul.operators import project, report, validate
+from tablehaul.operators import duplicates, project, report, validate
 from tablehaul.operators.rownum import number_rows
 from tablehaul.plans import legacy
 from tablehaul.plans.registry import query, table
@@ -120,7 +120,7 @@ def key_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def key_unique_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return validate.rows_with_bad_key(lines, ["l_orderkey", "l_linenumber"])
+    return duplicates.rows_with_repeated_key(lines, ["l_orderkey", "l_linenumber"])
 
 
 @query(
@@ -137,11 +137,57 @@ def ref_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reconcile_counts",
-    f"""WITH {legacy.CHECKED} SELECT count(*) AS rows_in, count(*) FILTER (len(errors) = 0) AS rows_out,
-    count(*) FILTER (len(errors) > 0) AS rows_rejected, true AS balanced FROM checked""",
+    f"""WITH {legacy.CHECKED}, kept AS (SELECT * FROM checked WHERE status <> '' OR priority <> ''),
+    counts AS (SELECT (SELECT count(*) FROM legacy) AS rows_in, count(*) FILTER (len(errors) = 0) AS rows_out,
+      count(*) FILTER (len(errors) > 0) AS rows_rejected FROM kept)
+    SELECT *, rows_in - rows_out - rows_rejected AS rows_lost, rows_in = rows_out + rows_rejected AS balanced FROM counts""",
 )
 def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.reconcile(table(spark, sf_dir, "orders"), accept_rows(spark, sf_dir), reject_rows(spark, sf_dir))
+    """Counts taken while both outcomes are written; rows without status and priority are lost on the way."""
+    raw, given = sinks.count_rows(legacy.legacy_orders(spark, sf_dir))
+    cleaned = project.as_clean_text(raw, [c for c in raw.columns if c != "order_no"])
+    kept = project.drop_empty_rows(cleaned, ["status", "prio"])
+    mapped = project.apply_mapping(kept, legacy.TARGETS, legacy.MAPPING, keep=["order_no"])
+    checks = validate.row_checks(legacy.RULES)
+    rows, outcomes = sinks.count_outcomes(validate.with_errors(mapped, checks), [label for label, _ in checks])
+    sinks.write_routed(rows, new_output(spark, "reconciled"))
+    found = {**given.get, **outcomes.get}
+    lost = found["rows_in"] - found["rows_out"] - found["rows_rejected"]
+    row = (found["rows_in"], found["rows_out"], found["rows_rejected"], lost, lost == 0)
+    return spark.createDataFrame([row], "rows_in long, rows_out long, rows_rejected long, rows_lost long, balanced boolean")
+
+
+@query(
+    "write_summary",
+    f"""WITH {legacy.CHECKED}, failed AS (SELECT unnest(errors) AS e FROM checked),
+    counts AS (SELECT count(*) AS n, count(*) FILTER (len(errors) = 0) AS good FROM checked)
+    SELECT 'rows' AS part, unnest(['in', 'out', 'rejected', 'lost']) AS name, unnest([n, good, n - good, 0]) AS n FROM counts
+    UNION ALL SELECT 'errors_by_rule', e, count(*) FROM failed GROUP BY e
+    UNION ALL SELECT 'errors_by_field', split_part(e, '.', 1), count(*) FROM failed GROUP BY split_part(e, '.', 1)""",
+)
+def write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a write, from the write itself."""
+    checks = validate.row_checks(legacy.RULES)
+    labels = [label for label, _ in checks]
+    raw, given = sinks.count_rows(legacy.mapped_orders(spark, sf_dir))
+    rows, outcomes = sinks.count_outcomes(validate.with_errors(raw, checks), labels)
+    sinks.write_routed(rows, new_output(spark, "summed"))
+    return sinks.summary(spark, given.get["rows_in"], outcomes.get, labels)
+
+
+@query(
+    "repeated_run",
+    f"""WITH {legacy.CHECKED} SELECT 'orders' AS object, CASE WHEN status = '' THEN 'none' ELSE lower(status) END AS variant, '0012' AS run_ts,
+    order_no, order_id, customer_id, net_amount FROM checked""",
+)
+def repeated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of several variants written, and then all its variants but one again: every row stands once."""
+    path = new_output(spark, "repeated_run")
+    rows = legacy.checked_orders(spark, sf_dir).select("order_no", "order_id", "customer_id", "net_amount", F.when(F.col("status") == "", "none").otherwise(F.lower("status")).alias("variant"))
+    tagged = rows.withColumns({"object": F.lit("orders"), "run_ts": F.lit("0012")})
+    sinks.write_by_address(tagged, path)
+    sinks.write_by_address(tagged.filter("variant <> 'none'"), path)
+    return sinks.read_by_address(spark, path).select(*sinks.ADDRESS, "order_no", "order_id", "customer_id", "net_amount")
 
 
 @query("row_numbers", "SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS row_no, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem")
@@ -221,5 +267,5 @@ def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted rows written by address and read back through it."""
     path = new_output(spark, "partitioned_output")
     sinks.write_addressed(accept_rows(spark, sf_dir), path, "orders", "legacy", "20250101_0000")
-    back = spark.read.parquet(path)
+    back = sinks.read_by_address(spark, path)
     return back.filter((F.col("object") == "orders") & (F.col("variant") == "legacy")).drop("object", "variant", "run_ts")

@@ -1,11 +1,17 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from tablehaul.operators import project, rownum, transform, validate
+from tablehaul import sinks
+from tablehaul.operators import catalog, duplicates, migrate, project, rownum, rule_tables, transform, validate, versions
 from tablehaul.operators.project import MappingRow
 from tablehaul.operators.transform import FieldTransform, Settings
 from tablehaul.operators.validate import Rule
+from tablehaul.sources import metadata
 
+VALUES = "target_field string, position int, source_value string, target_value string"
 BANK = "banks string, bankl string, banka string, row int"
 
 
@@ -106,16 +112,149 @@ def test_row_numbers_within_a_hot_group(spark):
 
 def test_value_map_and_placeholders(frame):
     df = frame([(" Old ", ""), ("keep", None), (None, "x")], "a string, b string")
-    rules = [FieldTransform("a", value_mappings={"OLD": "NEW"}, placeholder="?"), FieldTransform("b", placeholder="-")]
-    assert [tuple(r) for r in transform.apply_transforms(df, rules).collect()] == [("NEW", "-"), ("keep", "-"), ("?", "x")]
+    rules = [FieldTransform("a", placeholder="?"), FieldTransform("b", placeholder="-")]
+    values = frame([("A", 1, "OLD", "NEW"), ("a", 2, "old", "second"), ("z", 1, "keep", "no"), ("a", 1, None, "null")], VALUES)
+    apply = lambda *settings: sorted((tuple(r) for r in rule_tables.apply_rule_tables(df, rules, values, *settings).collect()), key=str)
+    assert apply() == [("?", "x"), ("NEW", "-"), ("keep", "-")]
     exact = Settings(case_sensitive_mappings=True, null_handling="error", empty_string_handling="keep", trim_whitespace=False)
-    assert [tuple(r) for r in transform.apply_transforms(df, rules, exact).collect()] == [
-        (" Old ", "", []), ("keep", None, ["B.null"]), (None, "x", ["A.null"]),
-    ]
+    assert apply(exact) == [(" Old ", "", []), ("keep", None, ["B.null"]), (None, "x", ["A.null"])]
     skip = Settings(null_handling="skip", empty_string_handling="skip")
-    assert [r.skipped for r in transform.apply_transforms(df, rules, skip).collect()] == [True, True, True]
-    first = FieldTransform("a", value_mappings={"OLD": "first", "old": "second"})
-    assert transform.apply_transforms(df, [first]).first().a == "first"
+    assert [r[2] for r in apply(skip)] == [True, True, True]
+    assert rule_tables.apply_rule_tables(df, rules, values.limit(0)).count() == 3
+    assert rule_tables.apply_rule_tables(df.limit(0), rules, values).count() == 0
+    constant = [FieldTransform("a", "constant", "c")]
+    assert {r.a for r in rule_tables.apply_rule_tables(df, constant, values).collect()} == {"c"}
+
+
+def test_value_tables_of_any_size_keep_every_row(spark):
+    """A hot value, repeated rows, nulls and a long table against a plain loop."""
+    rng = random.Random(3)
+    rows = [("HOT" if rng.random() < 0.4 else f"v{rng.randrange(400)}", rng.choice([None, "", " x ", "X", f"w{rng.randrange(9)}"]), 1) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string, c int")
+    table = [("A", 0, "hot", "cold"), *(("a", i, f"V{i}", f"t{i}") for i in range(0, 400, 3)), ("b", 1, "x", "ten"), ("b", 0, "W3", "three"), ("b", 5, "w3", "late")]
+    values = spark.createDataFrame(table, VALUES)
+    known = {"a": {s.lower(): t for f, _, s, t in table if f.lower() == "a"}, "b": {"x": "ten", "w3": "three"}}
+    plain = lambda f, v: "?" if v is None or v.strip() == "" else known[f].get(v.strip().lower(), v.strip())
+    rules = [FieldTransform("A", placeholder="?"), FieldTransform("B", placeholder="?")]
+    got = rule_tables.apply_rule_tables(df, rules, values)
+    assert Counter(tuple(r) for r in got.collect()) == Counter((plain("a", a), plain("b", b), c) for a, b, c in rows)
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count("Join Inner") == 1  # one keyed join for all fields
+
+
+def test_rule_documents_come_back(spark, frame, tmp_path):
+    targets = frame([("o", "v", "B", "Bee", 1), ("o", "v", "A", None, 2), ("p", "v", "C", "", 1)], "object string, variant string, field_name string, description string, n int")
+    rules = catalog.transform_rules(targets)
+    pairs = F.when(F.col("target_field") == "A", F.from_json(F.lit('[{"source_value":"x","target_value":"y"}]'), "array<struct<source_value:string,target_value:string>>"))
+    rules = rules.withColumn("value_mappings", F.coalesce(pairs, "value_mappings")).withColumn("expression", F.lit(None).cast("string"))
+    settings = frame([("skip", False)], "null_handling string, trim_whitespace boolean")
+    path = str(tmp_path / "rules")
+    metadata.write_transform_rules(rules, settings, path)
+    back, values, given = metadata.read_transform_rules(spark, path)
+    assert sorted((r.object, r.position, r.target_field, r.target_field_description) for r in back.collect()) == [
+        ("o", 0, "A", "Transform data for A"), ("o", 1, "B", "Bee"), ("p", 0, "C", "Transform data for C"),
+    ]
+    assert [tuple(r) for r in values.collect()] == [("o", "v", "A", 0, "x", "y")]
+    assert rule_tables.collect_settings(given.filter("object = 'p'")) == Settings(null_handling="skip", trim_whitespace=False)
+    assert rule_tables.collect_settings(given.filter("false")) == Settings()
+    assert rule_tables.collect_transforms(back.filter("object = 'o'")) == [FieldTransform("A"), FieldTransform("B")]
+
+
+def test_the_whole_command(spark, frame, tmp_path):
+    raw = frame([(1, " 7 ", "old", "1.5"), (2, None, "new", "x"), (3, "9", "", "2"), (4, "8", "old", "")], "n int, id string, state string, amount string")
+    job = migrate.Job(
+        "o", "v", ["ID", "STATE", "AMOUNT", "NOTE"], [MappingRow("ID", "id"), MappingRow("STATE", "state"), MappingRow("AMOUNT", "amount"), MappingRow("NOTE", "gone")],
+        [Rule("ID", key=True, required=True), Rule("STATE", required=True), Rule("AMOUNT", type="decimal")],
+        [FieldTransform("STATE")], Settings(empty_string_handling="keep"), ["STATE", "ID(k/*)", "MORE"], extended=True,
+    )
+    values = frame([("STATE", 1, "old", "OLDER")], VALUES)
+    for _ in range(2):  # the same run again takes its own place
+        done = migrate.run(raw, job, values, str(tmp_path / "out"), "0007", "n")
+    assert done.accepted.columns == ["STATE(*)", "ID(k/*)", "MORE"]
+    assert [tuple(r) for r in done.accepted.orderBy("ID(k/*)").collect()] == [("OLDER", "7", ""), ("OLDER", "8", "")]
+    rejects = {r["__rownum"]: r["__errors"] for r in done.rejected.collect()}
+    assert rejects[2] == "ID.required|AMOUNT.decimal" and rejects[3] == "STATE.required"
+    counts = {(r.part, r.name): r.n for r in done.summary.collect()}
+    assert counts["rows", "in"] == 4 == counts["rows", "out"] + counts["rows", "rejected"] and counts["rows", "lost"] == 0
+    assert counts["errors_by_rule", "ID.required"] == 1 and counts["errors_by_field", "STATE"] == 1
+    assert done.warnings == [("missing_source_column", "gone"), ("target_not_in_template", "AMOUNT"), ("target_not_in_template", "NOTE")]
+    with pytest.raises(ValueError, match="key=true"):
+        migrate.checked(raw, migrate.Job("o", "v", ["ID"], [], [Rule("ID", key=True)]), values, "n")
+
+
+def test_counts_taken_while_writing(spark, frame, tmp_path):
+    df = frame([(i, "" if i % 3 else "x") for i in range(100)], "n int, a string")
+    checks = validate.row_checks([Rule("A", required=True)])
+    raw, given = sinks.count_rows(df)
+    rows, outcomes = sinks.count_outcomes(validate.with_errors(raw.filter("n <> 5"), checks), ["A.required"])
+    sinks.write_routed(rows, str(tmp_path / "out"))
+    assert given.get == {"rows_in": 100} and outcomes.get == {"rows_out": 34, "rows_rejected": 65, "rule0": 65}
+    found = {tuple(r) for r in sinks.summary(spark, 100, outcomes.get, ["A.required"]).collect()}
+    assert found == {("rows", "in", 100), ("rows", "out", 34), ("rows", "rejected", 65), ("rows", "lost", 1), ("errors_by_rule", "A.required", 65), ("errors_by_field", "A", 65)}
+
+
+def test_a_repeated_run_replaces_itself_alone(spark, frame, tmp_path):
+    path = str(tmp_path / "out")
+    rows = lambda *r: frame([*r], "object string, variant string, run_ts string, n int")
+    sinks.write_by_address(rows(("o", "v", "01", 1), ("o", "w", "01", 2)), path)
+    sinks.write_by_address(rows(("o", "v", "02", 3)), path)
+    sinks.write_by_address(rows(("o", "v", "01", 4), ("o", "v", "01", 5)), path)
+    got = lambda: sorted(tuple(r) for r in sinks.read_by_address(spark, path).select("variant", "run_ts", "n").collect())
+    assert got() == [("v", "01", 4), ("v", "01", 5), ("v", "02", 3), ("w", "01", 2)]
+    assert sorted((r.variant, r.run_ts, r.rows) for r in sinks.manifest(spark, path).collect()) == [("v", "01", 2), ("v", "02", 1), ("w", "01", 1)]
+    # a write that broke off before its manifest: its address is empty until it is written again, the others stay
+    broken = rows(("o", "v", "02", 9)).withColumn("commit_id", F.lit("lost"))
+    broken.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*sinks.ADDRESS).parquet(path)
+    assert got() == [("v", "01", 4), ("v", "01", 5), ("w", "01", 2)]
+    sinks.write_by_address(rows(("o", "v", "02", 9)), path)
+    assert ("v", "02", 9) in got()
+
+
+def plain_log(old, new):
+    out = set()
+    for k in {*old, *new}:
+        a, b = old.get(k), new.get(k)
+        change = "insert" if a is None else "delete" if b is None else "update"
+        a, b = a or (None, None), b or (None, None)
+        fields = {(k, change, f, x, y) for f, x, y in zip("vw", a, b, strict=True) if x != y}
+        out |= fields or ({(k, change, None, None, None)} if change != "update" else set())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_version_changes_equal_plain_comparison(spark, seed):
+    rng = random.Random(seed)
+    some = lambda: {k: (rng.choice([None, "", "a", "b"]), rng.choice([None, "x"])) for k in [*rng.sample(range(60), 40), None]}
+    old, new = some(), some()
+    table = lambda d: spark.createDataFrame([(k, *v) for k, v in d.items()], "k int, v string, w string")
+    rows = versions.change_log(table(old), table(new), ["k"]).collect()
+    assert {tuple(r) for r in rows} == plain_log(old, new) and len(rows) == len(plain_log(old, new))
+    assert versions.change_log(table(old), table(old), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_keys_in_two_passes(spark, seed, monkeypatch):
+    monkeypatch.setattr(duplicates, "AT_ONCE", [50, 10**6, 700][seed])
+    monkeypatch.setattr(duplicates, "SPREAD", [64, 64, 1][seed])  # at 1 many hashes agree by chance
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, "", "hot", *map(str, range(900))]), rng.choice([None, 1, 2]), i) for i in range(2000)]
+    rows += [("hot", 1, 5000 + i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a string, b int, i int").repartition(5)
+    want = {r.i for r in validate.rows_with_bad_key(df, ["a", "b"]).collect()}
+    got = [r.i for r in duplicates.rows_with_repeated_key(df, ["a", "b"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert duplicates.rows_with_repeated_key(df.limit(0), ["a"]).count() == 0
+
+
+def test_few_repeated_keys_move_few_bytes(spark):
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") < n // 100, F.floor(F.col("id") / 2)).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    at = F.pmod(F.xxhash64("k"), F.lit(duplicates.SPREAD * n))
+    sent = duplicates.packed(df.select(at.alias("at")), duplicates.SPREAD * n).agg(F.sum(F.octet_length("gaps"))).first()[0]
+    assert sent <= 3 * n  # a key and a payload of 8 bytes each take 16 bytes a row and more
+    survivors = duplicates.possible(df, ["k"]).count()
+    assert n // 100 <= survivors < 0.04 * n
+    assert duplicates.rows_with_repeated_key(df, ["k"]).count() == n // 100
 
 
 def test_table_map_lookup_currency_dates(frame):
