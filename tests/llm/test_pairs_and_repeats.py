@@ -187,11 +187,73 @@ def test_leaks_by_template(spark):
     assert found[0, 1].n_changed == 0 and found[1, 1].n_changed == 4 and found[0, 1].share == 1.0
 
 
-def test_leaks_without_a_sent_filter_are_the_same(spark, monkeypatch):
-    texts = [ITEMS[0][1], "x " + ITEMS[1][1], "nothing here at all to be found in it"]
-    first = set(found_leaks(spark, texts))
-    monkeypatch.setattr(leaks, "MOST_SENT", 0)
-    assert set(found_leaks(spark, texts)) == first == {(0, 1), (1, 2)}
+def plain_leaks(texts, items, least_share=leaks.LEAST_SHARE, enough=leaks.ENOUGH):
+    """Every text against every item by tuples of tokens: no hashes, bits, arrays or joins."""
+    found = {}
+
+    def read(text):
+        for reading, (tokens, slots) in enumerate(leaks.templates(text)):
+            at = {p: (kind, value) for p, kind, value in slots}
+            yield reading, tokens, at
+
+    def windows(tokens, at, width):
+        if len(tokens) < leaks.LEAST_TOKENS:
+            return []
+        starts = range(len(tokens) - width + 1)
+        return [(i, tuple(tokens[i : i + width])) for i in starts if sum(j not in at for j in range(i, i + width)) >= leaks.LEAST_PLAIN]
+
+    exact = lambda tokens, at: [at[i][1] if i in at else t for i, t in enumerate(tokens)]
+    for item, item_text in items:
+        own = [(tokens, at, windows(tokens, at, min(leaks.WINDOW, len(tokens)))) for _, tokens, at in read(item_text)]
+        for doc, text in texts:
+            best = []
+            for reading, tokens, at in read(text):
+                item_tokens, item_at, wanted = own[reading]
+                there = windows(tokens, at, min(leaks.WINDOW, len(item_tokens)))
+                most = min(enough, -(-len(wanted) * least_share // 1))
+                pairs = lambda i, d: [(item_at[i + k][0], item_at[i + k][1], at[d + k][1]) for k in range(leaks.WINDOW) if i + k in item_at and k < min(leaks.WINDOW, len(item_tokens))]  # noqa: E731, B023
+                met = [(i, d, pairs(i, d)) for i, w in wanted for d, v in there if w == v]
+                for shift in (0, leaks.BAND // 2):
+                    for band in {(d - i + shift) // leaks.BAND for i, d, _ in met}:
+                        n, changed = leaks.aligned([m for m in met if (m[1] - m[0] + shift) // leaks.BAND == band])
+                        if n and n >= most:
+                            best.append((n, -changed, -len(wanted)))
+            if not any(w for _, _, w in own):
+                (tokens, at, _), (_, mine, my_at) = own[-1], list(read(text))[-1]
+                if tokens and exact(tokens, at) == exact(mine, my_at):
+                    best.append((1, 0, -1))
+            if best:
+                n, changed, size = max(best)
+                found[doc, item] = (n, -changed, n / -size)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaks_equal_plain_comparison(spark, seed, monkeypatch):
+    if seed == 1:
+        monkeypatch.setattr(leaks, "MOST_BITS", 1 << 15)
+        monkeypatch.setattr(leaks, "TEXTS_AT_ONCE", 3)
+    rng = random.Random(seed)
+    words = ["sun", "Tom", "Ann", "river", "7", "12.5", "kg", "three", "m", "%", "€", "gives", "Old", "bread", "to", "a", "is", "l'été", "Ⅷ", "²", "x\x00y", "\x00", "M", "Days"]
+    marks = [" ", " ", " ", " ", ", ", ". ", "\n", "! ", " - ", "  "]
+    text = lambda n: "".join(rng.choice(words) + rng.choice(marks) for _ in range(n))
+    items = [(i, text(rng.choice([2, 4, 6, 9, 14, 25]))) for i in range(14)] + [(20, "1 2 3"), (21, "Yes."), (22, None), (23, " 5 kg, 7 kg 9 kg 8 m 3 % 1 2 3 4")]
+    docs = [text(rng.randint(0, 60)) for _ in range(25)]
+    for _ in range(40):
+        own = rng.choice(items)[1] or ""
+        changed = " ".join(rng.choice(words) if rng.random() < 0.08 else w for w in own.split(" "))
+        docs.append(rng.choice(["", text(5)]) + rng.choice([own, changed, changed.lower(), own.upper()]) + rng.choice(["", " " + text(4)]))
+    docs += ["1, 2 3", "yes", "YES", "Yes or no", "5 kg 7 kg 9 kg 8 m 3 % 1 2 3 4", "5 kg 7 kg 9 kg 8 m 3 % 1 2 3 5", None, "long " * 3000 + (items[3][1] or "")]
+    rows = leaks.leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_changed, r.share) for r in rows}
+    assert got == plain_leaks(list(enumerate(docs)), items)
+
+
+def test_number_tables_hold_no_item(spark):
+    items = spark.createDataFrame([(1, "Row " + " ".join(map(str, range(1, 19))))], "item_id long, text string")
+    prices = "Row " + " ".join(str(p) for p in (19, 5, 7, 88, 4, 12, 9, 31, 2, 6, 45, 3, 8, 71, 10, 13, 27, 64, 1, 99))
+    texts = [prices, "Row " + ", ".join(map(str, range(1, 19)))]
+    assert {r.doc_id for r in leaks.leaks(documents(spark, texts), items).collect()} == {1}
 
 
 def test_leaks_edge_cases(spark):

@@ -24,10 +24,11 @@ def documents(spark, texts, ids=None, lang="en"):
     return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in zip(ids, texts, strict=True)], DOCS)
 
 
-def small_vocabulary():
+def small_vocabulary(kind=0):
     rng = random.Random(4)
     words = {"".join(rng.choice("ab" + pieces.BLANK * (k == 0)) for k in range(rng.randint(1, 5))) for _ in range(40)} | {"a", pieces.BLANK}
-    words = sorted(w for w in words if pieces.BLANK not in w.lstrip(pieces.BLANK))
+    words |= {"\n", "a\n"} if kind == 1 else {f"a{pieces.BLANK}b", f"b{pieces.BLANK}{pieces.BLANK}a"} if kind == 2 else set()
+    words = sorted(w for w in words if kind == 2 or pieces.BLANK not in w.lstrip(pieces.BLANK))
     return pieces.Vocabulary([(w, -float(rng.randint(1, 9) * len(w)), 300 + i) for i, w in enumerate(words)], list(range(256)))
 
 
@@ -43,12 +44,14 @@ def plain_score(text, vocabulary):
     return best[-1]
 
 
-def test_segmentation_has_the_best_score():
-    vocabulary, rng = small_vocabulary(), random.Random(9)
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_segmentation_has_the_best_score(kind):
+    vocabulary, rng = small_vocabulary(kind), random.Random(9)
+    assert (vocabulary.by_words, vocabulary.by_lines) == (kind < 2, kind < 1)
     score = {i: s for _, s, i in vocabulary.pieces}
-    for _ in range(300):
-        text = "".join(rng.choice("aabbc ") for _ in range(rng.randint(1, 14)))
-        ids = pieces.encode(text, vocabulary, {})
+    for _ in range(400):
+        text = "".join(rng.choice("aabbc \n") for _ in range(rng.randint(1, 14)))
+        ids = pieces.encode(text, vocabulary)
         total = sum(score.get(i, vocabulary.unknown) for i in ids)
         assert total == plain_score(pieces.BLANK + text.replace(" ", pieces.BLANK), vocabulary)
         assert pieces.decode(ids, vocabulary) == text
@@ -78,7 +81,7 @@ def test_ids_agree_with_the_library_as_a_unigram_model():
     vocabulary, rng = pieces.Vocabulary.load(VOCABULARY), random.Random(1)
     for _ in range(500):
         word = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 12)))
-        assert pieces.encode(word, vocabulary, {}) == library.encode(word)
+        assert pieces.encode(word, vocabulary) == library.encode(word)
 
 
 KEY = b"k" * 32
