@@ -6,6 +6,7 @@ fold over characters with ``aggregate`` cost about seven times as much per pair.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,10 +42,61 @@ def _jaro(a: str, b: str) -> float:
     return (n / la + n / lb + (n - moved / 2) / n) / 3
 
 
+#: Strings up to this length are compared as arrays, so many pairs at a time that a table of characters stays small.
+LONGEST_ARRAY, CHARACTERS_AT_ONCE = 256, 1 << 20
+
+
+def _characters(texts: list[str], width: int) -> np.ndarray:
+    """Code points by string and place; zero behind the end of a string."""
+    return np.array(texts, f"<U{max(width, 1)}").view("<u4").reshape(len(texts), -1)
+
+
+def _jaro_arrays(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaro similarity of non-empty strings, pair by pair: all first characters look for a partner at once, then all second ones."""
+    la, lb = np.array(list(map(len, left))), np.array(list(map(len, right)))
+    a, b = _characters(left, la.max()), _characters(right, lb.max())
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    places, pairs = np.arange(b.shape[1]), np.arange(len(left))
+    free, hits = places < lb[:, None], np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        near = (b == a[:, i : i + 1]) & free & (abs(places - i) <= reach[:, None])
+        first = near.argmax(axis=1)
+        found = near[pairs, first] & (i < la)
+        hits[found, i] = True
+        free[pairs[found], first[found]] = False
+    n = hits.sum(axis=1)
+    taken = (places < lb[:, None]) & ~free
+    most = n.max()
+    in_order = lambda table, mask: np.take_along_axis(table, np.argsort(~mask, axis=1, kind="stable"), axis=1)[:, :most]
+    moved = ((in_order(a, hits) != in_order(b, taken)) & (np.arange(most) < n[:, None])).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 0, (n / la + n / lb + (n - moved / 2) / n) / 3, 0.0)
+
+
+def jaro_of_pairs(left: list[str | None], right: list[str | None]) -> np.ndarray:
+    """Jaro similarity of pairs; missing strings give NaN. Pairs of like length are compared together."""
+    out = np.full(len(left), np.nan)
+    short: list[int] = []
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        if x is None or y is None:
+            continue
+        if x and y and max(len(x), len(y)) <= LONGEST_ARRAY and "\0" not in x and "\0" not in y:
+            short.append(i)
+        else:
+            out[i] = _jaro(x, y)
+    short.sort(key=lambda i: max(len(left[i]), len(right[i])))
+    while short:
+        n = max(1, CHARACTERS_AT_ONCE // (LONGEST_ARRAY if len(left[short[-1]]) > 64 else 64))
+        part, short = short[:n], short[n:]
+        out[part] = _jaro_arrays([left[i] for i in part], [right[i] for i in part])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity with half transpositions (an odd count is not rounded down)."""
-    return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    found = jaro_of_pairs(a.tolist(), b.tolist())
+    return pd.Series(found, dtype="Float64").mask(np.isnan(found), pd.NA)
 
 
 def common_prefix(a: Column, b: Column, limit: int = 4) -> Column:

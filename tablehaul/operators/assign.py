@@ -4,12 +4,14 @@ Each source takes the best target that no earlier source has taken. The serial r
 stable matching in which every target prefers the earliest source, so it can be found in rounds:
 all open sources ask their best remaining target at once, every target keeps the earliest asker,
 the others move on to their next choice. Each round is a join and a ``min`` over all groups
-together; no group is collected anywhere.
+together. Groups of a bounded number of choices need no rounds: one task takes their sources in turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablehaul.functions.similarity import weighted_similarity
@@ -52,8 +54,36 @@ def preferences(sources: DataFrame, targets: DataFrame, labels: list[str], thres
     return exact.unionByName(near).withColumn("choice", F.row_number().over(order))
 
 
-def assign_one_to_one(choices: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Serial one-to-one assignment from ranked choices (source_ordinal, choice, target_ordinal).
+#: Choices of a group up to which one task takes its sources in turn; larger groups are assigned in rounds.
+MOST_IN_TURN = 200_000
+
+
+def assign_one_to_one(choices: DataFrame, by: list[str] = BY, most: int = MOST_IN_TURN) -> DataFrame:
+    """Serial one-to-one assignment from ranked choices (source_ordinal, choice, target_ordinal): the chosen rows."""
+    choices = cut_lineage(choices)
+    large = choices.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(*by)
+    if large.isEmpty():
+        return choices.groupBy(*by).applyInArrow(in_turn, choices.schema)
+    rest = choices.join(large, by, "left_anti").select(*choices.columns)
+    rounds = in_rounds(choices.join(large, by, "left_semi").select(*choices.columns), by)
+    return rest.groupBy(*by).applyInArrow(in_turn, choices.schema).unionByName(rounds.select(*choices.columns))
+
+
+def in_turn(group: pa.Table) -> pa.Table:
+    """The choices of one group that its sources get, source by source."""
+    order = pa.compute.sort_indices(group, [("source_ordinal", "ascending"), ("choice", "ascending")]).to_pylist()
+    sources, targets = group.column("source_ordinal").to_pylist(), group.column("target_ordinal").to_pylist()
+    served, taken, kept = set(), set(), []
+    for i in order:
+        if sources[i] not in served and targets[i] not in taken:
+            served.add(sources[i])
+            taken.add(targets[i])
+            kept.append(i)
+    return group.take(pa.array(kept, pa.int64()))
+
+
+def in_rounds(choices: DataFrame, by: list[str]) -> DataFrame:
+    """The same for groups of any size.
 
     A source that was turned away goes on to its next target that is free or held by a later
     source: holders only get earlier, so any other target would turn it away as well. Groups in
@@ -61,7 +91,6 @@ def assign_one_to_one(choices: DataFrame, by: list[str] = BY) -> DataFrame:
     round, so a lost executor repeats one round and not all of them.
     """
     key = [*by, "source_ordinal"]
-    choices = cut_lineage(choices)
     current = choices.groupBy(*key).agg(F.min("choice").alias("choice"))
     done = []
     while True:

@@ -14,13 +14,15 @@ multiplicity, and Levenshtein similarity at the same level needs no fewer. Winkl
 only helps pairs that share their first characters, so three classes cover all pairs: any prefix
 (no bonus), first character shared (bonus of at most two characters), first three shared (bonus
 of at most four). In each class characters are ordered from rare to frequent, and strings that
-share q characters must agree on some combination of their rarest ones. Before a pair is scored,
-bit masks of its characters bound both measures from above.
+share q characters must agree on some combination of their rarest ones. What is rare is counted over all
+strings, and the more strings there are, the more characters are combined, so that lists stay short. Before a
+pair is scored, bit masks of its characters bound both measures from above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,28 +72,50 @@ def similar_names(left: DataFrame, right: DataFrame, l: str, r: str, threshold:
     a = left.select(F.col(l).alias("l")).filter(F.col("l").isNotNull()).distinct()
     b = right.select(F.col(r).alias("r")).filter(F.col("r").isNotNull()).distinct()
     equal = a.join(b, F.col("l") == F.col("r")).select("l", "r", F.lit(1.0).alias("score"))
-    lk = _name_keyed(a, "l", threshold, True)
-    rk = _name_keyed(b, "r", threshold, False)
+    counts, strings = character_counts(a.select(F.col("l").alias("s")).unionByName(b.select(F.col("r").alias("s"))))
+    characters = simkeys.characters_combined(strings)
+    lk = _name_keyed(a, "l", threshold, True, counts, characters)
+    rk = _name_keyed(b, "r", threshold, False, counts, characters)
     met = lk.join(rk, "key").filter((F.col("l") != F.col("r")) & (_score_bound() >= threshold - simkeys.EPS))
     pairs = met.select("l", "r").distinct()
     scored = pairs.select("l", "r", score(F.col("l"), F.col("r")).alias("score"))
     return equal.unionByName(scored.filter(F.col("score") >= threshold))
 
 
-SALTS = 8
+def character_counts(strings: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
+    """How many strings hold a character, a second one of it, and so on up to ``simkeys.COUNTED``; and the number of strings.
+
+    The table has an entry for each distinct character at most ``COUNTED`` times, whatever the number of strings.
+    """
+
+    @F.pandas_udf("array<struct<c:string,k:int,n:long>>")
+    def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            seen = Counter(t for s in part for t in simkeys.numbered(s) if t[1] <= simkeys.COUNTED)
+            rows = [{"c": c, "k": k, "n": n} for (c, k), n in seen.items()]
+            yield pd.Series([rows, *([] for _ in range(len(part) - 1))])
+
+    found = strings.select(F.explode_outer(counted("s")).alias("t")).groupBy("t.c", "t.k").agg(F.sum("t.n").alias("n"))
+    return {(r.c, r.k): r.n for r in found.collect() if r.c is not None}, strings.count()
+
+
+#: Pairs of a group that one join key holds.
+PAIRS_AT_ONCE = 2_000_000
 
 
 def similar_within(left: DataFrame, right: DataFrame, by: list[str], l: str, r: str, threshold: float = 0.8, score=name_score) -> DataFrame:
     """Rows (by, l, r, score) of strings of one group with score >= threshold; any threshold will do.
 
-    The strings of a group meet each other and no others, so the work follows the number of groups.
-    A large group is spread over ``SALTS`` join keys. Length and character masks cut the pairs before
-    they are scored, and each distinct pair is scored once, however many groups hold it.
+    The strings of a group meet each other and no others, so the work follows the number of groups. A group is spread over
+    as many join keys as its counted number of pairs needs. Length and character masks cut the pairs before they are
+    scored, and each distinct pair is scored once, however many groups hold it.
     """
     a = _masked(left.filter(F.col(l).isNotNull()).select(*by, F.col(l).alias("l")).distinct(), "l")
     b = _masked(right.filter(F.col(r).isNotNull()).select(*by, F.col(r).alias("r")).distinct(), "r")
-    spread = a.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = b.withColumn("__salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int"))
+    sizes = a.groupBy(*by).agg(F.count("*").alias("__a")).join(b.groupBy(*by).agg(F.count("*").alias("__b")), by)
+    sizes = sizes.select(*by, F.least(F.ceil(F.col("__a") * F.col("__b") / PAIRS_AT_ONCE), F.col("__b")).cast("int").alias("__salts"))
+    spread = a.join(sizes, by).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    salted = b.join(sizes, by).withColumn("__salt", F.pmod(F.xxhash64("r"), F.col("__salts")).cast("int")).drop("__salts")
     close = (F.col("l") == F.col("r")) | (_score_bound() >= threshold - simkeys.EPS)
     met = spread.join(salted, [*by, "__salt"]).filter(close).select(*by, "l", "r")
     pairs = met.filter(F.col("l") != F.col("r")).select("l", "r").distinct()
@@ -114,13 +138,15 @@ _NAME_KEYS = T.StructType(
 )
 
 
-def _name_keyed(strings: DataFrame, name: str, threshold: float, is_left: bool) -> DataFrame:
+def _name_keyed(
+    strings: DataFrame, name: str, threshold: float, is_left: bool, counts: dict[tuple[str, int], int], characters: int
+) -> DataFrame:
     """(string, its character masks, key) rows."""
 
     @F.pandas_udf(_NAME_KEYS)
     def keys(texts: pd.Series) -> pd.DataFrame:
         bits = [simkeys.bag_bits(s) for s in texts]
-        found = [simkeys.name_keys(s, threshold, is_left) for s in texts]
+        found = [simkeys.name_keys(s, threshold, is_left, counts, characters) for s in texts]
         return pd.DataFrame({"keys": found, "low": [b[0] for b in bits], "high": [b[1] for b in bits]})
 
     made = strings.select(name, keys(F.col(name)).alias("k"))

@@ -9,13 +9,15 @@ from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, floor
+from math import ceil, comb, floor
 
 EPS = 1e-9
 LONGEST = 2**31 - 1
 
-# Characters from rare to frequent in European names; any order gives the same result.
-RARE_FIRST = {c: i for i, c in enumerate("qxjzywvkfbpghmu0123456789cdlsontriae")}
+#: Occurrences of a character in a string that are told apart when characters are counted; further ones come first.
+COUNTED = 8
+#: Keys that a string may have for each class and partner bucket before fewer characters are combined.
+MOST_KEYS = 64
 
 
 def edit_budget(longer: int, threshold: float) -> int:
@@ -73,16 +75,39 @@ def common_needed(n: int, m: int, jaro: float) -> int:
 
 
 def prefix_classes(threshold: float) -> list[tuple[int, float, float, int]]:
-    """(shared first characters, Jaro level, bucket ratio, characters combined per key)."""
+    """(shared first characters, Jaro level, bucket ratio, characters combined less than in the first class)."""
     without_bonus = lambda p: (threshold - 0.1 * p) / (1 - 0.1 * p)
-    return [(0, without_bonus(0), 1.19, 2), (1, without_bonus(2), 1.19, 2), (3, without_bonus(4), 2.0, 1)]
+    return [(0, without_bonus(0), 1.19, 0), (1, without_bonus(2), 1.19, 0), (3, without_bonus(4), 2.0, 1)]
+
+
+def characters_combined(strings: int) -> int:
+    """Characters of a key, so that the strings of a key stay few as the vocabulary grows."""
+    return min(6, max(2, len(str(max(strings, 1))) - 1))
 
 
 @lru_cache(maxsize=None)
-def key_plan(n: int, threshold: float, is_left: bool) -> tuple[tuple[int, str, int, int], ...]:
+def combined(shared: int, own: int, other: int, jaro: float, ratio: float, most: int) -> int:
+    """Characters per key of two buckets: the same seen from either, no more than any of their pairs have in common, and
+    no more than lets a string of either have ``MOST_KEYS`` keys, if two or more do."""
+    edges = length_edges(ratio)
+    sure = common_needed(edges[own], edges[other], jaro) - shared
+
+    def keys(bucket: int, partner: int, size: int) -> int:
+        longest = edges[bucket + 1] - 1 if bucket + 1 < len(edges) else LONGEST
+        needed = max(common_needed(longest, edges[partner], jaro) - shared, 0)
+        return comb(max(longest - shared - needed + size, 0), size)
+
+    size = max(min(sure, most), 0)
+    while size > 2 and max(keys(own, other, size), keys(other, own, size)) > MOST_KEYS:
+        size -= 1
+    return size
+
+
+@lru_cache(maxsize=None)
+def key_plan(n: int, threshold: float, is_left: bool, characters: int = 2) -> tuple[tuple[int, str, int, int], ...]:
     """(shared, key head, rarest characters to use, characters per key) per partner bucket."""
     plan = []
-    for shared, jaro, ratio, most in prefix_classes(threshold):
+    for shared, jaro, ratio, less in prefix_classes(threshold):
         if n < max(shared, 1):
             continue
         edges = length_edges(ratio)
@@ -93,20 +118,25 @@ def key_plan(n: int, threshold: float, is_left: bool) -> tuple[tuple[int, str, i
             if common_needed(n, nearest, jaro) > min(n, nearest):
                 continue
             needed = max(common_needed(n, low, jaro) - shared, 0)
-            size = max(min(common_needed(edges[own], low, jaro) - shared, most), 0)
+            size = combined(shared, own, other, jaro, ratio, max(characters - less, 1))
             pair = (own, other) if is_left else (other, own)
             plan.append((shared, f"{shared}|{pair[0]}|{pair[1]}", n - shared - needed + size, size))
     return tuple(plan)
 
 
-def rarest_first(text: str) -> list[str]:
-    """The characters with their occurrence number, rarest first."""
+def numbered(text: str) -> list[tuple[str, int]]:
+    """The characters with their occurrence number."""
     seen = Counter()
     tokens = []
     for c in text:
         seen[c] += 1
-        tokens.append((RARE_FIRST.get(c, -1), c, seen[c]))
-    return [f"{c}{k}" for _, c, k in sorted(tokens)]
+        tokens.append((c, seen[c]))
+    return tokens
+
+
+def rarest_first(text: str, counts: dict[tuple[str, int], int]) -> list[str]:
+    """The characters with their occurrence number, those with the smallest counts first; any counts give the same pairs."""
+    return [f"{c}{k}" for _, c, k in sorted((counts.get((c, k), -1), c, k) for c, k in numbered(text))]
 
 
 def bag_bits(text: str) -> tuple[int, int]:
@@ -124,12 +154,12 @@ def bag_bits(text: str) -> tuple[int, int]:
     return signed(bits & (2**64 - 1)), signed(bits >> 64)
 
 
-def name_keys(text: str, threshold: float, is_left: bool) -> list[str]:
+def name_keys(text: str, threshold: float, is_left: bool, counts: dict[tuple[str, int], int], characters: int = 2) -> list[str]:
     keys = set()
     tokens = {}
-    for shared, head, take, size in key_plan(len(text), threshold, is_left):
+    for shared, head, take, size in key_plan(len(text), threshold, is_left, characters):
         if shared not in tokens:
-            tokens[shared] = rarest_first(text[shared:])
+            tokens[shared] = rarest_first(text[shared:], counts)
         start = f"{head}|{text[:shared]}|"
         keys.update(start + " ".join(c) for c in combinations(tokens[shared][:take], size))
     return list(keys)

@@ -10,6 +10,7 @@ from tablehaul.functions.thesaurus import thesaurus_rows
 from tablehaul.operators import assign, catalog, decision, match, report, simjoin
 from tablehaul.plans import catalogues
 from tablehaul.plans.registry import query, table
+from tablehaul.session import cut_lineage
 
 # --- the measures in SQL, independent of the library's code --------------------------------
 
@@ -35,7 +36,7 @@ def jaro_winkler_ctes(pairs: str, out: str) -> str:
     CASE WHEN a[1] = b[1] THEN CASE WHEN a[1:2] = b[1:2] AND least(length(a), length(b)) >= 2 THEN CASE WHEN a[1:3] = b[1:3] AND least(length(a), length(b)) >= 3
       THEN CASE WHEN a[1:4] = b[1:4] AND least(length(a), length(b)) >= 4 THEN 4 ELSE 3 END ELSE 2 END ELSE 1 END ELSE 0 END AS p FROM {out}_3),
 {out}_5 AS (SELECT a, b, p, CASE WHEN m = 0 THEN 0.0 ELSE (m / length(a) + m / length(b) + (m - t / 2) / m) / 3 END AS j FROM {out}_4),
-{out} AS (SELECT a, b, {lev_sql('a', 'b')} AS lev, j + 0.1 * p * (1 - j) AS jw FROM {out}_5)"""
+{out} AS (SELECT a, b, {lev_sql('a', 'b')} AS lev, j + CAST(0.1 AS DOUBLE) * p * (1 - j) AS jw FROM {out}_5)"""
 
 
 NORM = "lower(regexp_replace({0}, '[^a-zA-Z0-9]', '', 'g'))"
@@ -164,7 +165,7 @@ def unmatched_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     round_even(count(source_header) / count(*) * 100, 2) AS coverage_pct, coalesce(max(unused), 0) AS unused_sources FROM matched LEFT JOIN u USING (object, variant) GROUP BY 1, 2""",
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = _matched(spark, sf_dir)
+    matched = cut_lineage(_matched(spark, sf_dir))  # counted from both sides
     return match.coverage(matched, match.unused_sources(catalogues.sources(spark, sf_dir), matched))
 
 
@@ -247,11 +248,40 @@ def match_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = ["description", "field_name", "field_group"]
 
 
-@query("match_one_to_one")
+ONE_TO_ONE = (
+    f"""WITH RECURSIVE {catalogues.BOTH}, {THESAURUS},
+s AS (SELECT object, variant, ordinal AS source_ordinal, field_name, {NORM.format('field_name')} AS l FROM sources),
+labels AS (SELECT object, variant, ordinal AS target_ordinal, unnest([{{'priority': 0, 'label': description}}, {{'priority': 1, 'label': field_name}}, {{'priority': 2, 'label': field_group}}], recursive := true) FROM targets),
+t AS (SELECT *, {NORM.format('label')} AS r FROM labels WHERE coalesce(label, '') <> ''),
+named AS (SELECT object, variant, ordinal AS target_ordinal, {NORM.format('field_name')} AS r FROM targets),
+p AS (SELECT DISTINCT l AS a, r AS b FROM s JOIN t USING (object, variant) WHERE l <> r),"""
+    + jaro_winkler_ctes("p", "scores")
+    + f""",
+w AS (SELECT a, b, {WEIGHTED} AS score FROM scores UNION ALL SELECT DISTINCT l, r, 1.0 FROM s JOIN t USING (object, variant) WHERE l = r),
+exact AS (SELECT object, variant, source_ordinal, max(target_ordinal) AS target_ordinal, 0 AS stage, priority, 1.0 AS score, 'exact' AS method
+  FROM s JOIN t USING (object, variant) WHERE lower(field_name) = lower(label) GROUP BY object, variant, source_ordinal, priority),
+near AS (SELECT object, variant, source_ordinal, target_ordinal, 1 AS stage, 0 AS priority, max(score) AS score, max_by(method, {{'s': score, 'm': method = 'synonym'}}) AS method FROM (
+  SELECT object, variant, source_ordinal, target_ordinal, score, 'fuzzy' AS method FROM s JOIN t USING (object, variant) JOIN w ON a = l AND b = r WHERE score >= 0.6
+  UNION ALL SELECT object, variant, source_ordinal, target_ordinal, 0.85, 'synonym' FROM s JOIN named n USING (object, variant)
+    WHERE l = n.r OR EXISTS (SELECT 1 FROM words x JOIN words y USING (concept) WHERE x.term = l AND y.term = n.r)) GROUP BY ALL),
+choices AS (SELECT *, row_number() OVER (PARTITION BY object, variant, source_ordinal ORDER BY stage, priority, score DESC, target_ordinal) AS choice
+  FROM (SELECT * FROM exact UNION ALL SELECT * FROM near)),
+turns AS (SELECT object, variant, source_ordinal, list({{'choice': choice, 'target': target_ordinal}} ORDER BY choice) AS likes,
+  row_number() OVER (PARTITION BY object, variant ORDER BY source_ordinal) AS turn FROM choices GROUP BY object, variant, source_ordinal),
+walk AS (
+  SELECT object, variant, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS source_ordinal, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS choice FROM (SELECT DISTINCT object, variant FROM turns)
+  UNION ALL SELECT object, variant, turn, source_ordinal, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.target) END, pick.choice FROM (
+    SELECT k.object, k.variant, t.turn, CAST(t.source_ordinal AS BIGINT) AS source_ordinal, k.taken, list_filter(t.likes, lambda c: NOT list_contains(k.taken, c.target))[1] AS pick
+    FROM walk k JOIN turns t ON t.object = k.object AND t.variant = k.variant AND t.turn = k.turn + 1))
+SELECT object, variant, source_ordinal, choice, target_ordinal, stage, priority, round(score, 6) AS score, method FROM choices JOIN walk USING (object, variant, source_ordinal, choice)"""
+)
+
+
+@query("match_one_to_one", ONE_TO_ONE)
 def match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serial assignment; checked against a plain loop in the tests."""
+    """Serial assignment."""
     choices = assign.preferences(*catalogues.stored(spark, sf_dir), LABELS)
-    return assign.assign_one_to_one(choices)
+    return assign.assign_one_to_one(choices).withColumn("score", F.round("score", 6))
 
 
 # --- matching of values --------------------------------------------------------------------
@@ -278,11 +308,20 @@ def match_values_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("l", "r", F.round("score", 6).alias("score"))
 
 
-@query("match_values_names")
+@query(
+    "match_values_names",
+    f"""WITH l AS ({WORDS.format('l', 'conversations')}), r AS ({WORDS.format('r', 'benchmark')}),
+    p AS (SELECT l AS a, r AS b FROM l, r WHERE l <> r AND length(l) > 0 AND length(r) > 0 AND (
+      levenshtein(l, r) <= 0.1 * greatest(length(l), length(r)) + 1e-9
+      OR jaro_similarity(l, r) >= CASE WHEN l[1:3] = r[1:3] THEN 0.83 WHEN l[1] = r[1] THEN 0.87 ELSE 0.89 END)),
+    {jaro_winkler_ctes('p', 'scores')}
+    SELECT a AS l, b AS r, round(greatest(lev, jw), 6) AS score FROM scores WHERE greatest(lev, jw) >= CAST(0.9 AS DOUBLE)
+    UNION ALL SELECT l, r, 1.0 FROM l JOIN r ON l = r""",
+)
 def match_values_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same words under the larger of both measures; checked on a small set in the tests."""
+    """The same words under the larger of both measures. In SQL a similarity that is never smaller cuts the pairs first."""
     left, right = _words(spark, sf_dir, "conversations"), _words(spark, sf_dir, "benchmark")
-    return simjoin.similar_names(left, right, "word", "word", 0.9)
+    return simjoin.similar_names(left, right, "word", "word", 0.9).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablehaul.operators import decision, match, memory
 from tablehaul.plans import catalogues, matching
 from tablehaul.plans.registry import query
+from tablehaul.session import cut_lineage
 
 BY = ["object", "variant"]
 
@@ -128,7 +129,7 @@ def manual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM u LEFT JOIN eff_active a USING (object, variant, field_name) LEFT JOIN eff_manual m USING (object, variant, field_name)""",
 )
 def unmapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.explain_unused(matching.unused_sources(spark, sf_dir), skip_rules(spark, sf_dir), manual_rules(spark, sf_dir))
+    return memory.explain_unused(cut_lineage(matching.unused_sources(spark, sf_dir)), skip_rules(spark, sf_dir), manual_rules(spark, sf_dir))
 
 
 @query(

@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablehaul.functions import similarity
 from tablehaul.functions.thesaurus import thesaurus_rows
 from tablehaul.operators import assign, simjoin, simkeys
 from tests.test_functions import best_score, jaro_winkler, lev
@@ -64,12 +66,45 @@ def test_mask_bound_holds_under_collisions():
 
 def test_name_keys_prune_unlike_names():
     left, right = words(6, 200, "abcdefghijklmnopqrstuvwxyz", 14)
-    a = [set(simkeys.name_keys(w, 0.85, True)) for w in left]
-    b = [set(simkeys.name_keys(w, 0.85, False)) for w in right]
+    a = [set(simkeys.name_keys(w, 0.85, True, {})) for w in left]
+    b = [set(simkeys.name_keys(w, 0.85, False, {})) for w in right]
     met = sum(bool(x & y) for x in a for y in b)
     assert met < 0.1 * len(a) * len(b)
 
 
+def test_share_of_pairs_that_meet_falls_with_the_vocabulary():
+    """Keys combine more characters, the globally rarest first, when there are more strings."""
+    rng = random.Random(8)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    word = lambda: "".join(rng.choices(letters, [1 / (i + 1) for i in range(26)], k=rng.randint(6, 12)))
+    shares = []
+    for n in (150, 1500, 15000):
+        strings = [word() for _ in range(n)]
+        counts = Counter(t for s in strings for t in simkeys.numbered(s))
+        lists = [Counter(), Counter()]
+        for side in (0, 1):
+            for s in strings[side::2]:
+                lists[side].update(simkeys.name_keys(s, 0.9, not side, counts, simkeys.characters_combined(n)))
+        shares.append(sum(m * lists[1][k] for k, m in lists[0].items()) / (n / 2) ** 2)
+    assert shares[0] > 1.5 * shares[1] > 2.25 * shares[2]
+
+
+def test_jaro_of_many_pairs_equals_one_by_one():
+    left, right = words(7, 150, "abcé", 12)
+    pairs = [(a, b) for a in left for b in right] + [("", ""), ("", "a"), (None, "a"), ("a\0", "a"), ("x" * 300, "x" * 299 + "y"), ("ab" * 60, "ba" * 64)]
+    got = similarity.jaro_of_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    for (a, b), score in zip(pairs, got.tolist(), strict=True):
+        assert score != score if a is None else score == similarity._jaro(a, b), (a, b)
+
+
+def test_groups_are_spread_by_their_number_of_pairs(frame, monkeypatch):
+    monkeypatch.setattr(simjoin, "PAIRS_AT_ONCE", 500)
+    left, right = words(10, 90, "abcde", 9)
+    a, b = frame([("g", w) for w in left], "g string, l string"), frame([("g", w) for w in right], "g string, r string")
+    rows = simjoin.similar_within(a, b, ["g"], "l", "r", 0.7).collect()
+    assert {(r.l, r.r) for r in rows} == {(x, y) for x in left for y in right if best_score(x, y) >= 0.7} and len({(r.l, r.r) for r in rows}) == len(rows)
+
+
 def test_one_to_one_equals_the_serial_loop(frame):
     rng = random.Random(9)
     rows, serial = [], {}
@@ -83,8 +118,9 @@ def test_one_to_one_equals_the_serial_loop(frame):
                 taken.add(pick)
                 serial[group, source] = pick
     choices = frame(rows, "object string, variant string, source_ordinal int, choice int, target_ordinal int")
-    got = {(r.object, r.source_ordinal): r.target_ordinal for r in assign.assign_one_to_one(choices).collect()}
-    assert got == serial
+    for most in (0, 160, 10**6):  # in rounds, mixed, in turn
+        got = {(r.object, r.source_ordinal): r.target_ordinal for r in assign.assign_one_to_one(choices, most=most).collect()}
+        assert got == serial
 
 
 def test_preferences_order(frame):
