@@ -51,22 +51,46 @@ NEVER_NAMED = {"html", "body", "main"}
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Cells (bits) of an alignment table that are held at once; larger tables are halved first.
 TABLE_BITS = 1 << 26
-OUT, CANDIDATE, ARTICLE = 0, 1, 2
+#: Words that may stand before and behind a name in a compound such as ``site-header`` or ``comment-list``; with any other word
+#: (``has-sidebar``, ``comments-open``, ``notice-period``, ``search-page``) a compound says nothing about its element.
+BEFORE = {"site", "page", "global", "top", "bottom", "left", "right", "primary", "secondary", "main", "sticky", "mobile", "block", "section"}
+AFTER = {
+    "list", "wrapper", "wrap", "container", "box", "area", "bar", "block", "section", "inner", "outer", "item", "items", "link", "links", "button",
+    "buttons", "content", "body", "text", "group", "holder", "panel", "row", "column", "unit", "slot", "left", "right", "top", "bottom", "main",
+    "primary", "secondary", "posts", "articles", "stories", "news", "title", "thread",
+}
+READER_COMMENTS = {"comment", "comments", "commentlist", "replies", "disqus", "respond"}
+#: Lines outside, candidates, lines of the article; lines of an article inside an element that a name takes out, and that element's.
+OUT, CANDIDATE, ARTICLE, INNER, NAMED = 0, 1, 2, 3, 4
 
 
 def attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(text)} if text else {}
 
 
-def dropped(tag: str, given: dict[str, str], in_article: bool) -> bool:
-    if tag in NEVER_NAMED:
-        return False
-    if tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in ROLES:
+def named_out(name: str) -> bool:
+    """Whether one word of a ``class`` or an ``id`` names what is not the article: as a whole, or as a compound of such a name."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    if words and words[-1] in READER_COMMENTS and words[0] not in ("has", "no", "with", "without"):
         return True
-    if tag == "article" and not in_article and not given.get("class") and not given.get("id"):
-        return False
-    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}").lower())
-    return any(w in NAMES for w in words)
+    at = 0
+    while at < len(words) - 1 and words[at] in BEFORE:
+        at += 1
+    end = at
+    while end < len(words) and words[end] in NAMES:
+        end += 1
+    return end > at and all(w in AFTER or w.isdigit() for w in words[end:])
+
+
+def dropped(tag: str, given: dict[str, str], in_article: bool) -> int | None:
+    """``OUT`` if the element itself or a role takes its lines out, ``NAMED`` if a name does. The header of an article stays."""
+    if tag in NEVER_NAMED:
+        return None
+    if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in ROLES:
+        return OUT
+    if tag in DROPPED:
+        return None if in_article and tag == "header" else OUT
+    return NAMED if any(map(named_out, f"{given.get('class', '')} {given.get('id', '')}".split())) else None
 
 
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
@@ -128,14 +152,15 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
         before = zone
         stack.append((tag, before))
         is_open[tag] = is_open.get(tag, 0) + 1
-        if zone != OUT and dropped(tag, given, zone == ARTICLE):
+        out = dropped(tag, given, zone in (ARTICLE, INNER)) if zone != OUT else None
+        if out is not None:
             end_line()
-            zone = OUT
+            zone = out
         elif tag in ("article", "main") or given.get("role", "").lower() == "main" or given.get("itemprop") == "articleBody":
             in_form = zone == OUT and any(t == "form" for t, _ in stack) and not any(t in DROPPED - {"form"} for t, _ in stack)
             if zone != OUT or in_form:
                 end_line()
-                zone = ARTICLE
+                zone = INNER if zone in (NAMED, INNER) else ARTICLE
     end_line()
     return texts, zones
 
@@ -204,13 +229,16 @@ def prefix_lengths(vector: int, n: int) -> list[int]:
 
 
 def main_lines(texts: list[str], zones: list[int], other: list[str] | None) -> list[str]:
-    """The article's lines; without an article element, the candidates that the other page does not share.
+    """The article's lines; without an article element, the candidates that the other page does not share; without these, the lines
+    of an article inside an element whose name takes it out.
 
     Copies of a page tell nothing about it: if all candidates are shared, they all stay.
     """
     if ARTICLE in zones:
         return [t for t, z in zip(texts, zones, strict=True) if z == ARTICLE]
     candidates = [t for t, z in zip(texts, zones, strict=True) if z == CANDIDATE]
+    if not candidates:  # a name took out what holds the article
+        return [t for t, z in zip(texts, zones, strict=True) if z == INNER]
     if other is None:
         return candidates
     gone = set(shared(candidates, other))

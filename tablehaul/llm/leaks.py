@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.text import Remembered, mix, rolling, sliced, stored, unused
+from tablehaul.llm.text import Remembered, mix, rolling, sliced, stored, without_ids
 
 #: Template tokens of a window, tokens of a shorter item that are one window, and plain words that a window must have.
 WINDOW, LEAST_TOKENS, LEAST_PLAIN = 8, 5, 3
@@ -449,6 +449,4 @@ def aligned(windows: list[tuple[int, int, list[tuple[str, str, str]]]]) -> tuple
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with the columns they came with."""
-    name = unused("leak_id", docs)
-    held = leaks(docs, items).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    return without_ids(docs, leaks(docs, items).select("doc_id").distinct())

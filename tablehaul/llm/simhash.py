@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.components import connected
-from tablehaul.llm.text import by_key, sliced, stored, unused, width
+from tablehaul.llm.text import by_key, sliced, stored, width, without_ids
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -180,7 +180,6 @@ def groups(docs: DataFrame, most_under_key: int = MOST_UNDER_KEY, shingle: int =
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Of repeated rows with that id, all stay."""
-    name = unused("kept_id", docs)
-    firsts = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = firsts.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = groups(docs).groupBy("doc_id").agg(F.bool_or(is_first).alias("stays")).filter("NOT stays")
+    return without_ids(docs, gone.select("doc_id"))

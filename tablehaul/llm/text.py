@@ -122,6 +122,19 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+#: Ids (8 bytes each) up to which a list of rows to leave out goes to all tasks; a longer one is joined by a shuffle.
+MOST_IDS_SENT = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is not among ``ids`` (one column); null is an id like others."""
+    name = unused("left_out", docs)
+    listed = stored(ids.select(F.col(ids.columns[0]).cast("long").alias(name)), "left-out")
+    if listed.count() <= MOST_IDS_SENT:
+        listed = F.broadcast(listed)
+    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
 class Remembered:
     """Values of keys, made once and kept in two generations: a full one becomes the old one, so frequent keys stay.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -31,6 +32,29 @@ def test_article_without_the_rest(spark):
     assert found == {1: "Title & more\n\nOne bold line here and on.\n\nTwo\n\nfirst\n\nsecond", 2: "", 3: "", None: "a\n\nb < c"}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>A</p></article><div class="sidebar-left">no</div></div>', "A"),
+        ('<article class="post comments-open"><p>A</p><div class="comment-list"><p>no</p></div></article>', "A"),
+        ('<div id="search-page"><main><p>A</p></main></div>', "A"),
+        ('<article><p class="notice-period">A</p><p class="cookie-notice">no</p></article>', "A"),
+        ("<header>no</header><article><header><h1>A</h1></header><p>B</p><footer>no</footer></article>", "A\n\nB"),
+        ('<div class="sidebar"><article><p>A</p></article></div>', "A"),
+        ('<div class="related-posts"><article><p>no</p></article></div><p>A</p>', "A"),
+        ('<div class="site-header ad-1">no</div><p class="entry page-footer">no</p><p>A</p>', "A"),
+    ],
+)
+def test_names_take_out_elements_but_not_the_article(html, text):
+    assert "\n\n".join(htmlmain.main_lines(*htmlmain.lines_of(html), None)) == text
+
+
+def test_unmatched_end_tags_take_linear_time():
+    start = time.process_time()
+    assert htmlmain.lines_of("<b>" * 40_000 + "x" + "</i>" * 40_000)[0] == ["x"]
+    assert time.process_time() - start < 5
+
+
 def page(*lines):
     return "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
 
