@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehaul import sinks
-from tablehaul.operators import duplicates, project, report, validate
+from tablehaul.operators import duplicates, project, report, scan, validate
 from tablehaul.operators.rownum import number_rows
 from tablehaul.plans import legacy
 from tablehaul.plans.registry import query, table
 from tablehaul.session import new_output
+from tablehaul.sources import bucketed
 
 RUN = datetime(2025, 1, 1, tzinfo=timezone.utc)
 
@@ -123,16 +124,33 @@ def key_unique_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.rows_with_repeated_key(lines, ["l_orderkey", "l_linenumber"])
 
 
+ORPHANS = """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS
+  (SELECT 1 FROM customer c WHERE o.o_custkey = CASE WHEN c_acctbal >= 0 THEN c_custkey ELSE -c_custkey END)"""
+
+
+def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in debt have a negative number, so their orders find no customer."""
+    number = F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select(number.alias("c_custkey"))
+
+
 @query(
     "ref_integrity",
-    """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS
-    (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 0)""",
+    ORPHANS,
 )
 def ref_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose customer did not come through: customers in debt are not migrated."""
-    kept = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+    """Orders whose customer goes by another number."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return validate.orphans(orders, kept, ["o_custkey"], ["c_custkey"])
+    return validate.orphans(orders, renumbered(spark, sf_dir), ["o_custkey"], ["c_custkey"])
+
+
+@query("ref_integrity_bucketed", ORPHANS)
+def ref_integrity_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over tables stored in buckets of the customer number: the check itself shuffles neither."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = bucketed.store_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], n, "orders_by_customer")
+    customers = bucketed.store_bucketed(renumbered(spark, sf_dir), ["c_custkey"], n, "customers_by_number")
+    return validate.orphans(orders, customers.hint("merge"), ["o_custkey"], ["c_custkey"])
 
 
 @query(
@@ -190,6 +208,25 @@ def repeated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_by_address(spark, path).select(*sinks.ADDRESS, "order_no", "order_id", "customer_id", "net_amount")
 
 
+@query(
+    "merged_cells",
+    """WITH m AS (SELECT p_partkey AS at, p_partkey + p_size * 10 AS until, p_brand FROM part WHERE p_size <= 5)
+    SELECT 'parts' AS file, p_partkey AS row_no, 'All parts' AS title, p_name AS name,
+      CASE WHEN p_size <= 5 THEN p_brand ELSE (SELECT max_by(m.p_brand, m.at) FROM m WHERE m.at < p.p_partkey AND m.until >= p.p_partkey) END AS brand FROM part p""",
+)
+def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet with a row for each part: a title merged over all its rows, and brands merged over rows of other parts."""
+    part = table(spark, sf_dir, "part")
+    cell = lambda row, col, value, down: F.struct(row.cast("long").alias("row_no"), F.lit(col).alias("col_no"), value.alias("value"), down.cast("long").alias("merge_down"))
+    brand = F.when(F.col("p_size") <= 5, cell(F.col("p_partkey"), 3, F.col("p_brand"), F.col("p_size") * 10))
+    own = part.select(F.inline(F.array_compact(F.array(cell(F.col("p_partkey"), 2, F.col("p_name"), F.lit(0)), brand))))
+    ends = part.agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    title = ends.select(F.inline(F.array(cell(F.col("low"), 1, F.lit("All parts"), F.col("high") - F.col("low")))))
+    cells = own.unionByName(title).withColumns({"file": F.lit("parts"), "sheet": F.lit("all")})
+    at = lambda i: F.get("cells", F.lit(i))
+    return scan.fill_merged(cells, 3).select("file", "row_no", at(0).alias("title"), at(1).alias("name"), at(2).alias("brand"))
+
+
 @query("row_numbers", "SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS row_no, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]

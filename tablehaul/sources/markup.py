@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablehaul.functions import parsing, text
+from tablehaul.operators import scan
 from tablehaul.operators.catalog import field_ids, structure_filter, with_ordinal
 
 _SHEET = (
@@ -72,14 +73,8 @@ def carry_merged(cells: DataFrame, width: int = 0) -> DataFrame:
     wins. Returns one row per sheet row with ``cells`` by column position: as many as the widest
     row has, and at least ``width``.
     """
-    width = max(width, cells.agg(F.max("col_no")).first()[0] or 0)
-    above = cells.filter((F.col("merge_down") > 0) & F.col("value").isNotNull())
-    spread = above.select("file", "sheet", F.explode(F.sequence(F.col("row_no") + 1, F.col("row_no") + F.col("merge_down"))).alias("row_no"), "col_no", "value", F.col("row_no").alias("from_row"))
-    own = cells.select("file", "sheet", "row_no", "col_no", "value", F.lit(2**30).alias("from_row"))
-    carried = spread.join(cells.select("file", "sheet", "row_no").distinct(), ["file", "sheet", "row_no"])
-    merged = own.unionByName(carried.select(own.columns)).groupBy("file", "sheet", "row_no", "col_no").agg(F.max_by("value", "from_row").alias("value"))
-    wide = merged.groupBy("file", "sheet", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("m"))
-    return wide.select("file", "sheet", "row_no", F.transform(F.sequence(F.lit(1), F.lit(max(width, 1))), lambda i: F.try_element_at("m", i)).alias("cells"))
+    widest = cells.agg(F.max("col_no")).first()[0] or 0
+    return scan.fill_merged(cells, max(width, widest, 1))
 
 
 def after_header(rows: DataFrame, is_header: Column) -> DataFrame:

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablehaul import sinks
-from tablehaul.operators import catalog, duplicates, migrate, project, rownum, rule_tables, transform, validate, versions
+from tablehaul.operators import catalog, duplicates, migrate, project, rownum, rule_tables, scan, sketches, transform, validate, versions
 from tablehaul.operators.project import MappingRow
 from tablehaul.operators.transform import FieldTransform, Settings
 from tablehaul.operators.validate import Rule
-from tablehaul.sources import metadata
+from tablehaul.sources import bucketed, metadata
 
 VALUES = "target_field string, position int, source_value string, target_value string"
 BANK = "banks string, bankl string, banka string, row int"
@@ -275,3 +275,61 @@ def test_change_log_lists_only_changes(frame):
     df = frame([(1, "a", None), (2, "b", "x")], "k int, v string, w string")
     log = transform.change_log(df, "k", {"v": (F.col("v"), F.upper("v")), "w": (F.col("w"), F.coalesce("w", F.lit("-")))})
     assert {tuple(r) for r in log.collect()} == {(1, "v", "a", "A"), (2, "v", "b", "B"), (1, "w", None, "-")}
+
+
+def plain_merged(cells, width):
+    rows = sorted({c[:3] for c in cells})
+    out = {}
+    for file, sheet, row in rows:
+        line = [None] * width
+        for col in range(1, width + 1):
+            own = [c[4] for c in cells if c[:4] == (file, sheet, row, col)]
+            above = [(c[2], c[4]) for c in cells if c[:2] == (file, sheet) and c[3] == col and c[4] is not None and c[2] < row <= c[2] + (c[5] or 0)]
+            line[col - 1] = own[0] if own else max(above)[1] if above else None
+        out[file, sheet, row] = line
+    return out
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "9"])
+def test_merged_cells_reach_over_partitions(spark, parts):
+    rng = random.Random(int(parts))
+    cells = []
+    for file, sheet, n in (("a", "s", 60), ("a", "t", 25), ("b", "s", 1)):
+        for row in range(1, n + 1):
+            for col in range(1, 5):
+                if rng.random() < 0.4:
+                    cells.append((file, sheet, row * 2, col, rng.choice([None, f"{row}/{col}"]), rng.choice([None, 0, 0, 1, 7, 30, 500])))
+    df = spark.createDataFrame(cells, "file string, sheet string, row_no int, col_no int, value string, merge_down int")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.file, r.sheet, r.row_no): r.cells for r in scan.fill_merged(df, 4).collect()}
+        assert scan.fill_merged(df.limit(0), 4).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_merged(cells, 4)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    child = spark.range(500).select((F.col("id") % 90).alias("k"), F.col("id").alias("i")).unionByName(spark.createDataFrame([(None, -1)], "k long, i long"))
+    parent = spark.range(80).select(F.col("id").alias("p"))
+    left, right = bucketed.store_bucketed(child, ["k"], 4), bucketed.store_bucketed(parent, ["p"], 4)
+    found = validate.orphans(left, right.hint("merge"), ["k"], ["p"])
+    assert sorted(r.i for r in found.collect()) == [i for i in range(500) if i % 90 >= 80]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_merged_states_stay_within_their_errors(spark):
+    df = spark.range(60_000).select((F.col("id") % 37).alias("day"), (F.col("id") * 7919 % 50_021).cast("double").alias("x"), F.lit(None).cast("string").alias("none"))
+    states = sketches.period_states(df, F.col("day"), ["x", "none"], ["x"])
+    assert states.count() == 74 and states.filter("field = 'none' AND distinct_state IS NOT NULL").count() == 0
+    rows = {r.field: r for r in sketches.estimates(sketches.merge_states(states)).collect()}
+    true = df.select("x").distinct().count()
+    assert rows["x"].rows == 60_000 and abs(rows["x"].distinct_estimate - true) < 0.05 * true
+    values = sorted(r.x for r in df.collect())
+    for p, name in ((0.25, "p25"), (0.5, "p50"), (0.95, "p95")):
+        assert abs(sum(v <= rows["x"][name] for v in values) / len(values) - p) < 0.03
+    assert rows["none"].distinct_estimate == 0 and rows["none"].p50 is None
+    assert sketches.merge_states(states.limit(0)).count() == 0
