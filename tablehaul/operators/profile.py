@@ -16,6 +16,7 @@ from tablehaul.functions.classify import profile_type_of
 from tablehaul.functions.text import is_blank, strip
 from tablehaul.operators.project import quoted
 from tablehaul.operators.quantiles import exact_quantiles
+from tablehaul.session import cut_lineage
 
 NUMERIC_POINTS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 LENGTH_POINTS = {"p50": 0.5, "p95": 0.95}
@@ -381,3 +382,42 @@ def profile_table(df: DataFrame, rule_types: dict[str, str] | None = None, colum
     lengths = length_stats(counts.filter(F.col("field").isin(text_fields)))
     numbers = numeric_stats(counts, types)
     return base.join(numbers, "field", "left").join(lengths, "field", "left")
+
+
+def profile_record(df: DataFrame, rule_types: dict[str, str] | None = None, columns: list[str] | None = None, k: int = 10) -> DataFrame:
+    """The whole record of every column, one row each: counts and quality, ``top_values``, ``histogram`` and, by type,
+    ``length``, ``whitespace``, ``case_mix``, ``characters``, ``numeric`` (times as seconds) and ``span`` (first and last date or time).
+
+    The distinct values are counted once and stored; every part is an aggregation over them. Lists hold ``k`` values and a
+    histogram's bins, so a row stays small. Parts that a type does not have, or a column without values, are null or empty.
+    """
+    types = column_types(df, rule_types, columns)
+    counts = cut_lineage(value_counts(df, list(types)))
+    of = lambda *kinds: [c for c, t in types.items() if t in kinds]
+    texts = counts.filter(F.col("field").isin(of("string")))
+
+    def listed(rows: DataFrame, name: str, *parts: str) -> DataFrame:
+        return rows.groupBy("field").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias(name))
+
+    in_order = F.format_string("%02d", "bin").alias("at")
+    bins = with_number_labels(numeric_histogram(counts, types)).select("field", in_order, "label", "count")
+    bins = bins.unionByName(with_length_labels(length_histogram(texts)).select("field", in_order, "label", "count"))
+    bins = bins.unionByName(month_histogram(counts, of("date")).select("field", F.col("month").alias("at"), F.col("month").alias("label"), "count"))
+    bins = bins.unionByName(time_histogram(counts, of("time")).select("field", F.col("label").alias("at"), "label", "count"))
+    histogram = listed(bins, "histogram", "at", "label", "count")
+    histogram = histogram.select("field", F.transform("histogram", lambda b: F.struct(b["label"].alias("label"), b["count"].alias("count"))).alias("histogram"))
+    day, seconds = parsing.parse_date(F.col("value")), parsing.parse_time(F.col("value"))
+    days = counts.filter(F.col("field").isin(of("date"))).groupBy("field").agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    times = counts.filter(F.col("field").isin(of("time"))).groupBy("field").agg(F.min(seconds).alias("a"), F.max(seconds).alias("b"))
+    span = lambda form: F.struct(form(F.col("a")).alias("min"), form(F.col("b")).alias("max")).alias("span")
+    spans = days.select("field", span(parsing.format_date)).unionByName(times.select("field", span(parsing.format_time)))
+    lengths = length_stats(texts).select("field", F.struct(*[F.col(f"len_{n}").alias(n) for n in ("min", "p50", "p95", "max", "mean")]).alias("length"))
+    mix = text_stats(texts).select(
+        "field", F.struct("leading_or_trailing").alias("whitespace"), F.struct("upper_ratio", "lower_ratio", "mixed_ratio").alias("case_mix"),
+        F.struct("digit_ratio", "alpha_ratio").alias("characters"),
+    )
+    numeric = numeric_stats(counts, types).select("field", F.struct("min", "p25", "p50", "p75", "p95", "max", "mean", "std").alias("numeric"))
+    out = profile_counts(counts, types)
+    for part in (listed(top_values(counts, k), "top_values", "rank", "value", "count"), histogram, lengths, mix, numeric, spans):
+        out = out.join(part, "field", "left")
+    return out

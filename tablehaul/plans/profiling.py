@@ -399,3 +399,30 @@ def sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.abs(F.col("distinct_estimate") - F.col("distinct_values")) <= 0.07 * F.col("distinct_values")
     joined = found.join(exact, "field").join(below, "field", "left")
     return joined.select("field", "rows", "distinct_values", near.alias("distinct_within"), ((F.col("low") <= 0.54) & (F.col("high") >= 0.46)).alias("median_within"))
+
+
+@query(
+    "profile_record",
+    f"""{COUNTS_SQL.replace('SELECT field, type, "count"', ', base AS (SELECT field, type, "count"').replace("FROM r", "FROM r)", 1)},
+    tops AS (SELECT field, value, count(*) AS n FROM valid WHERE NOT blank GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC, value) = 1),
+    months AS (SELECT field, strftime(d, '%Y-%m') AS label, count(*) AS n FROM valid WHERE d IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC, label) <= 24),
+    bins AS (SELECT field, CAST(12 AS BIGINT) AS n_bins, CAST(count(x) AS BIGINT) AS binned FROM valid WHERE type IN ('int', 'decimal', 'time') GROUP BY 1
+      UNION ALL SELECT field, 12, count(value) FROM valid WHERE type = 'string' GROUP BY 1 UNION ALL SELECT field, count(*), sum(n) FROM months GROUP BY 1),
+    texts AS (SELECT field, CAST(floor(quantile_cont(length(value), 0.95)) AS INT) AS len_p95, count(*) FILTER (trim(value) <> value) AS padded,
+      round_even(count(*) FILTER (upper(value) = value AND lower(value) <> value) / count(*), 4) AS upper_ratio,
+      round_even(avg(len(regexp_extract_all(value, '[0-9]')) / length(value)), 4) AS digit_ratio FROM valid WHERE type = 'string' AND NOT blank GROUP BY 1),
+    numbers AS (SELECT field, round_even(quantile_cont(x, 0.5), 4) AS p50, round_even(stddev_samp(x), 4) AS std FROM valid WHERE x IS NOT NULL GROUP BY 1),
+    spans AS (SELECT field, min(trim(value)) AS "first", max(trim(value)) AS "last" FROM valid WHERE type IN ('date', 'time') AND ok GROUP BY 1)
+    SELECT field, type, "unique", quality_score, tops.value AS top_value, tops.n AS top_count, n_bins, binned, len_p95, padded, upper_ratio, digit_ratio, p50, std, "first", "last"
+    FROM base LEFT JOIN tops USING (field) LEFT JOIN bins USING (field) LEFT JOIN texts USING (field) LEFT JOIN numbers USING (field) LEFT JOIN spans USING (field)""",
+)
+def profile_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of the record of every column, one figure or two of each."""
+    rows = profile.profile_record(legacy.legacy_orders(spark, sf_dir), TYPES, list(TYPES))
+    top, bins = F.try_element_at("top_values", F.lit(1)), F.col("histogram")
+    return rows.select(
+        "field", "type", "unique", "quality_score", top["value"].alias("top_value"), top["count"].alias("top_count"), F.size(bins).cast("long").alias("n_bins"),
+        F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b["count"]).alias("binned"), F.col("length.p95").alias("len_p95"),
+        F.col("whitespace.leading_or_trailing").alias("padded"), "case_mix.upper_ratio", "characters.digit_ratio", F.bround("numeric.p50", 4).alias("p50"),
+        F.bround("numeric.std", 4).alias("std"), F.col("span.min").alias("first"), F.col("span.max").alias("last"),
+    )
