@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,12 +177,14 @@ def source_violations(sources: DataFrame) -> DataFrame:
 
 
 def target_violations(targets: DataFrame) -> DataFrame:
-    """Contract of the target catalogue: a name, and whole numbers as length and decimals."""
+    """Contract of the target catalogue: a name, whole numbers as length and decimals, and flags that are true or false."""
+    flag = lambda c: F.col(c).isNotNull() & F.col(c).cast("string").try_cast("boolean").isNull()
     number = lambda c: F.col(c).isNotNull() & parsing.parse_length(F.col(c).cast("string")).isNull()
     checks = [
         ("field_name missing", F.col("field_name").isNull()),
         ("length not a number", number("length")),
         ("decimal not a number", number("decimal")),
+        *[(f"{c} not a flag", flag(c)) for c in ("is_key", "is_mandatory") if c in targets.columns],
     ]
     return _violations(targets, checks, ["object", "variant", "field_name"])
 
@@ -191,14 +195,38 @@ def mapping_violations(mapping: DataFrame) -> DataFrame:
     return _violations(mapping, [("confidence out of range", (c < 0) | (c > 1) | F.isnan(c))], ["object", "variant", "target_field"])
 
 
-def memory_violations(skip: DataFrame, manual: DataFrame) -> DataFrame:
-    """Contract of the mapping memory: all texts present, the skip flag set."""
+def memory_violations(skip: DataFrame, manual: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Contract of the mapping memory: all texts present, the skip flag set; ``keep`` names further columns of both."""
     absent = lambda names: [(f"{n} missing", F.col(n).isNull()) for n in names]
-    s = _violations(skip, absent(["source_field", "source_description", "skip", "comment"]), ["source_field"])
-    m = _violations(manual, absent(["source_field", "source_description", "target", "target_description", "comment"]), ["source_field"])
+    kept = [*keep, "source_field"]
+    s = _violations(skip, absent(["source_field", "source_description", "skip", "comment"]), kept)
+    m = _violations(manual, absent(["source_field", "source_description", "target", "target_description", "comment"]), kept)
     return s.withColumn("list", F.lit("skip")).unionByName(m.withColumn("list", F.lit("manual")))
 
 
 def empty_catalogues(expected: DataFrame, fields: DataFrame, by: list[str]) -> DataFrame:
     """Objects whose catalogue has no fields at all."""
     return expected.select(*by).distinct().join(fields, by, "left_anti")
+
+
+def contract_violations(sources: DataFrame, targets: DataFrame, mapping: DataFrame, skip: DataFrame, manual: DataFrame, expected: DataFrame) -> DataFrame:
+    """Every broken rule of every contract: ``contract``, ``object``, ``variant``, ``item``, ``violation``.
+
+    ``expected`` lists the (object, variant) that must have a source and a target catalogue. All parts are projections but the
+    search for empty catalogues, one anti join each. Nothing found means that all contracts hold.
+    """
+    by = ["object", "variant"]
+
+    def named(rows: DataFrame, contract: Column, item: Column) -> DataFrame:
+        return rows.select(contract.alias("contract"), *by, item.alias("item"), "violation")
+
+    none, told = F.lit(None).cast("string"), F.lit("no fields").alias("violation")
+    empty = empty_catalogues(expected, sources, by).unionByName(empty_catalogues(expected, targets, by)).distinct()
+    parts = [
+        named(source_violations(sources), F.lit("source"), F.col("field_name")),
+        named(target_violations(targets), F.lit("target"), F.col("field_name")),
+        named(mapping_violations(mapping), F.lit("mapping"), F.col("target_field")),
+        named(memory_violations(skip, manual, by), F.col("list"), F.col("source_field")),
+        named(empty.select(*by, told), F.lit("list"), none),
+    ]
+    return reduce(DataFrame.unionByName, parts)

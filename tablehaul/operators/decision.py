@@ -53,3 +53,20 @@ def conflicts(manual: DataFrame, exact: DataFrame) -> DataFrame:
     m = manual.select(*BY, "target_field", F.col("field_name").alias("manual_source"))
     e = exact.select(*BY, "target_field", F.col("source_field").alias("exact_source"))
     return m.join(e, [*BY, "target_field"]).filter(F.col("manual_source") != F.col("exact_source"))
+
+
+def with_descriptions(decided: DataFrame, sources: DataFrame, targets: DataFrame, manual: DataFrame) -> DataFrame:
+    """Adds ``source_description`` (``none`` where there is none) and ``target_description`` to a decision table.
+
+    A manual mapping's own description of its target comes first, then that of the catalogue's field of the same name, of several
+    the one with the smallest ordinal; what has no target has an empty one.
+    """
+    first = lambda df, name, told: df.groupBy(*BY, name.alias("__name")).agg(F.min_by("description", "ordinal").alias(told))
+    s, t = first(sources, F.col("field_name"), "__source"), first(targets, F.upper("field_name"), "__target")
+    m = manual.groupBy(*BY, F.col("field_name").alias("__name")).agg(F.max("target_description").alias("__own"))
+    by_source = decided.withColumn("__name", F.col("source_field")).join(s, [*BY, "__name"], "left").join(m, [*BY, "__name"], "left")
+    both = by_source.withColumn("__name", F.upper("target_field")).join(t, [*BY, "__name"], "left")
+    some = lambda c: F.when(c != "", c)
+    own = F.when(F.col("status") == "manual", some(F.col("__own")))
+    target = F.when(F.col("target_field") != "", F.coalesce(own, "__target"))
+    return both.select(*decided.columns, F.coalesce(some(F.col("__source")), F.lit("none")).alias("source_description"), F.coalesce(target, F.lit("")).alias("target_description"))

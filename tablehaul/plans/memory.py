@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.operators import decision, match, memory
+from tablehaul.operators import catalog, decision, match, memory
 from tablehaul.plans import catalogues, matching
 from tablehaul.plans.registry import query
 from tablehaul.session import cut_lineage
@@ -185,3 +185,57 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = match.match_targets(sources, catalogues.targets(spark, sf_dir), fuzzy=False).filter(F.col("source_header").isNotNull())
     rows = exact.select(*BY, F.col("source_header").alias("source_field"), "target_field")
     return decision.conflicts(manual.withColumn("target_field", F.upper("target_field")), rows)
+
+
+@query(
+    "decision_record",
+    f"""WITH {DECISION.replace("hits2 AS (SELECT object, variant, source_header AS field_name, target_field FROM matched WHERE stage = 'exact')",
+      "hits2 AS (SELECT object, variant, source_header AS field_name, target_field, confidence FROM matched WHERE source_header IS NOT NULL)")},
+    decided AS (
+      SELECT object, variant, field_name, target_field, 'mapped' AS status, confidence, 'Exact field match' AS rationale, NULL AS own FROM hits2
+      UNION ALL SELECT object, variant, field_name, r.t, 'manual', 1, 'Manual mapping from central memory', r.td FROM eff_manual ANTI JOIN hits2 USING (object, variant, field_name)
+      UNION ALL SELECT object, variant, field_name, '', 'skipped', 1, 'Central memory skip rule: ' || r.c, NULL FROM eff_active),
+    all_rows AS (SELECT * FROM decided UNION ALL SELECT object, variant, field_name, '', 'pending', 0.0, 'Geen geschikte match gevonden', NULL FROM sources
+      WHERE NOT EXISTS (SELECT 1 FROM decided d WHERE d.object = sources.object AND d.variant = sources.variant AND d.field_name = sources.field_name)),
+    told AS (SELECT object, variant, upper(field_name) AS name, arg_min(description, ordinal) AS description FROM targets GROUP BY ALL)
+    SELECT a.object, a.variant, a.field_name AS source_field, target_field, status, round(CAST(confidence AS DOUBLE), 6) AS confidence, rationale,
+      coalesce(nullif(s.description, ''), 'none') AS source_description,
+      CASE WHEN target_field = '' THEN '' ELSE coalesce(nullif(own, ''), t.description, '') END AS target_description
+    FROM all_rows a LEFT JOIN sources s ON s.object = a.object AND s.variant = a.variant AND s.field_name = a.field_name
+      LEFT JOIN told t ON t.object = a.object AND t.variant = a.variant AND t.name = upper(target_field)""",
+)
+def decision_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision over matches of all stages, with the descriptions of both sides."""
+    sources, targets = catalogues.stored(spark, sf_dir)
+    _, skipped = memory.skip_fields(sources, skip_rules(spark, sf_dir))
+    _, manual = memory.apply_manual(sources, manual_rules(spark, sf_dir))
+    matched = cut_lineage(match.match_targets(sources, targets, catalogues.synonyms(spark, sf_dir)).filter(F.col("source_header").isNotNull()))
+    hits = matched.select(*BY, F.col("source_header").alias("source_field"), "target_field", "confidence")
+    decided = decision.decision_table(sources, hits, manual, skipped)
+    return decision.with_descriptions(decided, sources, targets, manual).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "catalogue_contracts",
+    f"""WITH {MEMORY}
+    SELECT 'source' AS contract, object, variant, NULL AS item, 'field_name missing' AS violation FROM sources WHERE starts_with(field_name, 'Column')
+    UNION ALL SELECT 'target', object, variant, field_name, 'length not a number' FROM targets WHERE length < 12
+    UNION ALL SELECT 'target', object, variant, field_name, 'is_key not a flag' FROM targets WHERE is_key
+    UNION ALL SELECT 'mapping', object, variant, field_name, 'confidence out of range' FROM targets WHERE length / 40 > 1
+    UNION ALL SELECT 'skip', object, variant, source_field, 'comment missing' FROM skip_rules WHERE position = 2
+    UNION ALL SELECT 'manual', object, variant, source_field, 'target missing' FROM manual_rules WHERE level = 1
+    UNION ALL SELECT DISTINCT 'list', object, 'NEW', NULL, 'no fields' FROM sources""",
+)
+def catalogue_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contracts, over catalogues and rules spoilt here and there."""
+    sources, targets = catalogues.sources(spark, sf_dir), catalogues.targets(spark, sf_dir)
+    bad_sources = sources.withColumn("field_name", F.when(~F.col("field_name").startswith("Column"), F.col("field_name")))
+    text = F.col("length").cast("string")
+    bad_targets = targets.withColumns({"length": F.when(F.col("length") < 12, "long").otherwise(text), "is_key": F.when(F.col("is_key"), "maybe").otherwise("false")})
+    mapping = targets.select(*BY, F.col("field_name").alias("target_field"), (F.col("length") / 40).alias("confidence"))
+    skip, manual = skip_rules(spark, sf_dir), manual_rules(spark, sf_dir)
+    bad_skip = skip.withColumn("comment", F.when(F.col("position") != 2, F.col("comment")))
+    bad_manual = manual.withColumn("target", F.when(F.col("level") != 1, F.col("target")))
+    objects = sources.select(*BY).distinct()
+    expected = objects.unionByName(objects.select("object", F.lit("NEW").alias("variant")))
+    return catalog.contract_violations(bad_sources, bad_targets, mapping, bad_skip, bad_manual, expected)

@@ -283,6 +283,29 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.head_rows(legacy.mapped_orders(spark, sf_dir), "order_no")
 
 
+@query(
+    "export_filtered_rows",
+    f"""WITH {legacy.CHECKED} SELECT order_no AS "__rownum", array_to_string(errors, '|') AS "__errors", status AS "STATUS", priority AS "PRIORITY", order_date AS "ORDER_DATE"
+    FROM checked WHERE len(errors) > 0 AND contains(lower(array_to_string(errors, '|')), 'status') AND
+      (contains(order_date, '1995') OR contains(lower(priority), '1995') OR contains(CAST(order_no AS VARCHAR), '1995'))""",
+)
+def export_filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows that a search leaves, written as a file and read back."""
+    rows = reject_rows(spark, sf_dir).select("__rownum", "__errors", "STATUS", "PRIORITY", "ORDER_DATE")
+    path = new_output(spark, "filtered")
+    sinks.write_load_file(project.search(rows, "1995", "__errors", "STATUS"), path)
+    back = spark.read.options(header=True, escape='"').csv(path)
+    return back.select(F.col("__rownum").cast("long").alias("__rownum"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("__errors", "STATUS", "PRIORITY", "ORDER_DATE")])
+
+
+@query("export_list", f"WITH {legacy.CHECKED} SELECT DISTINCT e AS \"Item\" FROM (SELECT unnest(errors) AS e FROM checked)")
+def export_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that failed, as a list in a file."""
+    path = new_output(spark, "list")
+    sinks.write_load_file(sinks.list_export(reject_by_rule(spark, sf_dir), "error_rule"), path)
+    return spark.read.options(header=True).csv(path)
+
+
 @query("top_error_rules", REJECT_BY_RULE + " ORDER BY errors DESC, error_rule LIMIT 10")
 def top_error_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_rows(reject_by_rule(spark, sf_dir), "error_rule", "errors")
