@@ -45,8 +45,8 @@ WHOLE = READINGS
 #: greatest size (16 MB). A larger benchmark only makes it less selective; what passes is joined exactly.
 PROBES = 4
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 27
-MOST_KNOWN = 200_000
-TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 256, 2_000_000
+MOST_KNOWN = 100_000
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE, ROWS_AT_ONCE = 256, 1_000_000, 1000
 #: Numbers, words, and every other visible character or line end.
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|\n")
 ENDS = frozenset(".!?:;\n\"“”")
@@ -331,11 +331,16 @@ def document_windows(docs: DataFrame, wanted: Wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         packed = Remembered(MOST_KNOWN, packed_tokens)
+        out: list[tuple] = []
         for number, text in texts_that(batches, lambda texts: wanted.may_hold(texts, packed)):
-            out = [(number, *r) for r in text_windows(text, known, wanted)]
-            whole = whole_text(text)
+            out += ((number, *r) for r in text_windows(text, known, wanted))
+            whole = whole_text(text) if wanted.whole else None
             if whole is not None and whole[1] in wanted.whole:
                 out.append((number, *whole))
+            if len(out) >= ROWS_AT_ONCE:
+                yield window_batch(out)
+                out = []
+        if out:
             yield window_batch(out)
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, WINDOWS)

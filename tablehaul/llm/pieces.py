@@ -29,7 +29,7 @@ BLANK = "▁"
 #: How far below the lowest score a character without a piece lies.
 UNKNOWN_PENALTY = 10.0
 #: Words that are remembered in a generation; there are two.
-MOST_CACHED = 150_000
+MOST_CACHED = 60_000
 TEXTS_AT_ONCE = 128
 #: A run of blanks with the word after it; the text starts with a blank that the encoder adds.
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")

@@ -38,7 +38,7 @@ REPORT_SPAN = 4
 WORD = re.compile(r"\w+")
 QUOTE = re.compile("[\"“”„«»]")
 #: Words of a generation (there are two) whose distances a task remembers.
-MOST_CACHED = 100_000
+MOST_CACHED = 60_000
 
 
 def held_out(doc_id: Column) -> Column:
