@@ -202,6 +202,27 @@ THESAURUS = "words(term, concept) AS (VALUES " + ", ".join(f"('{t}', '{c}')" for
 WEIGHTED = "0.5 * lev + 0.5 * jw"
 
 
+def _thesaurus_names(spark: SparkSession, sf_dir: str, place, name: str) -> DataFrame:
+    """For every brand and kind of part the terms whose places in the thesaurus are its sizes."""
+    terms = spark.createDataFrame([(t, i) for i, (t, _) in enumerate(sorted(thesaurus_rows()), 1)], f"{name} string, place int")
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("object"), F.col("p_type").alias("variant"), place.alias("place")).distinct()
+    return parts.join(terms, "place").select("object", "variant", name).distinct()
+
+
+@query(
+    "thesaurus_matches",
+    f"""WITH {THESAURUS}, numbered AS (SELECT term, row_number() OVER (ORDER BY term, concept) AS i FROM words),
+    s AS (SELECT DISTINCT p_brand AS object, p_type AS variant, term AS l FROM part JOIN numbered ON i = p_size),
+    t AS (SELECT DISTINCT p_brand AS object, p_type AS variant, term AS r FROM part JOIN numbered ON i = 51 - p_size)
+    SELECT object, variant, l, r FROM s JOIN t USING (object, variant)
+    WHERE l = r OR EXISTS (SELECT 1 FROM words x JOIN words y USING (concept) WHERE x.term = l AND y.term = r)""",
+)
+def thesaurus_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field names taken from the thesaurus, matched with those of the same object that mean the same."""
+    left, right = _thesaurus_names(spark, sf_dir, F.col("p_size"), "l"), _thesaurus_names(spark, sf_dir, 51 - F.col("p_size"), "r")
+    return left.join(match.thesaurus_pairs(left, right, "l", "r"), "l").join(right, ["object", "variant", "r"]).select("object", "variant", "l", "r")
+
+
 def _described_sql() -> str:
     return (
         f"""{catalogues.BOTH}, {THESAURUS},
