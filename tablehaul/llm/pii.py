@@ -8,6 +8,7 @@ get equal pseudonyms in all documents, different values different ones, and noth
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -22,16 +23,31 @@ ROUNDS = 8
 #: Only for tests and trial runs; production sets ``spark.tablehaul.pseudonym.key``.
 TRIAL_KEY = "trial key"
 KINDS = ["email", "secret", "iban", "ip", "date", "ssn", "card", "phone"]
+#: Names of months by language, in the order of the calendar.
+MONTHS = [
+    names.split()
+    for names in (
+        "January February March April May June July August September October November December",
+        "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+        "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+        "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    )
+]
+MONTH = "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m)))
+#: Groups of digits of a phone number that has neither a plus sign nor brackets: North America, and numbers dialled with a zero.
+PLAIN_PHONE = re.compile(r"[2-9]\d\d([ .-])[2-9]\d\d\1\d{4}|0[1-9](?:([ .-])\d\d)(?:\2\d\d){3}|0\d{2,4}[ /-]\d{5,8}", re.ASCII)
 FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<secret>(?<![\w])(?:AKIA[0-9A-Z]{16}(?!\w)|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{16,})"
     r"|(?i:(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{6,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?![\w:.]))"
+    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
+    rf"|(?P<written>(?<![\w.-])(?:\d{{1,2}}\.? (?:de )?(?i:{MONTH})(?: de)? \d{{4}}|(?i:{MONTH}) \d{{1,2}}, \d{{4}})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))",
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+/,.-])0\d{2,4}[ /-]\d{5,8}(?![\w/-]|[.,]\d))",
     re.ASCII,
 )
 #: The same two patterns from a place where a group of characters begins, and the groups.
@@ -153,7 +169,7 @@ def ip(text: str, key: bytes) -> str | None:
 
 def day(text: str, key: bytes) -> str | None:
     parts = re.split(r"\D", text)
-    separator = text[4] if len(parts[0]) == 4 else text[2]
+    separator = text[len(parts[0])]
     orders = {"-": ["ymd"], ".": ["dmy"], "/": ["ymd"] if len(parts[0]) == 4 else ["mdy", "dmy"]}[separator]
     for order in orders:
         given = dict(zip(order, map(int, parts), strict=True))
@@ -163,12 +179,48 @@ def day(text: str, key: bytes) -> str | None:
             continue
         if not FIRST_DAY <= number <= LAST_DAY:
             return None
-        moved = date.fromordinal(FIRST_DAY + permuted(number - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-        written = {"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}
+        moved = moved_day(number, key)
+        width = 2 if all(len(p) > 1 for p in parts) else 1
+        written = {"y": f"{moved.year:04d}", "m": f"{moved.month:0{width}d}", "d": f"{moved.day:0{width}d}"}
         return separator.join(written[c] for c in order)
     return None
 
 
+def moved_day(number: int, key: bytes) -> date:
+    """The pseudonym of a day, the same however the day is written."""
+    return date.fromordinal(FIRST_DAY + permuted(number - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+
+
+def written_day(text: str, key: bytes) -> str | None:
+    """A date with the month's name: the new month in the same language and case."""
+    name = re.search(MONTH, text, re.I)[0]
+    names = next(n for n in MONTHS if name.lower() in map(str.lower, n))
+    numbers = re.findall(r"\d+", text)
+    try:
+        number = date(int(numbers[1]), [n.lower() for n in names].index(name.lower()) + 1, int(numbers[0])).toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= number <= LAST_DAY:
+        return None
+    moved = moved_day(number, key)
+    month = names[moved.month - 1]
+    month = month.upper() if name.isupper() else month.lower() if name.islower() else month.capitalize()
+    parts = iter((str(moved.day), f"{moved.year:04d}"))
+    return re.sub(r"\d+", lambda _: next(parts), text.replace(name, month, 1))
+
+
+def ip6(text: str, key: bytes) -> str | None:
+    """An address in any valid form: the digits that are written are permuted, groups and gaps stay."""
+    try:
+        if ipaddress.IPv6Address(text).is_unspecified or not any(c.isdigit() for c in text):
+            return None
+    except ValueError:
+        return None
+    lower = text.lower()
+    moved = shuffled(lower, key, "ip6", [HEX if c != ":" else "" for c in lower])
+    return moved.upper() if text.isupper() else moved
+
+
 def ssn(text: str, key: bytes) -> str | None:
     area, group, serial = map(int, text.split("-"))
     if area in (0, 666) or area > 899 or not group or not serial:
@@ -182,7 +234,7 @@ def ssn(text: str, key: bytes) -> str | None:
 def phone(text: str, key: bytes) -> str | None:
     """Ten digits of the North American plan keep valid area and exchange codes; other numbers keep their country code."""
     digits = re.sub(r"\D", "", text)
-    if not 8 <= len(digits) <= 15 or not (text[0] in "+(" or len(digits) == 10):
+    if not 8 <= len(digits) <= 15 or not (text[0] in "+(" or PLAIN_PHONE.fullmatch(text)):
         return None
     country = re.match(r"\+(\d{1,3}(?!\d)|\d\d)", text)
     start = len(country[1]) if country else 0
@@ -191,13 +243,20 @@ def phone(text: str, key: bytes) -> str | None:
     if len(rest) == 10 and rest[0] in from_two and rest[3] in from_two:
         kinds = [from_two, DIGITS, DIGITS, from_two, *[DIGITS] * 6]
     else:
-        kinds = [DIGITS] * len(rest)
+        kinds = ["" if not i and c == "0" else DIGITS for i, c in enumerate(rest)]
     return refilled(text, head + shuffled(rest, key, f"phone {head}", kinds))
 
 
 def email(text: str, key: bytes) -> str:
-    """Local part and all of the domain but its last two labels; letters stay letters, digits digits."""
-    lower = text.lower()
+    """Local part and all of the domain but its last two labels; letters stay letters, digits digits, capitals where they were.
+
+    Addresses that differ in case only get pseudonyms that do so too.
+    """
+    new = email_in_small(text.lower(), key)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, text, strict=True))
+
+
+def email_in_small(lower: str, key: bytes) -> str:
     name, domain = lower.split("@")
     labels = domain.split(".")
     inner, tail = ".".join(labels[:-2]), ".".join(labels[-2:])
@@ -244,7 +303,9 @@ def ends_of_groups(text: str, found: re.Match) -> list[int]:
     return [g.end() for g in GROUP.finditer(text, *found.span())][::-1]
 
 
-MAKERS = {"email": email, "secret": secret, "iban": iban, "ip": ip, "date": day, "ssn": ssn, "card": card, "phone": phone}
+MAKERS = {"email": email, "secret": secret, "iban": iban, "ip": ip, "date": day, "ssn": ssn, "card": card, "phone": phone, "ip6": ip6, "written": written_day}
+#: Kinds that two patterns find.
+COUNTED_AS = {"ip6": "ip", "written": "date"}
 
 
 def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
@@ -262,7 +323,14 @@ def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, dict[str, i
             kind = "card" if new is None else "phone"
         if new is None and kind in ("card", "iban") and (found := inner(text, match, key)):
             start, end, kind, new = found
+        if new is None and kind == "phone":  # digits behind a number belong to something else
+            for end in ends_of_groups(text, match)[1:]:
+                if (new := phone(text[start:end], key)) is not None:
+                    break
+            else:
+                end = match.end()
         if new is not None:
+            kind = COUNTED_AS.get(kind, kind)
             counts[kind] = counts.get(kind, 0) + 1
             out += [text[done:start], new]
         else:
