@@ -21,7 +21,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.text import Remembered, mix, rolling, sliced, stored, without_ids
+from tablehaul.llm.text import mix, rolling, sliced, stored, without_ids
 
 #: Template tokens of a window, tokens of a shorter item that are one window, and plain words that a window must have.
 WINDOW, LEAST_TOKENS, LEAST_PLAIN = 8, 5, 3
@@ -45,7 +44,7 @@ WHOLE = READINGS
 #: greatest size (16 MB). A larger benchmark only makes it less selective; what passes is joined exactly.
 PROBES = 4
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 27
-MOST_KNOWN = 100_000
+MOST_KNOWN = 150_000
 TEXTS_AT_ONCE, CHARACTERS_AT_ONCE, ROWS_AT_ONCE = 256, 1_000_000, 1000
 #: Numbers, words, and every other visible character or line end.
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|\n")
@@ -139,34 +138,46 @@ def window_hashes(tokens: list[str], width: int, known: dict[str, int], reading:
 #: sign that ends no sentence either.
 PUNCTUATION, SENTENCE_END, IS_NUMBER, MAY_BE_UNIT, SIGN, CAPITAL = 1, 2, 4, 8, 16, 32
 LINE_END, OTHER_SIGN = "\x00", "\x01"
+HASH = xxhash.xxh64_intdigest
 TOKEN_BYTES = struct.Struct("<QQ")
 MARKS = {m: TOKEN_BYTES.pack(xxhash.xxh64_intdigest(m), PUNCTUATION | (SENTENCE_END if m in ENDS else 0)) for m in ".,;:!?"}
 PLACEHOLDERS = {kind: xxhash.xxh64_intdigest(kind) for kind in (NUMBER, NAME, UNIT)}
 
 
-def packed_tokens(words: list[str]) -> list[bytes]:
-    """For every word between blanks its tokens as pairs of hash and class."""
-    out = []
-    for word in words:
-        mark = MARKS.get(word[-1])
-        core = word if mark is None else word[:-1]
-        if core.isalpha() and (lower := core.lower()) not in SPECIAL:  # most words: letters, perhaps with a mark behind them
-            own = TOKEN_BYTES.pack(xxhash.xxh64_intdigest(lower), CAPITAL if core[0].isupper() else 0)
-            out.append(own if mark is None else own + mark)
-            continue
-        pairs: list[int] = []
-        for token in ["\n"] if word == LINE_END else TOKEN.findall(word):
-            lower, letters = token.lower(), token[0].isalpha()
-            kind = IS_NUMBER if token[0].isdigit() or lower in NUMBER_WORDS else 0
-            if not kind and lower in UNITS:
-                kind = MAY_BE_UNIT | (0 if token.isalpha() else SIGN)
-            if not kind and not letters:
-                kind = PUNCTUATION | (SENTENCE_END if token in ENDS else 0)
-            if letters and token[0].isupper():
-                kind |= CAPITAL
-            pairs += (xxhash.xxh64_intdigest(lower), kind)
-        out.append(struct.pack(f"<{len(pairs)}Q", *pairs))
-    return out
+class TokenMemory(dict):
+    """For words between blanks their tokens as packed pairs of hash and class; two generations, so frequent words stay."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.old.get(word) or packed_tokens(word)
+        return found
+
+    def age(self) -> None:
+        if len(self) >= MOST_KNOWN:
+            self.old = dict(self)
+            self.clear()
+
+
+def packed_tokens(word: str) -> bytes:
+    mark = MARKS.get(word[-1])
+    core = word if mark is None else word[:-1]
+    if core.isalpha() and (lower := core.lower()) not in SPECIAL:  # most words: letters, perhaps with a mark behind them
+        own = TOKEN_BYTES.pack(HASH(lower), CAPITAL if core[0].isupper() else 0)
+        return own if mark is None else own + mark
+    pairs: list[int] = []
+    for token in ["\n"] if word == LINE_END else TOKEN.findall(word):
+        lower, letters = token.lower(), token[0].isalpha()
+        kind = IS_NUMBER if token[0].isdigit() or lower in NUMBER_WORDS else 0
+        if not kind and lower in UNITS:
+            kind = MAY_BE_UNIT | (0 if token.isalpha() else SIGN)
+        if not kind and not letters:
+            kind = PUNCTUATION | (SENTENCE_END if token in ENDS else 0)
+        if letters and token[0].isupper():
+            kind |= CAPITAL
+        pairs += (HASH(lower), kind)
+    return struct.pack(f"<{len(pairs)}Q", *pairs)
 
 
 def blank_words(text: str) -> list[str]:
@@ -178,10 +189,9 @@ def blank_words(text: str) -> list[str]:
 class Readings:
     """Template tokens of many texts at once, as hashes."""
 
-    def __init__(self, texts: list[str], known: Remembered) -> None:
-        words = [blank_words(t) for t in texts]
-        packed = known.table(list(chain.from_iterable(words))).__getitem__
-        data = [b"".join(map(packed, w)) for w in words]
+    def __init__(self, texts: list[str], known: TokenMemory) -> None:
+        known.age()
+        data = [b"".join(map(known.__getitem__, blank_words(t))) for t in texts]
         tokens = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 2)
         doc = np.repeat(np.arange(len(texts)), [len(d) // 16 for d in data])
         kinds = tokens[:, 1]
@@ -236,7 +246,7 @@ class Wanted:
             left = left[table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
         return left
 
-    def may_hold(self, texts: list[str], known: Remembered) -> np.ndarray:
+    def may_hold(self, texts: list[str], known: TokenMemory) -> np.ndarray:
         """Which texts have a window that hits, or the size of an item that is looked for whole."""
         readings = Readings(texts, known)
         found = np.isin(readings.sizes(len(texts)), list(self.whole))
@@ -330,7 +340,7 @@ def document_windows(docs: DataFrame, wanted: Wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        packed = Remembered(MOST_KNOWN, packed_tokens)
+        packed = TokenMemory()
         out: list[tuple] = []
         for number, text in texts_that(batches, lambda texts: wanted.may_hold(texts, packed)):
             out += ((number, *r) for r in text_windows(text, known, wanted))
