@@ -41,8 +41,7 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, and the text that they decode to."""
     ship_package(spark)
-    vocabulary = pieces.Vocabulary.load(tokenizer_file(spark))
-    return pieces.decode_table(pieces.encode_table(docs, vocabulary), vocabulary)
+    return pieces.encode_and_decode(docs, pieces.Vocabulary.load(tokenizer_file(spark)))
 
 
 STAGES = [

@@ -67,6 +67,19 @@ def test_texts_come_back(spark):
     assert pieces.encode_table(docs.limit(0), vocabulary).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_last_stage_needs_one_python_worker_for_a_task(spark):
+    """Every Python step of a stage keeps a worker of its own; the rows are those of both steps one after the other."""
+    vocabulary = pieces.Vocabulary.load(VOCABULARY)
+    docs = documents(spark, [*TRICKY, None, "a b", "a b"], [*range(len(TRICKY)), None, 3, 3])
+    one = corpus_pipeline.as_pieces(spark, docs, "")
+    two = pieces.decode_table(pieces.encode_table(docs, vocabulary), vocabulary)
+    assert one.schema == two.schema
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert corpus_pipeline.as_pieces(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 def test_ids_agree_with_the_library_as_a_unigram_model():
     """Single words of ASCII letters, for which the library's single precision is exact."""
