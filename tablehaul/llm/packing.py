@@ -16,22 +16,23 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablehaul.llm.text import Remembered, cut_at
+from tablehaul.llm.text import Remembered, cut_at, sliced
 
 CAPACITY = 4096
 END_ID = 2
 MOST_KNOWN = 300_000
 #: Tokens that are packed together in a task; the remainder below one sequence is all that is cut into short ones.
 TOKENS_AT_ONCE = 4_000_000
-#: Bytes of a text that are split into words at once.
-BYTES_AT_ONCE = 1 << 20
+#: Bytes of texts that are split into words at once.
+BYTES_AT_ONCE = 8 << 20
+ROWS_AT_ONCE = 4096
 PIECES_AT_ONCE = 2000
 WORDS_AT_ONCE = 2000
 #: What the tokenizer's vocabulary puts at the end of the last token of a word.
@@ -55,7 +56,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.is_last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.is_last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.endings = {e: self.encoded([bytes([e])])[0] for e in ENDINGS}
+        self.endings = {bytes([e]): self.encoded([bytes([e])])[0] for e in ENDINGS}
         self.cores = Remembered(MOST_KNOWN, self.encoded)
         self.words = Remembered(MOST_KNOWN, self.composed)
 
@@ -79,36 +80,46 @@ class WordIds:
     def composed(self, words: list[bytes]) -> list[bytes]:
         """Ids of words by those of their core and of a mark at the end; only cores are new to the tokenizer."""
         endings = self.endings
-        marks = [endings.get(w[-1]) if w[-2:-1].isalnum() else None for w in words]
+        marks = [endings.get(w[-1:]) if w[-2:-1].isalnum() else None for w in words]
         cores = [w if mark is None else w[:-1] for w, mark in zip(words, marks, strict=True)]
         known = self.cores.table(cores)
         return [known[core] if mark is None else known[core] + mark for core, mark in zip(cores, marks, strict=True)]
 
-    def slices(self, text: bytes) -> Iterator[list[bytes]]:
-        """Words of a text, a bounded number of bytes at a time; ASCII letters in lower case unless special tokens may come of it."""
+    def slices(self, text: bytes) -> Iterator[bytes]:
+        """Parts of a text of a bounded number of bytes; ASCII letters in lower case unless special tokens may come of it."""
         for part in cut_at(text, BLANK, BYTES_AT_ONCE):
-            yield (part if SPECIAL in part else part.lower()).split()
+            yield part if SPECIAL in part else part.lower()
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of every text, in order; words of many short texts are looked up together."""
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
         size = 0
         for text in texts:
             if len(text) > BYTES_AT_ONCE:
                 yield from self.looked_up(held)
                 held, size = [], 0
-                yield b"".join(ids for words in self.slices(text) for ids in self.looked_up([words]))
+                yield b"".join(ids for part in self.slices(text) for ids in self.looked_up([part]))
                 continue
-            held.append(next(self.slices(text), []))
+            held.append(next(self.slices(text), b""))
             size += len(text)
             if size > BYTES_AT_ONCE:
                 yield from self.looked_up(held)
                 held, size = [], 0
         yield from self.looked_up(held)
 
-    def looked_up(self, texts: list[list[bytes]]) -> list[bytes]:
-        known = self.words.table(list(chain.from_iterable(texts))).__getitem__
-        return [b"".join(map(known, words)) for words in texts]
+    def looked_up(self, texts: list[bytes]) -> list[bytes]:
+        """Different words are numbered in Arrow, so each is looked up once; blanks at the ends of a text make empty words, without ids."""
+        if not texts:
+            return []
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = lists.values.dictionary_encode()
+        different = words.dictionary.view(pa.large_binary()).to_pylist()
+        known = self.words.table(different)
+        found = pa.array([known[w] for w in different], pa.large_binary()).take(words.indices)
+        _, ends, ids = found.buffers()
+        places = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()].tolist()
+        data = ids.to_pybytes() if ids else b""
+        return [data[a:b] for a, b in zip(places, places[1:], strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -209,17 +220,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         known = word_ids(tokenizer)
         first = TaskContext.get().partitionId() << 40
         held, n = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), known.ids(texts), strict=True):
-                    held.append((doc_id, ids + end))
-                    n += len(held[-1][1]) // 4
-                    if n >= TOKENS_AT_ONCE:
-                        for rows in packed(held, first):
-                            yield rows
-                        first, held, n = first + n, [], 0  # there are no more sequences than tokens
+        for part in sliced(batches, ROWS_AT_ONCE):
+            texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, ids in zip(part.column(0).to_pylist(), known.ids(texts), strict=True):
+                held.append((doc_id, ids + end))
+                n += len(held[-1][1]) // 4
+                if n >= TOKENS_AT_ONCE:
+                    for rows in packed(held, first):
+                        yield rows
+                    first, held, n = first + n, [], 0  # there are no more sequences than tokens
         if held:
             yield from packed(held, first)
 

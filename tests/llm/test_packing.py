@@ -87,6 +87,18 @@ def test_long_texts_and_small_memory(tokenizer, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == want
 
 
+def test_a_word_is_looked_up_once_however_often_it_stands_in_the_texts(tokenizer):
+    own, asked = packing.WordIds(tokenizer), []
+    table = own.words.table
+    own.words.table = lambda keys: (asked.extend(keys), table(keys))[1]
+    texts = ["of the river, of the sea", "", " \t", "\x0bThe sea\x0c of\r\n", "the " * 500, "of\x1cthe sea\x85\xa0"]
+    found = list(own.ids([t.encode() for t in texts]))
+    assert len(asked) == len(set(asked))
+    whole = Tokenizer.from_str(tokenizer)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(own.ids([])) == []
+
+
 def test_pack_on_odd_rows(spark, tokenizer):
     ids = [*range(len(ODD)), 3, None]
     texts = [*ODD, ODD[3], "null id"]
